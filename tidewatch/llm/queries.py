@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import mixture, sharding, url_rules
+from tidewatch.llm import mixture, setsketch, sharding, url_rules
 from tidewatch.llm.common import table
 
 #: The production rules: host, path, verdict.
@@ -92,3 +92,32 @@ SELECT page_id, host, path,
 FROM p
 """,
 }
+
+
+def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+QUERIES["op10_setsketch"] = op10_setsketch
+
+ORACLES["op10_setsketch"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' '))) END AS sh
+  FROM w),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+n AS (SELECT doc_id, len(sh) AS n_shingles FROM s),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+  FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+  WHERE 100 * common >= 80 * (nx.n_shingles + ny.n_shingles - common)),
+b AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, b.y FROM r JOIN b ON b.x = r.seen)
+SELECT n.doc_id, n.n_shingles, min(r.seen) AS component_id, min(r.seen) = n.doc_id AS kept
+FROM n JOIN r ON r.node = n.doc_id GROUP BY n.doc_id, n.n_shingles
+"""
