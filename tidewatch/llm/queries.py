@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import mixture, setsketch, sharding, url_rules
-from tidewatch.llm.common import table
+from tidewatch.llm import html_text, mixture, packing, setsketch, sharding, spotsigs, token_rollup, toxicity, url_rules, vectors
+from tidewatch.llm.common import shared_dir, table
 
 #: The production rules: host, path, verdict.
 URL_RULES = [
@@ -121,3 +123,87 @@ r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node,
 SELECT n.doc_id, n.n_shingles, min(r.seen) AS component_id, min(r.seen) = n.doc_id AS kept
 FROM n JOIN r ON r.node = n.doc_id GROUP BY n.doc_id, n.n_shingles
 """
+
+
+def tokenizer_path() -> str:
+    """The public word tokenizer's file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES["op3_packing"] = op3_packing
+
+
+def held_out(doc_id: Column) -> Column:
+    """The fold that no label is learnt from."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    scored = toxicity.score_toxicity(documents, toxicity.fit_toxicity(documents, labels))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
+QUERIES["op6_toxicity"] = op6_toxicity
+
+
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = html_text.extract_text(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES["op1_html_text"] = op1_html_text
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.search_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+QUERIES["op7_neighbours"] = op7_neighbours
+
+
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op8_spotsigs"] = op8_spotsigs
+
+
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches over all documents: inserts under the first tokenizer version, deletes of the
+    documents labelled as low quality, a re-count under the second version, and a revision that
+    re-counts English documents with their line breaks dropped and files them under `en-flat`.
+    The second batch is sent twice."""
+    documents = table(spark, sf_dir, "documents")
+    bad = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id", F.lit(None).cast("string").alias("version"))
+    store = token_rollup.Rollup(spark, f"{shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}")
+    store.apply(1, token_rollup.counted(documents, "words-1"))
+    store.apply(2, deletes=bad)
+    store.apply(3, token_rollup.counted(documents, "marks-2"))
+    flat = documents.where("lang = 'en'").withColumn("text", F.translate("text", "\n", "")).withColumn("lang", F.lit("en-flat"))
+    store.apply(4, token_rollup.counted(flat, "marks-2"))
+    store.apply(2, deletes=bad)
+    return store.totals()
+
+
+QUERIES["op9_token_rollup"] = op9_token_rollup
+
+ORACLES["op9_token_rollup"] = r"""
+WITH a AS (
+  SELECT doc_id, source, lang, 'words-1' AS version, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens, length(text) AS chars
+  FROM documents WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IS NOT NULL)
+  UNION ALL
+  SELECT doc_id, source, CASE WHEN lang = 'en' THEN 'en-flat' ELSE lang END, 'marks-2',
+         len(regexp_extract_all(t, '[A-Za-z0-9\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]')), length(t)
+  FROM (SELECT *, CASE WHEN lang = 'en' THEN replace(text, chr(10), '') ELSE text END AS t FROM documents WHERE doc_id IS NOT NULL))
+SELECT source, lang, version, count(*) AS documents, CAST(sum(coalesce(tokens, 0)) AS BIGINT) AS tokens, CAST(sum(coalesce(chars, 0)) AS BIGINT) AS chars
+FROM a GROUP BY source, lang, version
+"""
