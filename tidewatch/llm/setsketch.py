@@ -12,8 +12,9 @@ probability close to their Jaccard similarity.
 3. Candidates whose joint likelihood makes the threshold implausible are dropped; the others are
    verified on their full sets, which a second pass over the texts gathers for candidates only.
 4. Links give components. Where a band key still holds classes of different components, exactly
-   those cross-component pairs that no star has tested are compared (registers first, in blocks
-   of bounded size, then full sets), and components are formed again.
+   those cross-component pairs that no star has tested are compared: by registers in blocks of
+   bounded size, which tells the suspects, then the suspects by full sets, pair by pair inside the
+   tasks. Rows stay linear in the classes, and components are formed again.
 
 The smallest id of a component keeps. Rows with a null id are kept and linked with nothing; rows
 that share an id are one document. With 30 bands of 5 registers, a pair at the threshold 0.8
@@ -41,6 +42,8 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 #: A candidate is dropped when its likelihood at the threshold is exp(-SLACK) of the best or less.
 SLACK = 12.5
 BLOCK = 2048
+#: Shingles of a block of sets (eight bytes each).
+SET_BLOCK = 1 << 20
 BITS = 26
 
 _rng = np.random.default_rng(20240229)
@@ -175,8 +178,8 @@ def _sets_of(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     width = 1 << BITS
     words64 = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(width)).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("mask"))
     bitmap = np.zeros(width // 64, np.int64)
-    for row in words64.groupBy("word").agg(F.bit_or("mask").alias("mask")).toLocalIterator(prefetchPartitions=True):
-        bitmap[row["word"]] = row["mask"]
+    found = words64.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # 2**BITS / 64 rows at most
+    bitmap[found.column("word").to_numpy()] = found.column("mask").to_numpy()
     bits = spark.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,11 +235,13 @@ def _screened(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return met.where(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")).where(likely("n_a", "r_a", "n_b", "r_b")).select("a", "b")
 
 
-def _across(bands: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Untested pairs (a, b) of one band key and different components whose registers are plausible.
+def _suspects(bands: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(key, digest, component, n) of the classes that have, in this band key, an untested partner of
+    another component with plausible registers.
 
-    bands: (key, digest, low), low being the star's centre. In each key the largest component is
-    home; classes of other components (strays) are sent to every block of the key's members.
+    bands: (key, digest, low), low being the star's centre, which has been tested with all. In each key
+    the largest component is home; classes of other components (strays) are sent to every block of
+    the key's members. A pair counts in the first band that it shares only, so that it is verified once.
     """
     named = bands.where("digest <> low").join(labels, "digest")
     per = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
@@ -248,26 +253,80 @@ def _across(bands: DataFrame, classes: DataFrame, labels: DataFrame, percent: in
     own = rows.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False))
     asks = rows.where("stray").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
     cols = ["key", "block", "digest", "component", "n", "registers", "asks"]
+    kind = labels.schema["component"].dataType.simpleString()
 
-    def compared(group: pa.Table) -> pa.Table:
-        frame = group.to_pandas()
+    def compared(key: tuple, group: pa.Table) -> pa.Table:
+        frame = group.drop_columns(["key", "block"]).to_pandas()
         ask, own = frame[frame.asks], frame[~frame.asks]
-        a_out, b_out = [], []
+        hit_own, hit_ask = np.zeros(len(own), bool), np.zeros(len(ask), bool)
         if len(ask) and len(own):
-            regs = np.frombuffer(b"".join(own.registers), np.uint16).reshape(-1, REGISTERS)
-            n, part, names = own.n.to_numpy(float), own.component.to_numpy(), own.digest.to_numpy()
-            for digest, component, size, raw in zip(ask.digest, ask.component, ask.n, ask.registers, strict=True):
+            regs = np.frombuffer(b"".join(own.registers), np.uint16).reshape(-1, BANDS, ROWS)
+            band = int(np.flatnonzero(band_keys(regs[0].ravel()) == key[0].as_py())[0])
+            n, part = own.n.to_numpy(float), own.component.to_numpy()
+            for at, (component, size, raw) in enumerate(zip(ask.component, ask.n, ask.registers, strict=True)):
                 open_ = np.flatnonzero((part != component) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size)))
+                mine = np.frombuffer(raw, np.uint16).reshape(BANDS, ROWS)
+                if band and len(open_):
+                    open_ = open_[~(regs[open_, :band] == mine[:band]).all(2).any(1)]
                 if not len(open_):
                     continue
-                mine = np.frombuffer(raw, np.uint16)
-                theirs = regs[open_]
-                for i in open_[plausible((mine > theirs).sum(1), (mine < theirs).sum(1), np.full(len(open_), float(size)), n[open_], percent / 100)]:
-                    a_out.append(min(digest, names[i]))
-                    b_out.append(max(digest, names[i]))
+                theirs, mine = regs[open_].reshape(len(open_), -1), mine.ravel()
+                likely = open_[plausible((mine > theirs).sum(1), (mine < theirs).sum(1), np.full(len(open_), float(size)), n[open_], percent / 100)]
+                hit_own[likely] = True
+                hit_ask[at] = len(likely) > 0
+        found = frame[["digest", "component", "n"]].loc[[*own.index[hit_own], *ask.index[hit_ask]]].drop_duplicates("digest")
+        found.insert(0, "key", key[0].as_py())
+        return pa.Table.from_pandas(found, preserve_index=False, schema=wanted)
+
+    wanted = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("component", pa.string() if kind == "string" else pa.int64()), ("n", pa.int64())])
+    return own.select(*cols).union(asks.select(*cols)).groupBy("key", "block").applyInArrow(compared, f"key long, digest binary, component {kind}, n long").distinct()
+
+
+def _crossing(df: DataFrame, suspects: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) among the suspects of each band key, on full sets; of the links that join the same
+    components in one task, one is enough.
+
+    A key's suspects are dealt into blocks of about SET_BLOCK shingles, and every two blocks meet in a task.
+    """
+    wanted = stored(suspects.select("digest").distinct().join(classes.select("digest", "rep", "registers"), "digest"), "near-wanted")
+    sets = _sets_of(df, wanted, words).join(wanted.select("digest", "registers"), "digest")
+    per = suspects.groupBy("key").agg(F.ceil(F.sum("n") / SET_BLOCK).cast("int").alias("blocks"))
+    dealt = suspects.join(per, "key").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "digest", "component").join(sets, "digest")
+
+    def linked(key: tuple, group: pa.Table) -> pa.Table:
+        names, blocks = group.column("digest").to_pylist(), group.column("own").to_numpy()
+        regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(len(names), BANDS, ROWS)
+        held = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in held], float)
+        _, part = np.unique(np.array(group.column("component").to_pylist()), return_inverse=True)
+        band = int(np.flatnonzero(band_keys(regs[0].ravel()) == key[0].as_py())[0])
+        x, y = key[1].as_py(), key[2].as_py()
+        a_out, b_out = [], []
+        for i in range(1, len(names)):
+            open_ = np.flatnonzero((part[:i] != part[i]) & (100 * np.minimum(size[:i], size[i]) >= percent * np.maximum(size[:i], size[i])))
+            if x != y:
+                open_ = open_[blocks[open_] != blocks[i]]
+            if band and len(open_):
+                open_ = open_[~(regs[open_, :band] == regs[i, :band]).all(2).any(1)]
+            if not len(open_):
+                continue
+            theirs, mine = regs[open_].reshape(len(open_), -1), regs[i].ravel()
+            same = (theirs == mine).sum(1)
+            likely = plausible((mine > theirs).sum(1), (mine < theirs).sum(1), np.full(len(open_), size[i]), size[open_], percent / 100)
+            for j in open_[likely][np.argsort(-same[likely], kind="stable")]:
+                if part[j] == part[i]:
+                    continue
+                p, q = held[i], held[j]
+                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                if 100 * both >= percent * (len(p) + len(q) - both):
+                    a_out.append(names[i])
+                    b_out.append(names[j])
+                    part[part == part[j]] = part[i]
         return pa.table({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
 
-    return own.select(*cols).union(asks.select(*cols)).groupBy("key", "block").applyInArrow(compared, "a binary, b binary").distinct()
+    return dealt.groupBy("key", "x", "y").applyInArrow(linked, "a binary, b binary")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -298,13 +357,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         return reps.join(parts, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
 
     labels = stored(labelled(links), "near-labels")
-    cross = stored(_across(bands, classes, labels, percent), "near-cross")
-    if cross.limit(1).count():
-        more = stored(_verified(docs, cross, classes, words, percent), "near-more")
+    suspects = stored(_suspects(bands, classes, labels, percent), "near-suspects")
+    if suspects.limit(1).count():
+        more = stored(_crossing(docs, suspects, classes, words, percent), "near-more")
         if more.limit(1).count():
             labels = stored(labelled(links.union(more)), "near-labels")
     out = sketches.select("id", "n", "digest").join(labels, "digest", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
+    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")
     )
