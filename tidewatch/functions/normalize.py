@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,10 +105,6 @@ def _in(number: Column, *nets: str) -> Column:
 
 def is_ipv6(address: Column) -> Column:
     """Whether a text is an IPv6 address; parsed in Arrow batches, so call it on distinct addresses."""
-    import ipaddress
-
-    import pyarrow as pa
-
     @F.arrow_udf("boolean")
     def parsed(column: pa.Array) -> pa.Array:
         def fine(text: str | None) -> bool:

@@ -185,7 +185,7 @@ def m15_class_report(spark, sf_dir):
 
 @query(
     "m16_ablation",
-    f"""{_F}, c AS (SELECT {_cells('score >= 0.5').replace(' AS ', ' AS base_')}, {_cells('score >= 0.5 OR fwd_bytes >= 40000').replace(' AS ', ' AS candidate_')} FROM flows),
+    f"""{_F}, c AS (SELECT {_cells('score >= 0.5').replace(' AS ', ' AS base_')}, {_cells('(score >= 0.5 OR fwd_bytes >= 40000)').replace(' AS ', ' AS candidate_')} FROM flows),
 r AS (SELECT *, base_tp / (base_tp + base_fn) AS base_recall, base_tp / (base_tp + base_fp) AS base_precision, 1000.0::DOUBLE * base_fp / (base_fp + base_tn) AS base_alarms_per_1000,
  candidate_tp / (candidate_tp + candidate_fn) AS candidate_recall, candidate_tp / (candidate_tp + candidate_fp) AS candidate_precision, 1000.0::DOUBLE * candidate_fp / (candidate_fp + candidate_tn) AS candidate_alarms_per_1000 FROM c)
 SELECT *, CASE WHEN candidate_recall > base_recall AND candidate_alarms_per_1000 <= base_alarms_per_1000 THEN 'improves' WHEN candidate_recall > base_recall THEN 'trades_alarms_for_recall'
