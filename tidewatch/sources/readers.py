@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,9 +25,10 @@ def preflight_csv(spark: SparkSession, path: str, required: Mapping[str, Sequenc
 
 def feature_names(spark: SparkSession, metadata: str, encoding: str = "windows-1252") -> list[str]:
     """Column names from a metadata CSV with a Name column, in order of its No. column."""
-    rows = spark.read.option("header", True).option("encoding", encoding).csv(metadata)
-    by = {c.strip().lower(): c for c in rows.columns}
-    return [r[0].strip().lower() for r in rows.orderBy(F.col(f"`{by['no.']}`").cast("int")).select(by["name"]).collect()]
+    content = spark.read.format("binaryFile").load(metadata).first()["content"]  # a few dozen lines
+    rows = list(csv.DictReader(io.StringIO(content.decode(encoding))))
+    rows = [{k.strip().lower(): v for k, v in r.items()} for r in rows]
+    return [r["name"].strip().lower() for r in sorted(rows, key=lambda r: int(r["no."]))]
 
 
 def read_headerless(spark: SparkSession, paths: Sequence[str], names: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
