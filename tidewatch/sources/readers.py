@@ -55,7 +55,7 @@ def with_row_numbers(df: DataFrame, file: str = "file") -> DataFrame:
     """`df` with row_no, from 1 in each file, in file order: ordinals of the read order (zipWithIndex), less the file's first."""
     numbered = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(T.StructType([*df.schema.fields, T.StructField("_nth", T.LongType())]))
     first = numbered.groupBy(file).agg(F.min("_nth").alias("_first"))
-    return numbered.join(F.broadcast(first), file).withColumn("row_no", F.col("_nth") - F.col("_first") + 1).drop("_nth", "_first").select(*df.columns, "row_no")
+    return numbered.join(first, file).withColumn("row_no", F.col("_nth") - F.col("_first") + 1).drop("_nth", "_first").select(*df.columns, "row_no")
 
 
 def classify_json_lines(lines: DataFrame, value: str = "value", reserved: Sequence[str] = ()) -> DataFrame:
