@@ -165,3 +165,33 @@ def technique_of(title: Column, scenario: Column, nearest: Column, port: Column,
     for p, name in ports.items():
         by_port = F.when(port == p, name).otherwise(by_port)
     return F.coalesce(F.when(token != "", token), F.when(scenario != "", scenario), nearest, by_port)
+
+
+def first_attack_flows(members: DataFrame, attacks: DataFrame, incident: str, order: str, flow_id: str, campaign: str | None = None) -> DataFrame:
+    """(incident, flow): the earliest member that is an attack flow, else the first attack of the incident's campaign."""
+    own = members.join(attacks.select(flow_id), flow_id, "left_semi").groupBy(incident).agg(F.min_by(flow_id, F.struct(order, flow_id)).alias("_own"))
+    rows = members.select(incident, *([campaign] if campaign else [])).distinct().join(own, incident, "left")
+    if not campaign:
+        return rows.select(incident, F.col("_own").alias("flow"))
+    by = attacks.groupBy(campaign).agg(F.min(flow_id).alias("_by"))
+    return rows.join(by, campaign, "left").groupBy(incident).agg(F.coalesce(F.min("_own"), F.min("_by")).alias("flow"))
+
+
+def compression_tiers(row: DataFrame, stages: Sequence[str]) -> DataFrame:
+    """(stage, n, compressed_pct) of a one-row funnel against its first stage; null where that is empty."""
+    base = F.col(stages[0])
+    cells = F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).cast("long").alias("n"), F.when(base > 0, 100.0 * (base - F.col(s)) / base).alias("compressed_pct")) for s in stages])
+    return row.select(F.explode(cells).alias("x")).select("x.*")
+
+
+def playbook_of(decision: Column, technique: Column, playbooks: dict[str, str], default: str) -> Column:
+    """The candidate playbook of an attack row by its technique; null for others."""
+    found = F.lit(default)
+    for name, playbook in playbooks.items():
+        found = F.when(technique == name, playbook).otherwise(found)
+    return F.when(decision == "Attack", found)
+
+
+def compatibility(features: DataFrame, policy: DataFrame, key: str) -> DataFrame:
+    """`features` with the policy's decision (supported or incompatible); unlisted representations are unknown."""
+    return features.join(small(policy), key, "left").withColumn("decision", F.coalesce("decision", F.lit("unknown")))

@@ -337,3 +337,24 @@ def empirical_psi(before: DataFrame, after: DataFrame, column: str, bins: int =
     rows = before.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(shares(before, "p"), "bin", "left").join(shares(after, "q"), "bin", "left")
     p, q = (F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(1e-4)) for c in (F.col("p"), F.col("q")))
     return rows.agg(F.sum((q - p) * F.log(q / p)).alias("psi"))
+
+
+def acceptance_gates(cells: DataFrame) -> DataFrame:
+    """Integer gates over (attacks_gained, attacks_lost, alarms_gained, alarms_lost): more attacks, at least 3 attacks per
+    40 extra alarms, and both, as booleans; the price per attack is named infinite where no attack is gained."""
+    a, b = F.col("attacks_gained") - F.col("attacks_lost"), F.col("alarms_gained") - F.col("alarms_lost")
+    price = F.when((a <= 0) & (b > 0), "infinite").when(a <= 0, "undefined").otherwise((b / a).cast("decimal(20,4)").cast("string"))
+    return cells.withColumns({"gains": a > 0, "affordable": 40 * a >= 3 * b, "price": price}).withColumn("accepted", F.col("gains") & F.col("affordable"))
+
+
+def cohort_ratios(df: DataFrame, cohort: str, score: str, base: str) -> DataFrame:
+    """(cohort, mean, ratio) of a score against the mean of the `base` cohort; null where that is 0 or absent."""
+    per = df.groupBy(cohort).agg(F.avg(score).alias("mean"))
+    ref = per.where(F.col(cohort) == base).agg(F.max("mean").alias("_base"))
+    return per.crossJoin(ref).select(cohort, "mean", F.try_divide("mean", "_base").alias("ratio"))
+
+
+def queue_ratios(cells: DataFrame) -> DataFrame:
+    """Queue sizes and their ratio of the first detector alone and of the OR rule, from overlap cells of both labels."""
+    sums = cells.agg(F.sum(F.col("both") + F.col("first_only")).alias("first_queue"), F.sum(F.col("both") + F.col("first_only") + F.col("second_only")).alias("or_queue"))
+    return sums.withColumn("growth", F.try_divide(F.col("or_queue").cast("double"), F.col("first_queue")))
