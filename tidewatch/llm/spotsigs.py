@@ -127,7 +127,7 @@ def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("fingerprint", of(F.col(text)))
 
 
-def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", range_bytes: int = 16 << 20) -> DataFrame:
+def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", range_bytes: int = 4 << 20) -> DataFrame:
     """Every document against its edited text: the last half of its code points replaced by as many
     first ones of the next document in ascending id order (the last is followed by the first).
 
