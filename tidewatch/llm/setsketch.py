@@ -279,7 +279,10 @@ def _suspects(bands: DataFrame, classes: DataFrame, labels: DataFrame, percent:
         return pa.Table.from_pandas(found, preserve_index=False, schema=wanted)
 
     wanted = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("component", pa.string() if kind == "string" else pa.int64()), ("n", pa.int64())])
-    return own.select(*cols).union(asks.select(*cols)).groupBy("key", "block").applyInArrow(compared, f"key long, digest binary, component {kind}, n long").distinct()
+    # Few bytes, much work: as many parts as the rows need, which adaptive execution leaves alone.
+    parts = max(int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions")), bands.count() // 2000)
+    dealt = own.select(*cols).union(asks.select(*cols)).repartition(parts, "key", "block")
+    return dealt.groupBy("key", "block").applyInArrow(compared, f"key long, digest binary, component {kind}, n long").distinct()
 
 
 def _crossing(df: DataFrame, suspects: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
