@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import math
 import struct
 
 import pytest
@@ -117,6 +118,16 @@ def test_upper_quantile_and_strict_decisions(spark):
     assert scoring.upper_quantile(rows.limit(0), "s").first().threshold is None
 
 
+def test_upper_quantile_counts_rows_of_hot_values(spark):
+    n = 2_000_000  # 10,000 values of their own, the others on 30 values
+    rows = spark.range(n).select(F.when(F.col("id") < 10_000, F.col("id") + 100.0).otherwise(F.col("id") % 30 + 0.0).alias("s"))
+    assert scoring.upper_quantile(rows, "s").first().threshold == 29.0  # the 20,001st from the top
+    hot = spark.createDataFrame([(float(i),) for i in range(200)] + [(150.0,)] * 800 + [(None,)], "s double")
+    values = sorted([float(i) for i in range(200)] + [150.0] * 800)
+    for q in (0.0, 0.14, 0.951, 0.99):
+        assert scoring.upper_quantile(hot, "s", q, ranges=4, most=3).first().threshold == values[math.ceil(q * 999)]
+
+
 def test_zero_denominators(spark):
     row = scoring.with_rates(spark.createDataFrame([(0,)], "label int").agg(*scoring.confusion(F.col("label"), F.lit(False)))).first()
     assert (row.precision, row.recall, row.f1, row.fpr, row.balanced_accuracy) == (0.0, 0.0, 0.0, 0.0, None)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.normalize import mean_size, rate_per_second
+from tidewatch.session import stored
 
 NUMERIC = ("duration_ms", "fwd_packets", "bwd_packets", "fwd_bytes", "bwd_bytes", "packets_per_second", "bytes_per_second", "fwd_packet_length_mean", "bwd_packet_length_mean", "dst_port")
 PROTOCOLS = ("tcp", "udp", "icmp", "other")
@@ -117,18 +118,28 @@ def withheld_reason(features: Sequence[str]) -> Column:
 # ---- thresholds and metrics
 
 
-def upper_quantile(df: DataFrame, score: str, q: float = 0.99) -> DataFrame:
+def upper_quantile(df: DataFrame, score: str, q: float = 0.99, ranges: int = 64, most: int = 100_000) -> DataFrame:
     """One row: threshold, the order statistic at ceil(q (n - 1)) (the next value up, no interpolation).
 
-    Only the top (1 - q) share is kept in order, by distinct value."""
-    per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    n = per.agg(F.sum("c").alias("n"))
-    row = n.first()["n"] or 0
+    Over the distinct values with their row counts. Running sums go by `ranges` of distinct values; the one that holds
+    the wanted row is cut again until at most `most` distinct values are left to be ordered."""
+    per = stored(df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("v")).agg(F.count(F.lit(1)).alias("c")), "quantile")
+    size = per.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("values")).first()
+    row, values = size["n"] or 0, size["values"]
     rank = row - math.ceil(q * (row - 1)) if row else 0  # from the top, 1 = largest
-    bounds = per.agg(F.percentile_approx("v", max(0.0, q - 0.02), 10000, ).alias("low")) if row > 1_000_000 else None
-    top = per if bounds is None else per.crossJoin(F.broadcast(bounds)).where("v >= low").select("v", "c")
+    while values > max(most, 1):
+        # The cuts only say where to sum: that they are approximate changes no result.
+        cuts = per.agg(F.array_distinct(F.percentile_approx("v", [i / ranges for i in range(1, ranges)], 10_000)).alias("cuts"))
+        placed = per.crossJoin(F.broadcast(cuts)).withColumn("b", F.size(F.filter("cuts", lambda x: x < F.col("v"))))
+        for r in placed.groupBy("b").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("values")).orderBy(F.desc("b")).collect():  # one row a range
+            if rank <= r["n"]:
+                break
+            rank -= r["n"]
+        if r["values"] == values:
+            break
+        per, values = placed.where(F.col("b") == r["b"]).select("v", "c"), r["values"]
     above = F.sum("c").over(Window.orderBy(F.desc("v")))
-    return top.withColumn("above", above).where(F.col("above") >= rank).agg(F.max("v").alias("threshold"))
+    return per.withColumn("above", above).where(F.col("above") >= rank).agg(F.max("v").alias("threshold"))
 
 
 def threshold_counts(df: DataFrame, score: str, threshold: float) -> DataFrame:
