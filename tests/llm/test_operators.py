@@ -261,6 +261,21 @@ def test_edited_fingerprints(spark, some):
     assert (spotsigs.from_string(spotsigs.as_string(own("the a b c of d"))) == own("the a b c of d")).all()
 
 
+def test_spot_signatures_cover_texts_without_anchors():
+    own = spotsigs.Signatures()
+    for start, words in (("alpha beta gamma", [f"w{i}" for i in range(400)]), ("и в не", [f"слово{i}" for i in range(400)]), ("a and are", ["was", "with", "not", "have", "at", "be", "by"] * 20)):
+        rng = np.random.default_rng(8)
+        left, right = ([*start.split(), *rng.choice(words, 300)] for _ in range(2))
+        assert spotsigs.jaccard(own(" ".join(left)), own(" ".join(right))) < 0.5
+        for at in range(3, len(left), 7):  # every word counts, and only near its place
+            edited = own(" ".join([*left[:at], "zebra", *left[at + 1 :]]))
+            assert 0.85 < spotsigs.jaccard(own(" ".join(left)), edited) < 1 or len(own(" ".join(left))) < 100
+            assert (edited.tolist() != own(" ".join(left)).tolist())
+    menu = [f"w{i}" for i in range(100)]
+    tail = "the " + " ".join(menu)  # one anchor does not cover a list either
+    assert all(own(tail).tolist() != own(tail.replace(w + " ", "zebra ")).tolist() for w in menu[:-1])
+
+
 def test_spot_pairs_equal_brute_force(spark):
     rng = np.random.default_rng(6)
     base = [" ".join(f"the w{j}" for j in rng.integers(0, 60, 25)) for _ in range(12)]

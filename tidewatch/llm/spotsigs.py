@@ -6,6 +6,12 @@ sorted 32-bit hashes: enough to compare two fingerprints by Jaccard without thei
 of a text counts as an anchor too, and chains are closed at its end, so every text with a word has
 a signature. Words are runs of ASCII letters, digits and non-ASCII bytes, A-Z lower-cased.
 
+A stretch of more than SPARSE content words without an anchor (other languages, lists, menus) gets
+anchors chosen by hash: the least hash of every REACH + 1 content words in a row, so that chains
+leave no word of it out and a choice depends on the words next to it only. A text without any anchor
+is such a stretch at any length; where under an eighth of the words is content, all count as content
+and none as an anchor.
+
 Two texts without any word have equal, empty fingerprints (likeness 1); an empty one is unlike any
 other (likeness 0). Null texts count as empty.
 
@@ -30,6 +36,9 @@ from pyspark.sql import types as T
 from tidewatch.llm.common import stored
 
 CHAIN, SPACING = 3, 1
+#: Content words that a chain reaches over, and those between anchors of which a chain covers less than a third.
+REACH = CHAIN * SPACING
+SPARSE = 3 * REACH
 #: Function words of four languages; the anchors are the most common of them.
 ANCHORS = "the is of to der und die von le et la les el que los del"
 FUNCTION_WORDS = (
@@ -76,20 +85,31 @@ class Signatures:
         at = np.minimum(np.searchsorted(listed, words), len(listed) - 1)
         return listed[at] == words
 
+    @staticmethod
+    def _by_hash(content: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
+        """Content words that are anchors by hash: those in stretches of more than `least` words between chain starts."""
+        length = np.diff(np.concatenate([first, [len(content)]]))
+        if len(content) <= REACH or length.max() <= least:
+            return np.empty(0, np.int64)
+        windows = np.lib.stride_tricks.sliding_window_view(content, REACH + 1)
+        chosen = np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
+        return chosen[np.repeat(length > least, length)[chosen]]
+
     def __call__(self, text: str | None) -> np.ndarray:
         words = self.words(text or "")
         if not len(words):
             return np.empty(0, np.uint32)
         content = np.flatnonzero(~self._among(words, self.common))
         anchors = np.flatnonzero(self._among(words, self.anchors))
-        chain = np.concatenate([words[content], np.zeros(CHAIN * SPACING, np.uint64)])  # zeros close the chains
-        if not len(content):
-            chain = np.concatenate([words, np.zeros(CHAIN * SPACING, np.uint64)])
-            anchors = anchors[:0]
+        if len(content) * 8 < len(words):
+            content, anchors = np.arange(len(words)), anchors[:0]
+        chain = np.concatenate([words[content], np.zeros(REACH, np.uint64)])  # zeros close the chains
         first = np.concatenate([[0], np.searchsorted(content, anchors, "right")])
         h = np.concatenate([[np.uint64(1)], words[anchors]])
-        kept = first < max(1, len(content))
+        kept = first < len(content)
         first, h = first[kept], h[kept]
+        chosen = self._by_hash(chain[: len(content)], first, SPARSE if len(anchors) else REACH)
+        first, h = np.concatenate([first, chosen + 1]), np.concatenate([h, chain[chosen]])
         for j in range(CHAIN):
             h = (h ^ (h >> np.uint64(30))) * _B_INVERSE + chain[first + j * SPACING]
             h = (h ^ (h >> np.uint64(27))) * _B
