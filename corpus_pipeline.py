@@ -27,8 +27,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each source's documents as often as its target asks, in training order."""
-    mixed = mixture.mixed_documents(docs)
+    """Each source's documents as often as its target asks, in training order, all of them whole."""
+    mixed = mixture.mixed_documents(docs, whole=True)
     return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else mixed
 
 

@@ -26,6 +26,21 @@ def test_stages(spark, tmp_path):
     assert sums[0] <= packing.CAPACITY and sums[2] <= sums[1] / packing.CAPACITY + 2
 
 
+def test_mixed_texts_are_whole(spark):
+    rows = [(i, f"a{i}\nb  c " + "w\n" * (i * 37 % 90), f"s{i % 3}") for i in range(90)] + [(100, "long  text\n" * 3000, "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = {i: t for i, t, _ in rows}
+    plan = mixture.mix_documents(docs)
+    assert plan.where("part > 0 and part < size").count() > 0
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert all(texts[r.doc_id] == r.text for r in mixed.collect())
+    got = dict(mixed.groupBy("source").agg(F.sum(mixture.word_count(F.col("text")))).collect())
+    for source, want, high in plan.groupBy("source").agg(F.sum("taken"), F.max("size")).collect():
+        assert abs(got[source] - want) <= (high / 2 if source == "s2" else 1)
+    most = plan.select(F.max(F.ceil(F.col("target") / F.col("source_size")))).first()[0]
+    assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= most
+
+
 def test_every_operator_is_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES)
     assert numbers == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
