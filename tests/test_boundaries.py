@@ -5,7 +5,9 @@ import hashlib
 import math
 import struct
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import digests, normalize
@@ -128,6 +130,24 @@ def test_upper_quantile_counts_rows_of_hot_values(spark):
         assert scoring.upper_quantile(hot, "s", q, ranges=4, most=3).first().threshold == values[math.ceil(q * 999)]
 
 
+def test_nearest_cosine_beyond_the_broadcast_bound(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-3, 4, (400, 4)).astype(float)  # many ties, some all-zero vectors
+    x[200:300] = x[7]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(400)] + [(400, None), (401, [1.0])]
+    corpus = spark.createDataFrame(rows, "doc_id long, embedding array<float>")
+    queries = corpus.where("doc_id % 10 = 7 or doc_id >= 399").withColumnRenamed("doc_id", "query_id")
+    small = text.nearest_cosine(queries, corpus, 3).select("query_id", "rank", "doc_id")
+    large = text.nearest_cosine(queries, corpus, 3, most=100)
+    want = {tuple(r) for r in small.collect()}
+    assert {tuple(r) for r in large.select("query_id", "rank", "doc_id").collect()} == want and len(want) == 3 * queries.count()
+    blocks = text._grid_cosine(queries, corpus, 3, "query_id", "doc_id", "embedding", query_block=16, block=64)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "doc_id")
+    assert {tuple(r) for r in blocks.withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("query_id", "rank", "doc_id").collect()} == want
+    with_floor = text.nearest_cosine(queries, corpus, 3, floor=0.9, most=100).agg(F.min("similarity"), F.count_if(F.col("similarity").isNull())).first()
+    assert with_floor[0] >= 0.9 and with_floor[1] == 0
+
+
 def test_zero_denominators(spark):
     row = scoring.with_rates(spark.createDataFrame([(0,)], "label int").agg(*scoring.confusion(F.col("label"), F.lit(False)))).first()
     assert (row.precision, row.recall, row.f1, row.fpr, row.balanced_accuracy) == (0.0, 0.0, 0.0, 0.0, None)
