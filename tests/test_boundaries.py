@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import inspect
 import math
 import struct
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import digests, normalize
 from tidewatch.operators import audit, burst, correlate, leakage, quality, reports, scoring, text, timeline
 from tidewatch.operators.components import connected_components
+from tidewatch.plans import scoring_queries
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 ALERT = "alert_id long, t timestamp, ns string, src string, dst string, proto string, service string, score double, decision string"
@@ -148,6 +150,30 @@ def test_nearest_cosine_beyond_the_broadcast_bound(spark):
     assert with_floor[0] >= 0.9 and with_floor[1] == 0
 
 
+def test_model_queries_fit_with_the_defaults(spark, monkeypatch):
+    asked = {}
+
+    class Fitted(Exception):
+        pass
+
+    def spy(name):
+        real = inspect.signature(getattr(scoring, name))
+
+        def fit(*args, **kwargs):
+            bound = real.bind(*args, **kwargs)
+            bound.apply_defaults()
+            asked.update(bound.arguments)
+            raise Fitted
+
+        return fit
+
+    for name, run in (("fit_forest", scoring_queries.m4_forest_metrics), ("fit_logistic", scoring_queries.m5_logistic_metrics)):
+        monkeypatch.setattr(scoring, name, spy(name))
+        with pytest.raises(Fitted):
+            run(spark, "/root/testdata/sf0.001")
+    assert (asked["trees"], asked["depth"], asked["leaf"], asked["iterations"], asked["c"]) == (100, 16, 5, 1000, 1.0)
+
+
 def test_zero_denominators(spark):
     row = scoring.with_rates(spark.createDataFrame([(0,)], "label int").agg(*scoring.confusion(F.col("label"), F.lit(False)))).first()
     assert (row.precision, row.recall, row.f1, row.fpr, row.balanced_accuracy) == (0.0, 0.0, 0.0, 0.0, None)
