@@ -292,6 +292,14 @@ def test_spot_pairs_equal_brute_force(spark):
 # ---- 9
 
 
+def test_rollup_counts_by_a_tokenizer(spark, some):
+    own = WordBpe(queries.tokenizer_path())
+    few = some.where("doc_id < 20 or doc_id between 200 and 202")
+    rows = token_rollup.counted(few, "bpe", token_rollup.tokenizer_counter(queries.tokenizer_path())).collect()
+    texts = {r.doc_id: r.text or "" for r in few.collect()}
+    assert {r.doc_id: r.tokens for r in rows} == {i: len(own.exact(t)) // 4 for i, t in texts.items()} and len(rows) == 23
+
+
 def test_rollup_is_additive_and_idempotent(spark, tmp_path, some):
     store = token_rollup.Rollup(spark, str(tmp_path / "store"))
     assert store.totals().count() == 0

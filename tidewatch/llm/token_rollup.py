@@ -21,8 +21,9 @@ version, a delete loses to an upsert, and the larger counts win.
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +43,8 @@ VERSIONS: dict[str, Callable[[Column], Column]] = {"words-1": word_count, "marks
 
 def tokenizer_counter(path: str) -> Callable[[Column], Column]:
     """A counter that uses a tokenizer file of the `tokenizers` library (Arrow batches)."""
-    import pyarrow as pa
-
     @F.arrow_udf("long")
-    def count(batches):
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
