@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidewatch.llm import html_text, mixture, packing, queries, setsketch, sharding, spotsigs, token_rollup, toxicity, url_rules, vectors
 from tidewatch.llm.tokens import WordBpe
@@ -27,6 +28,11 @@ def some(spark):
     return docs(spark, rows)
 
 
+@pytest.fixture
+def sf():
+    return "/root/testdata/sf0.001"
+
+
 # ---- 1
 
 
@@ -112,11 +118,64 @@ def test_mixed_rows_follow_the_plan(spark, some):
 # ---- 3
 
 
+def plain_ids(text):
+    """The ids by the tokenizers library and the file as it is."""
+    return Tokenizer.from_file(queries.tokenizer_path()).encode(text or "", add_special_tokens=False).ids
+
+
 def test_tokens_equal_the_tokenizer():
     own = WordBpe(queries.tokenizer_path())
-    texts = ["", "Hello's World!! don't <|endoftext|>", "ΣΑΣ", "a\x1cb c\xa0d", "½ ² cafe\u0301 İstanbul 中文 😀 ‘it’s’", "x" * 3000, "!!'s '' 're'll ...’s a_b 1½", "ß ſ ﬁ\u2003z"]
-    assert own.ids(texts) == [own.exact(t) for t in texts]
-    assert own.ids(texts[::-1]) == [own.exact(t) for t in texts[::-1]]
+    texts = ["", "Hello's World!! don't <|endoftext|>", "<|startoftext|>a<|endoftext|><|ENDOFTEXT|> <|pad|>", "中文 <|endoftext|>x", "ΣΑΣ", "a\x1cb c\xa0d", "½ ² cafe\u0301 İstanbul 中文 😀 ‘it’s’", "x" * 3000, "!!'s '' 're'll ...’s a_b 1½", "ß ſ ﬁ\u2003z"]
+    want = [plain_ids(t) for t in texts]
+    assert want[1][-1] == want[3][-2] == 49407 and want[2][0] == 49406
+    for turn in (texts, texts[::-1]):
+        assert [np.frombuffer(i, "<u4").tolist() for i in own.ids(turn)] == [plain_ids(t) for t in turn]
+
+
+def fewest_bins(lengths, capacity):
+    """The least number of bins, by trying all places of every piece."""
+    best = len(lengths)
+
+    def place(at, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if at == len(lengths):
+            best = len(rooms)
+            return
+        for i in {r: i for i, r in enumerate(rooms) if r >= lengths[at]}.values():
+            place(at + 1, rooms[:i] + [rooms[i] - lengths[at]] + rooms[i + 1 :])
+        place(at + 1, rooms + [capacity - lengths[at]])
+
+    lengths = sorted(lengths, reverse=True)
+    place(0, [])
+    return best
+
+
+def test_packing_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    for turn in range(4):
+        words = [int(w) for w in rng.integers(0, 30, 11)]
+        rows = [(i, " ".join(["a"] * w)) for i, w in enumerate(words)] + [(50, None), (51, ""), (52, "b " * 75 + "<|endoftext|>"), (53, "b c"), (53, "b c")]
+        got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path(), capacity=32).toPandas()
+        want = []
+        for i, text in rows:
+            ids = [*plain_ids(text), 1]
+            for piece, start in enumerate(range(0, len(ids), 32)):
+                part = np.array(ids[start : start + 32], "<u4")
+                want.append((i, piece, start, len(part), zlib.crc32(part.tobytes())))
+        assert sorted(zip(got.doc_id, got.piece, got.start, got.length, got.ids_crc32)) == sorted(want)
+        assert got.sequence_id.nunique() <= fewest_bins([w[3] for w in want], 32) + 1
+        for _, group in got.sort_values("offset").groupby("sequence_id"):
+            assert group.offset.tolist() == [0, *np.cumsum(group.length)[:-1]] and group.length.sum() <= 32
+
+
+def test_packing_deals_repeats(spark):
+    pieces = spark.createDataFrame([(7, 0, 0, 30, 5)] * 900, "doc_id long, piece int, start long, length long, ids_crc32 long").withColumn("part", F.lit("clash"))
+    got = packing.pack_pieces(pieces, capacity=100, per_partition=100, max_rounds=1)
+    assert got.columns == [*pieces.columns, "sequence_id", "offset"]
+    per = got.groupBy(F.shiftright("sequence_id", 24).alias("part")).count().toPandas()
+    assert len(per) > 5 and per["count"].max() < 250 and got.count() == 900
 
 
 def test_packing_is_whole_and_tight(spark, some):
@@ -173,16 +232,42 @@ def test_url_rules_both_ways(spark):
 
 
 def test_shuffle_is_a_permutation(spark, some):
-    rows = sharding.shard_rows(some.drop("bucket"), shards=7, bucket_bytes=2000).toPandas()
-    again = sharding.shard_rows(some.drop("bucket").repartition(5), shards=7, bucket_bytes=2000).toPandas()
+    clashing = some.withColumns({"row": F.lit(1), "position": F.lit(2), "start": F.lit(3), "_key": F.lit(4), "rows": F.lit(5), "n": F.lit(6)})
+    rows = sharding.shard_rows(clashing, shards=7, bucket_bytes=2000).toPandas()
+    again = sharding.shard_rows(clashing.repartition(5), shards=7, bucket_bytes=2000).toPandas()
+    assert rows.columns.tolist() == [*clashing.columns, "shard", "slot"] and (rows.bucket == 1).all() and (rows.position == 2).all()
     key = ["doc_id", "shard", "slot"]
     assert rows[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist()
-    assert sorted(rows.position) == list(range(126))
+    assert sorted(zip(rows.doc_id, rows.text.fillna("~"))) == sorted((r.doc_id, "~" if r.text is None else r.text) for r in some.collect())
     sizes = rows.groupby("shard").size()
     assert sizes.max() - sizes.min() <= 1 and len(sizes) == 7
     for _, slots in rows.groupby("shard").slot:
         assert sorted(slots) == list(range(len(slots)))
-    assert sharding.shard_rows(some.drop("bucket").limit(0)).count() == 0
+    assert sharding.shard_rows(some.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        sharding.shard_rows(some.withColumn("slot", F.lit(1)))
+
+
+def test_repeats_of_a_record_spread(spark):
+    rows = spark.createDataFrame([(7, "the same text")] * 600 + [(i, f"other {i}") for i in range(100, 160)] + [(None, None)] * 50, "doc_id long, text string")
+    got = sharding.external_shuffle(rows, bucket_bytes=500, hot=40).select("row.doc_id", "bucket", "position").toPandas()
+    assert sorted(got.position) == list(range(710)) and got.bucket[got.doc_id == 7].nunique() > 8 and got.bucket[got.doc_id.isna()].nunique() > 5
+    again = sharding.external_shuffle(rows.repartition(7), bucket_bytes=500, hot=40).select("row.doc_id", "bucket", "position").toPandas()
+    key = ["position", "doc_id", "bucket"]
+    assert got[key].fillna(-1).sort_values(key).values.tolist() == again[key].fillna(-1).sort_values(key).values.tolist()
+
+
+def test_sharding_query_equals_a_plain_version(spark, sf):
+    got = queries.QUERIES["op5_sharding"](spark, sf).toPandas()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
+    texts = dict(zip(docs.doc_id, docs.text))
+    assert sorted(got.doc_id) == sorted(texts) and set(got.law) == {"rows"} and got.grown_shard.isna().all() and set(got.shard) == set(range(16))
+    for r in got.itertuples():
+        raw = (texts[r.doc_id] or "").encode()
+        assert r.size == len(raw) + 1 and r.text_crc32 == zlib.crc32(raw)
+    sizes = got.groupby("shard").size()
+    assert sizes.max() - sizes.min() <= 1
+    assert all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard").slot)
 
 
 # ---- 6

@@ -7,9 +7,11 @@ lengths, for the whole table from its histogram of lengths (at most one count pe
 each partition from its own. A partition whose bin count meets its unrounded bound is certified and
 final; the others keep their full bins and release the rest. Released pieces are exchanged: dealt
 anew into as many partitions as their number needs, and packed again, until the whole table meets
-its bound or one partition holds all that is released.
+its bound or one partition holds all that is released; after `max_rounds` exchanges what is still
+released is packed as it is dealt. Pieces are dealt by their row, so that repeats of a row spread.
 
-Null texts are empty documents of one end id; repeated rows are packed each by itself.
+Null texts are empty documents of one end id; repeated rows are packed each by itself. A text that
+spells a special token of the tokenizer file gets that token's id.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from tidewatch.llm.tokens import WordBpe
 
 CAPACITY, END_ID = 4096, 1
 PIECES_PER_PARTITION = 16_384
+#: A piece's number in the stored table: tells repeats of a row apart.
+ROW = "_pack_row"
 
 
 def tokenized(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -104,20 +108,21 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION, max_rounds: int = 8) -> DataFrame:
     """Adds sequence_id and offset to rows of (.., doc_id, piece, length, ids_crc32)."""
+    names = pieces.columns
+    pieces = stored(pieces.withColumn(ROW, F.monotonically_increasing_id()), "pack-pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # at most `capacity` rows
         counts[length] = n
     least = math.ceil(lower_bound(counts, capacity) - 1e-9)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, released boolean"
-    names = pieces.columns
     done, open_, waiting, total = None, pieces, int(counts.sum()), 0
     for turn in range(max_rounds):
         parts = max(1, math.ceil(waiting / per_partition))
         last = parts == 1 or turn == max_rounds - 1
 
-        wanted = pa.schema([*(_field(pieces, c) for c in names), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("released", pa.bool_())])
-        dealt = open_.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "ids_crc32"), F.lit(parts)))
-        result = stored(dealt.groupBy("part").applyInArrow(_packer(turn, last, capacity, wanted), schema), f"pack-{turn}")
+        wanted = pa.schema([*(_field(pieces, c) for c in pieces.columns), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("released", pa.bool_())])
+        dealt = open_.withColumn("_pack_part", F.pmod(F.xxhash64(F.lit(turn), ROW), F.lit(parts)))
+        result = stored(dealt.groupBy("_pack_part").applyInArrow(_packer(turn, last, capacity, wanted), schema), f"pack-{turn}")
         kept = result.where("not released").drop("released")
         done = kept if done is None else done.union(kept)
         if last:
@@ -130,8 +135,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int
             done = done.union(result.where("released").drop("released"))
             break
         total += now[2]
-        open_ = result.where("released").select(*names)
-    return done
+        open_ = result.where("released").select(*pieces.columns)
+    return done.select(*names, "sequence_id", "offset")
 
 
 def _packer(turn: int, last: bool, capacity: int, wanted: pa.Schema):
@@ -145,7 +150,7 @@ def _packer(turn: int, last: bool, capacity: int, wanted: pa.Schema):
         frame["sequence_id"] = (turn << 56) + (int(key[0].as_py()) << 24) + bins
         frame["offset"] = offsets
         frame["released"] = (left[bins] > 0) if gap > 1e-9 and not last else False
-        return pa.Table.from_pandas(frame.drop(columns="part"), preserve_index=False, schema=wanted)
+        return pa.Table.from_pandas(frame.drop(columns="_pack_part"), preserve_index=False, schema=wanted)
 
     return packed
 
@@ -159,4 +164,4 @@ def _field(df: DataFrame, name: str) -> pa.Field:
 def pack_documents(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset) per piece: `offset` is the
     piece's place in its sequence, gapless from 0; with keep_ids, `ids` holds its ids as binary."""
-    return pack_pieces(stored(tokenized(df, tokenizer, capacity, end_id, keep_ids), "pack-pieces"), capacity)
+    return pack_pieces(tokenized(df, tokenizer, capacity, end_id, keep_ids), capacity)

@@ -5,7 +5,7 @@ white space. So a text of the plain alphabet (Latin letters, general punctuation
 is split at white space, and each distinct piece is cut and encoded once; two bounded tables hold
 the ids of the pieces and words seen. Fresh words are merged by the file's own merge ranks, with
 the word's end as a byte of its own that merges first. Any other text, and any text that spells a
-special token, goes through the tokenizer itself.
+special token, goes through the tokenizer itself: a special token in a text gets its id, as the file defines it.
 """
 
 from __future__ import annotations
@@ -69,7 +69,6 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         letters, vocabulary = _byte_of_letter(), model["vocab"]
