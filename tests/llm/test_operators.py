@@ -326,6 +326,25 @@ def test_neighbours(spark):
     assert sorted(r.vec_id for r in few.collect()) == [1, 2]
 
 
+def test_neighbours_on_two_levels_in_double(spark):
+    rng = np.random.default_rng(14)
+    x = np.repeat(rng.normal(size=(150, 12)), 20, axis=0) + rng.normal(size=(3000, 12)) * 0.3
+    x[1500:1560] = x[1500]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").withColumns({"bundle": F.lit(1), "turn": F.lit(2), "id": F.lit(3)})
+    got = vectors.search_neighbours(df, F.col("vec_id") % 20 == 0, k=10, sample=640, list_rows=12).toPandas()
+    want = brute(np.arange(3000), x, 10)
+    found = got.sort_values("rank").groupby("query_id").vec_id.apply(list).to_dict()
+    assert np.mean([len(set(found[q]) & set(want[q])) / 10 for q in want]) >= 0.9
+    assert all(r.score == pytest.approx(x[r.query_id] @ x[r.vec_id], rel=1e-12) for r in got.head(200).itertuples())
+    index = vectors.Index(np.arange(640), x[:640], 3000, 10, 0.97, list_rows=12)
+    assert len(index.centre) == 40 and len(index.finer) > 1 and index.lists >= 200
+    floor, exact = index.floors(np.arange(640), x[:640], 10), x[:640] @ x[:375].T
+    exact[np.arange(375), np.arange(375)] = -np.inf
+    assert (floor <= -np.sort(-exact, axis=1)[:, 9]).all() and (floor > -np.sort(-exact, axis=1)[:, 9] - 1e-9).all()
+    full = index.lists_by_score(x[:5].astype(np.float32), index.lists)
+    assert (full[:, :7] == index.lists_by_score(x[:5].astype(np.float32), 7)).all() and (np.sort(full, axis=1) == np.arange(index.lists)).all()
+
+
 # ---- 8
 
 
