@@ -1,6 +1,9 @@
 """Small fixtures against brute force: nulls, empties, long texts, ties, repeats, empty tables, clashing names."""
 
 import hashlib
+import html
+import re
+import time
 import zlib
 
 import numpy as np
@@ -49,6 +52,82 @@ def test_html_blocks_and_decoding():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p></p><!-- <p>no</p>") == ""
 
 
+LONG = "This paragraph has words enough for the classifier to be sure of it, and it ends as sentences do. "
+
+
+def article(inside):
+    return f'<nav><a href="/">Home</a></nav><article><h1>A title</h1><p>{LONG}</p>{inside}<p>{LONG}</p></article><footer>All rights are reserved here.</footer>'
+
+
+@pytest.mark.parametrize(
+    "inside, kept",
+    [
+        ('<p class="related-work">Related work is told in this paragraph.</p>', "Related work is told in this paragraph."),
+        ('<h2 id="legal-notes">Legal</h2><p class="more">More on this.</p>', "Legal More on this."),
+        (f'<div class="more"><p>{LONG}</p></div>', LONG),
+        ("<ul><li>One</li><li>Two</li></ul><table><tr><td>1<td>two</table>", "One Two 1 two"),
+        ("<p>So.</p>", "So."),
+        ("<header><p>By an author</p></header>", "By an author"),
+        (f'<section class="comments"><p>{LONG}</p><p>{LONG}</p></section>', ""),
+        (f'<aside><div class="content"><p>{LONG}</p></div></aside>', ""),
+        ('<div class="ad-slot">Buy this now, it is great.</div><div id="cookie-notice">We use cookies, please accept them.</div>', ""),
+        ('<div class="related-posts"><ul><li><a href="1">Read this post</a><li><a href="2">And that one here</a></ul></div>', ""),
+        ('<form><p>Your mail address please, we send news.</p></form><p hidden>Not seen by anyone at all.</p>', ""),
+        ('<p class="a>First..', "First.."),
+        ("<p data-x=it's title='a > b'>It's here</p>", "It's here"),
+    ],
+)
+def test_html_articles(inside, kept):
+    want = " ".join(f"A title {LONG} {kept} {LONG}".split())
+    assert html_text.main_text(article(inside)) == want
+
+
+def test_html_cut_beats_the_classifier():
+    page = f"<div><div><a href=1>Home</a> <a href=2>News</a></div><p>{LONG}</p><p>So.</p><p>{LONG}</p></div><div class='comments'><p>{LONG}</p></div>"
+    blocks = html_text.blocks_of(page)
+    sign = [html_text.content_odds(b) > 0 for b in blocks]
+    assert sign == [False, True, False, True, True] and html_text.label(blocks) == [False, True, True, True, False]
+
+
+def test_html_label_is_the_cheapest():
+    for inside in ("<p>So.</p>", '<div class="more">x</div><p class="ad">Buy. Buy.</p>', '<div class="post"><aside>A few words are here.</aside></div>'):
+        blocks = html_text.blocks_of(article(inside))
+        odds, edges = html_text.network_of(blocks)
+
+        def cost(side):
+            ends = sum(o if o > 0 and not s else -o if o < 0 and s else 0 for o, s in zip(odds, side))
+            return ends + sum(there * (side[a] and not side[b]) + back * (side[b] and not side[a]) for a, b, there, back in edges)
+
+        best = min((cost([m >> i & 1 for i in range(len(odds))]), [bool(m >> i & 1) for i in range(len(blocks))]) for m in range(2 ** len(odds)))
+        assert html_text.label(blocks) == best[1]
+
+
+def test_html_deep_and_long_pages():
+    n = 100_000
+    deep = ["<div>" * n + LONG, '<div class="content">a few words here<div class="ad">' * (n // 2), "<b>" + "<div>" * n + "</b>" * n, "<ul><li>" + "<div>" * n + "<li>x" * n, '<p title="x>' * n]
+    began = time.time()
+    for page in deep:
+        html_text.main_text(page)
+    assert time.time() - began < 60
+    many = f"<p>{LONG}</p>" * 20_000
+    assert html_text.main_text(many) == " ".join([LONG.strip()] * 20_000)
+
+
+def test_html_query_equals_the_articles(spark, sf):
+    """Against a plain reading of the test pages' own article element; the cut moves some blocks."""
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r.page_id: r for r in queries.QUERIES["op1_html_text"](spark, sf).collect()}
+    assert got.keys() == pages.keys()
+    moved = 0
+    for i, page in pages.items():
+        plain = re.sub(r"</?(?:p|h1|br)>", " ", re.search(r"<article>(.*?)</article>|$", page.html or "", re.S)[1] or "")
+        want = " ".join(html.unescape(re.sub(r"</?b>", "", plain)).split())
+        assert (got[i].url, got[i].text, got[i].n_chars) == (page.url, want, len(want))
+        blocks = html_text.blocks_of(page.html or "")
+        moved += sum((html_text.content_odds(b) > 0) != c for b, c in zip(blocks, html_text.label(blocks)))
+    assert moved > 0
+
+
 def test_html_cut_equals_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(60):
@@ -74,6 +153,8 @@ def test_html_query_shape(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, "<p>A first sentence, here.</p>"), (3, "x", "")], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
     assert got == {1: "", 2: "A first sentence, here.", 3: ""}
+    clash = html_text.extract_text(pages.withColumn("text", F.lit("mine")))  # a column of the result's name is replaced
+    assert clash.columns == ["page_id", "url", "html", "text"] and {r.text for r in clash.collect()} == {"", "A first sentence, here."}
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
