@@ -441,11 +441,27 @@ def test_edited_fingerprints(spark, some):
         want.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), spotsigs.as_string(own(text)), spotsigs.jaccard(own(text), own(following))))
     assert sorted(zip(got.doc_id, got.n_chars, got.edited_sha256, got.fingerprint, got.near_next)) == sorted(want)
     assert spotsigs.edited_fingerprints(some.limit(0)).count() == 0
+    text_ids = some.where("doc_id < 40").withColumn("doc_id", F.col("doc_id").cast("string"))
+    as_text = spotsigs.edited_fingerprints(text_ids.unionByName(text_ids.limit(1).withColumn("doc_id", F.lit("x1"))), range_bytes=3000).toPandas()
+    assert sorted(as_text.doc_id.fillna(-1)) == [-1, *range(40)]
     one = spotsigs.edited_fingerprints(some.where("doc_id = 1")).first()
     assert one.near_next == 1.0
     assert (spotsigs.from_string(spotsigs.as_string(own("the a b c of d"))) == own("the a b c of d")).all()
 
 
+def test_pruned_jaccard():
+    rng = np.random.default_rng(21)
+    for _ in range(300):
+        a, b = (np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint32)) for _ in range(2))
+        both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        true = both / either if either else 1.0
+        assert spotsigs.jaccard(a, b) == pytest.approx(true)
+        for least in (0.02, 0.3, 0.8):
+            assert spotsigs.jaccard(a, b, least) == (pytest.approx(true) if true >= least else 0)
+    long = np.arange(5000, dtype=np.uint32)
+    assert spotsigs.jaccard(long, long[1000:], 0.5) == 0.8 and spotsigs.jaccard(long, long + np.uint32(4900), 0.5) == 0
+
+
 def test_spot_signatures_cover_texts_without_anchors():
     own = spotsigs.Signatures()
     for start, words in (("alpha beta gamma", [f"w{i}" for i in range(400)]), ("и в не", [f"слово{i}" for i in range(400)]), ("a and are", ["was", "with", "not", "have", "at", "be", "by"] * 20)):

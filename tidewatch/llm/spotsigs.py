@@ -12,12 +12,14 @@ leave no word of it out and a choice depends on the words next to it only. A tex
 is such a stretch at any length; where under an eighth of the words is content, all count as content
 and none as an anchor.
 
-Two texts without any word have equal, empty fingerprints (likeness 1); an empty one is unlike any
-other (likeness 0). Null texts count as empty.
-
-`spot_pairs` finds all pairs of at least a similarity without comparing all: sets are partitioned by
-length, and only sets whose lengths allow the similarity and that share one of their rarest
-signatures meet; equal sets are one class.
+Fingerprints are partitioned by their number of signatures, in powers of 1 / similarity, and compared
+by a pruned Jaccard: sets of partitions too far apart for the least likeness that counts are never
+compared, and a comparison ends as soon as what is left cannot reach it. For `edited_fingerprints`
+that least is FLOOR: a likeness below it is told as 0. Two texts without any word have equal, empty
+fingerprints (likeness 1); an empty one is unlike any other (likeness 0). Null texts count as empty.
+
+`spot_pairs` finds all pairs of at least a similarity without comparing all: only sets of the same or
+of neighbouring partitions that share one of their rarest signatures meet; equal sets are one class.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ CHAIN, SPACING = 3, 1
 #: Content words that a chain reaches over, and those between anchors of which a chain covers less than a third.
 REACH = CHAIN * SPACING
 SPARSE = 3 * REACH
+#: The least likeness of an edited text or a neighbour that is told.
+FLOOR = 0.02
 #: Function words of four languages; the anchors are the most common of them.
 ANCHORS = "the is of to der und die von le et la les el que los del"
 FUNCTION_WORDS = (
@@ -116,14 +120,30 @@ class Signatures:
         return np.unique((h >> np.uint64(32)).astype(np.uint32))
 
 
+def length_partition(n: int, similarity: float) -> int:
+    """The partition of sets of n signatures: sets of partitions two or more apart cannot be `similarity` alike."""
+    return math.floor(math.log(n) / -math.log(similarity)) if n else -1
+
+
 def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard of two sorted sets; 0 without comparing where the lengths alone rule `least` out."""
+    """Jaccard of two sorted sets if it is at least `least`, else 0, pruned by length and on the way.
+
+    Shared signatures are counted by ranges of the smaller set; counting ends when those still to come cannot
+    bring the likeness to `least`."""
     if not len(a) and not len(b):
         return 1.0
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if not len(small) or least and length_partition(len(large), least) - length_partition(len(small), least) > 1:
         return 0.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+    need = least / (1 + least) * (len(small) + len(large)) - 1e-9
+    both = 0
+    for at in range(0, len(small), 1024):
+        if both + len(small) - at < need:
+            return 0.0
+        part = small[at : at + 1024]
+        place = np.minimum(np.searchsorted(large, part), len(large) - 1)
+        both += int(np.count_nonzero(large[place] == part))
+    return both / (len(small) + len(large) - both) if both >= need else 0.0
 
 
 def as_string(signatures: np.ndarray) -> str:
@@ -147,70 +167,70 @@ def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("fingerprint", of(F.col(text)))
 
 
-def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", range_bytes: int = 4 << 20) -> DataFrame:
+def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", range_bytes: int = 64 << 20) -> DataFrame:
     """Every document against its edited text: the last half of its code points replaced by as many
     first ones of the next document in ascending id order (the last is followed by the first).
 
-    Ids are cut into ranges of about `range_bytes` of text; each range also gets the first document
-    after it, so the texts are shuffled once and no range depends on another. Rows that share an id
-    are ordered by text; null ids come first.
+    Ids are cut into ranges of about `range_bytes` of text by Spark's range partitioner, of which only
+    each range's first id is kept (8 bytes a range); the first document of a range also goes to the range
+    before it. So the texts are shuffled once, no range depends on another, and a task streams
+    through its range in order, holding one document and the one before. Rows that share an id are ordered
+    by text and stay in one range; null ids come first. Ids are whole numbers or their texts; any other
+    text counts as a null id.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = df.select(F.expr(f"try_cast(`{doc_id}` as bigint)").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     key = F.coalesce("id", F.lit(-(2**63)))
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = max(1, math.ceil(total / range_bytes))
-    shares = [i / parts for i in range(1, parts)]
-    bounds = docs.agg(F.percentile_approx(key, shares, max(10_000, 20 * parts))).first()[0] if shares else []
-    bounds = np.unique(np.array(bounds or [], np.int64))
-    sent = spark.sparkContext.broadcast(bounds)  # one id a range
-
-    @F.arrow_udf("int")
-    def range_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array(np.searchsorted(sent.value, batch.to_numpy(zero_copy_only=False), "right").astype(np.int32))
-
-    first = {r["part"]: r["low"] for r in docs.select(range_of(key).alias("part"), key.alias("key")).groupBy("part").agg(F.min("key").alias("low")).collect()}
-    ranges = sorted(first)
-    before = spark.sparkContext.broadcast((np.array([first[r] for r in ranges], np.int64), np.array([ranges[i - 1] for i in range(len(ranges))], np.int32)))
-
-    @F.arrow_udf("int")
-    def also_in(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        lows, parts_before = before.value
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / min(range_bytes, 4 << 20)))
+    parts = max(1, least, math.ceil(total / range_bytes))
+    keys = docs.select(key.alias("key")).repartitionByRange(parts, "key") if parts > 1 else docs.select(key.alias("key")).coalesce(1)
+    firsts = keys.groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("key")).toPandas()["key"]  # one id a range
+    lows = np.sort(firsts.to_numpy(np.int64))
+    parts = max(1, len(lows))
+    sent = spark.sparkContext.broadcast(lows)
+
+    @F.arrow_udf("array<int>")
+    def ranges_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lows = sent.value
         for batch in batches:
             k = batch.to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(lows, k), max(0, len(lows) - 1))
-            out = np.where(lows[at] == k, parts_before[at], -1) if len(lows) else np.full(len(k), -1)
-            yield pa.array(out.astype(np.int32))
+            own = np.searchsorted(lows, k, "right") - 1
+            first = lows[own] == k
+            out = np.stack([own, (own - 1) % len(lows)], 1).ravel()[np.stack([np.ones(len(k), bool), first], 1).ravel()]
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(1 + first)]).astype(np.int32)), pa.array(out.astype(np.int32)))
 
-    places = F.filter(F.array(F.struct(range_of(key).alias("part"), F.lit(False).alias("ahead")), F.struct(also_in(key).alias("part"), F.lit(True).alias("ahead"))), lambda x: x.part >= 0)
-    dealt = docs.withColumn("place", F.explode(places)).select("id", key.alias("key"), "text", F.col("place.part").alias("part"), F.col("place.ahead").alias("ahead"))
+    dealt = docs.select("id", key.alias("key"), "text", F.posexplode(ranges_of(key)).alias("ahead", "part"))
+    dealt = dealt.repartitionById(parts, "part").sortWithinPartitions("ahead", "key", "text").select("id", "text", "ahead")
     schema = T.StructType(
         [T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())]
     )
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
-    def compared(group: pa.Table) -> pa.Table:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Signatures()
-        group = group.sort_by([("ahead", "ascending"), ("key", "ascending"), ("text", "ascending")])
-        ids, texts = group.column("id"), group.column("text")
-        n = len(group) - int(np.count_nonzero(group.column("ahead").to_numpy(zero_copy_only=False)))
-        out: dict[str, list] = {f.name: [] for f in schema}
-        following = texts[0].as_py() if n else ""
-        mine = own(following)
-        for i in range(n):
-            now, sigs = following, mine
-            following = texts[i + 1].as_py() if i + 1 < len(group) else texts[0].as_py()
-            mine = own(following)
-            half = len(now) // 2
-            edited = now[: len(now) - half] + following[:half]
-            changed = own(edited)
-            row = (ids[i].as_py(), len(now), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_string(sigs), as_string(changed), jaccard(sigs, changed), jaccard(sigs, mine))
-            for name, value in zip(out, row, strict=True):
-                out[name].append(value)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        return pa.table({name: pa.array(values, kind) for (name, values), kind in zip(out.items(), kinds, strict=True)})
-
-    return dealt.groupBy("part").applyInArrow(compared, schema)
+        before = None  # (id, text, signatures) of the document that waits for the next one
+        done = False
+        for batch in batches:
+            out: list[list] = [[] for _ in kinds]
+            ids, ahead = batch.column("id").to_pylist(), batch.column("ahead").to_numpy(zero_copy_only=False)
+            for i, text in enumerate(batch.column("text")):
+                if done:
+                    break
+                now = text.as_py()
+                mine = own(now)
+                if before is not None:
+                    last_id, last, sigs = before
+                    half = len(last) // 2
+                    edited = last[: len(last) - half] + now[:half]
+                    changed = own(edited)
+                    row = (last_id, len(last), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_string(sigs), as_string(changed), jaccard(sigs, changed, FLOOR), jaccard(sigs, mine, FLOOR))
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+                before, done = (ids[i], now, mine), bool(ahead[i])  # the first row ahead closes the range
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], [f.name for f in schema])
+
+    return dealt.mapInArrow(compared, schema)
 
 
 def spot_pairs(df: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -234,7 +254,7 @@ def spot_pairs(df: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", t
     postings = sets.select("class", "n", F.explode("sigs").alias("sig"))
     common = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = postings.join(common, "sig", "left").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "sig"))).alias("by"))
-    length = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / similarity)).cast("int")
+    length = F.floor(F.log(F.col("n").cast("double")) / -math.log(similarity)).cast("int")  # see `length_partition`
     prefix = ranked.withColumn("band", length).withColumn("hit", F.explode(F.slice("by", F.lit(1), F.greatest(F.lit(1), F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1))))
     prefix = prefix.where("hit.df > 1").select("class", "n", "band", F.col("hit.sig").alias("sig"))
     low = prefix.withColumn("place", F.explode(F.array("band", F.col("band") + 1)))
