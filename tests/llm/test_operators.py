@@ -193,6 +193,9 @@ def test_mixed_rows_follow_the_plan(spark, some):
     got = mixed.select("source", mixture.word_count(F.col("text")).alias("n")).groupBy("source").agg(F.sum("n").alias("n")).collect()
     want = mixture.mix_documents(some).groupBy("source").agg(F.sum("taken").alias("n")).where("n > 0").collect()
     assert {tuple(r) for r in got} == {tuple(r) for r in want}
+    nameless = some.withColumn("doc_id", F.lit(None).cast("long"))
+    plan = mixture.mix_documents(nameless)
+    assert plan.select("key").distinct().count() > 100 and mixture.mixed_documents(nameless).count() > 0
     assert mixture.mixed_documents(some.limit(0)).count() == 0 and mixture.mix_documents(some.limit(0)).count() == 0
 
 
@@ -306,9 +309,24 @@ def test_url_rules_both_ways(spark):
         assert (rule, verdict) == ((None, "allow") if not fits else max(fits)[1:])
     cols = ["page_id", "host", "path", "rule", "verdict"]
     assert trie[cols].fillna("-").values.tolist() == join[cols].fillna("-").values.tolist()
+    mine = url_rules.judge_urls(pages.withColumns({"host": F.lit("mine"), "rule": F.lit("mine")}), queries.URL_RULES).toPandas()  # columns of the results' names are replaced
+    assert sorted(mine.columns) == sorted(trie.columns) and sorted(mine.host) == sorted(trie.host)
     assert trie.verdict.tolist().count("block") == 3 and url_rules.judge_urls(pages.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_url_rules_in_a_crowded_folder():
+    rules = [("a.com", f"/x/p{i}", "block" if i % 2 else "allow") for i in range(20_000)] + [("a.com", "/x/", "allow"), ("com", "/", "block"), ("com", "/", "allow")]
+    trie = url_rules.build_trie(rules)
+    began = time.time()
+    for i in range(0, 20_000, 7):
+        path = f"/x/p{i}.html"
+        want = max((r for r in rules[20_000:] if ("b.a.com" == r[0] or "b.a.com".endswith("." + r[0])) and path.startswith(r[1])), key=lambda r: (len(r[0] + r[1]), len(r[0]), r[2]))
+        longest = max((n for n in range(1, len(str(i)) + 1) if str(int(str(i)[:n])) == str(i)[:n]), default=0)
+        want = rules[int(str(i)[:longest])] if longest else want
+        assert url_rules.match(trie, "b.a.com", path) == (want[0] + want[1], want[2])
+    assert time.time() - began < 5 and url_rules.match(trie, "c.com", "/q") == ("com/", "block")
+
+
 # ---- 5
 
 
@@ -370,6 +388,10 @@ def test_toxicity_learns(spark):
     right = [(scored[r[0]] >= toxicity.CUT) == bool(r[3]) for r in rows if r[0] % 3 == 0]
     assert np.mean(right) > 0.97
     assert scored[900] == scored[901] < 0.7 and scored[902] >= 0.7 > scored[903]
+    few = toxicity.fit_toxicity(frame.union(frame).union(frame), labels, positives=10, negatives=20)
+    again = toxicity.fit_toxicity(frame.repartition(3), labels, positives=10, negatives=20)
+    assert (few.cuts == again.cuts).all() and all((a == b).all() for a, b in zip(few.tables, again.tables))  # repeats teach nothing more
+    assert "score" in toxicity.score_toxicity(frame.withColumn("score", F.lit("mine")), few).columns
     assert toxicity.fit_toxicity(frame, labels.limit(0)) is None
     assert toxicity.score_toxicity(frame, None).agg(F.max("score")).first()[0] == 0
 
@@ -516,12 +538,38 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path, some):
     new = store.totals().where("source = 'new'").first()
     assert (new.documents, new.tokens) == (1, 3) and store.totals().agg(F.sum("documents")).first()[0] == 123
     # a batch that broke off before its commit row is written over
-    token_rollup.counted(some, "marks-2").select("doc_id", "version", "source", "lang", "tokens", "chars", F.lit(True).alias("live")).write.parquet(f"{store.path}/ledger/batch=4")
+    token_rollup.counted(some, "marks-2").select("doc_id", "version", "source", "lang", "tokens", "chars", F.lit(True).alias("live"), F.lit(0).alias("bucket")).write.partitionBy("bucket").parquet(f"{store.path}/ledger/batch=4")
     assert store.totals().where("version = 'marks-2'").count() == 0
     store.apply(4, token_rollup.counted(some.limit(0), "marks-2"))
     assert store.totals().agg(F.sum("documents")).first()[0] == 123
 
 
+def test_rollup_compacts_and_reads_touched_buckets(spark, tmp_path):
+    """Random batches over text ids against a dictionary; bases replace the ledgers that they merge."""
+    rng = np.random.default_rng(31)
+    store = token_rollup.Rollup(spark, str(tmp_path / "store"), id_type="string", buckets=8, compact_every=2)
+    plain: dict = {}
+    schema = "doc_id string, source string, lang string, version string, tokens long, chars long"
+    for batch in range(1, 6):
+        ups = {(f"d{rng.integers(0, 15)}", f"v{rng.integers(0, 2)}"): (None if rng.integers(0, 4) == 0 else f"s{rng.integers(0, 2)}", "en", int(rng.integers(0, 50)), 1) for _ in range(6)}
+        gone = [(f"d{rng.integers(0, 15)}", None if rng.integers(0, 2) else "v1") for _ in range(2)] if batch > 1 else []
+        rows = [(d, s, la, v, t, c) for (d, v), (s, la, t, c) in ups.items()]
+        store.apply(batch, spark.createDataFrame(rows, schema), spark.createDataFrame(gone, "doc_id string, version string") if gone else None)
+        plain = {k: x for k, x in plain.items() if not any(k[0] == d and v in (None, k[1]) for d, v in gone)} | ups
+        want: dict = {}
+        for (_, v), (s, la, t, c) in plain.items():
+            n = want.setdefault((s, la, v), [0, 0, 0])
+            n[0], n[1], n[2] = n[0] + 1, n[1] + t, n[2] + c
+        assert {(r.source, r.lang, r.version): [r.documents, r.tokens, r.chars] for r in store.totals().collect()} == want
+    assert not store.apply(3, deletes=spark.createDataFrame([("d1", None)], "doc_id string, version string"))
+    batches, base = store._commits()
+    assert batches == [1, 2, 3, 4, 5] and base[0] == 4
+    few = spark.createDataFrame([("d1",)], "doc_id string")
+    assert len(store._touched(few)) == 1
+    scanned = [f for f in store.state(store._touched(few)).inputFiles()]
+    assert scanned and all("batch=5" in f or base[1] in f for f in store.state().inputFiles())
+
+
 # ---- 10
 
 
@@ -586,6 +634,9 @@ def test_near_duplicates_odd_ids(spark):
     assert got == [(-1, -1, True)] * 2 + [(3, 3, True)] * 2 + [(4, 4, True)] * 2 + [(9, 3, False)]
     left = sorted(r.doc_id or -1 for r in setsketch.without_near_duplicates(df).collect())
     assert left == [-1, -1, 3, 4]
+    named = df.withColumnRenamed("doc_id", "name").withColumnRenamed("text", "body").withColumn("name", F.concat(F.lit("n"), F.col("name")))
+    left = sorted(r.name or "" for r in setsketch.without_near_duplicates(named, doc_id="name", text="body").collect())
+    assert left == ["", "", "n3", "n4"]
     assert setsketch.near_duplicates(df.limit(0)).count() == 0 and setsketch.without_near_duplicates(df.limit(0)).count() == 0
 
 

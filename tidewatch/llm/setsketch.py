@@ -12,9 +12,11 @@ probability close to their Jaccard similarity.
 3. Candidates whose joint likelihood makes the threshold implausible are dropped; the others are
    verified on their full sets, which a second pass over the texts gathers for candidates only.
 4. Links give components. Where a band key still holds classes of different components, exactly
-   those cross-component pairs that no star has tested are compared: by registers in blocks of
+   those cross-component pairs that no star has tested are compared: by registers, block against block of
    bounded size, which tells the suspects, then the suspects by full sets, pair by pair inside the
-   tasks. Rows stay linear in the classes, and components are formed again.
+   tasks, and components are formed again. A key of m classes in components of their own takes m * m / 2
+   comparisons of registers (few such keys exist: its classes agree in a band and yet are unlike) in
+   tasks that hold two blocks at most; each class is sent to m / BLOCK of them.
 
 The smallest id of a component keeps. Rows with a null id are kept and linked with nothing; rows
 that share an id are one document. With 30 bands of 5 registers, a pair at the threshold 0.8
@@ -42,6 +44,8 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 #: A candidate is dropped when its likelihood at the threshold is exp(-SLACK) of the best or less.
 SLACK = 12.5
 BLOCK = 2048
+#: Tasks that a band key's members are dealt to where they are joined with the key.
+SPREAD = 16
 #: Shingles of a block of sets (eight bytes each).
 SET_BLOCK = 1 << 20
 BITS = 26
@@ -240,23 +244,26 @@ def _suspects(bands: DataFrame, classes: DataFrame, labels: DataFrame, percent:
     another component with plausible registers.
 
     bands: (key, digest, low), low being the star's centre, which has been tested with all. In each key
-    the largest component is home; classes of other components (strays) are sent to every block of
+    the largest component is home; blocks of classes of other components (strays) meet the blocks of
     the key's members. A pair counts in the first band that it shares only, so that it is verified once.
     """
     named = bands.where("digest <> low").join(labels, "digest")
     per = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    home = per.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("home"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("members")).where("parts > 1")
-    home = home.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    home = per.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("home"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("members"), F.max("size").alias("largest")).where("parts > 1")
+    home = home.withColumns({"blocks": F.ceil(F.col("members") / BLOCK).cast("int"), "turns": F.ceil((F.col("members") - F.col("largest")) / BLOCK).cast("int")})
+    # A hot key's members are dealt over SPREAD tasks, each of which has its row of `home`.
+    home = home.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     side = classes.select("digest", "n", "registers")
-    rows = named.join(home, "key").join(side, "digest")
+    rows = named.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SPREAD)).cast("int")).join(home, ["key", "salt"]).join(side, "digest")
     rows = rows.withColumn("stray", F.col("component") != F.col("home"))
-    own = rows.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False))
-    asks = rows.where("stray").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-    cols = ["key", "block", "digest", "component", "n", "registers", "asks"]
+    own = rows.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False)).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    asks = rows.where("stray").withColumn("turn", F.pmod(F.xxhash64(F.lit(1), "digest"), F.col("turns")).cast("int"))
+    asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    cols = ["key", "block", "turn", "digest", "component", "n", "registers", "asks"]
     kind = labels.schema["component"].dataType.simpleString()
 
     def compared(key: tuple, group: pa.Table) -> pa.Table:
-        frame = group.drop_columns(["key", "block"]).to_pandas()
+        frame = group.drop_columns(["key", "block", "turn"]).to_pandas()
         ask, own = frame[frame.asks], frame[~frame.asks]
         hit_own, hit_ask = np.zeros(len(own), bool), np.zeros(len(ask), bool)
         if len(ask) and len(own):
@@ -281,8 +288,8 @@ def _suspects(bands: DataFrame, classes: DataFrame, labels: DataFrame, percent:
     wanted = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("component", pa.string() if kind == "string" else pa.int64()), ("n", pa.int64())])
     # Few bytes, much work: as many parts as the rows need, which adaptive execution leaves alone.
     parts = max(int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions")), bands.count() // 2000)
-    dealt = own.select(*cols).union(asks.select(*cols)).repartition(parts, "key", "block")
-    return dealt.groupBy("key", "block").applyInArrow(compared, f"key long, digest binary, component {kind}, n long").distinct()
+    dealt = own.select(*cols).union(asks.select(*cols)).repartition(parts, "key", "block", "turn")
+    return dealt.groupBy("key", "block", "turn").applyInArrow(compared, f"key long, digest binary, component {kind}, n long").distinct()
 
 
 def _crossing(df: DataFrame, suspects: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -374,8 +381,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
 def without_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `df` whose document is the smallest of its component. Where that document has
-    several rows (a repeated id), the one with the smallest hash of its text stays."""
-    found = stored(near_duplicates(df, doc_id, text, words, percent).select(F.col(doc_id).alias("_id"), "kept"), "near-found")
+    several rows (a repeated id), the one with the smallest hash of its text stays. Ids may be of any
+    type with an order; other columns may have any names but those of this operator's own (_id, _nth)."""
+    found = stored(near_duplicates(df, doc_id, text, words, percent).select(F.col("doc_id").alias("_id"), "kept"), "near-found")
     counts = found.where("_id is not null").groupBy("_id").agg(F.bool_and("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
     out = counts.where("not _kept or _rows > 1")
     rest = df.join(out.select("_id"), F.col(doc_id) == F.col("_id"), "left_anti")

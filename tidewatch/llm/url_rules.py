@@ -13,6 +13,7 @@ Null urls and urls without `://` have an empty host and path and fit no rule.
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -41,7 +42,8 @@ def build_trie(rules: Sequence[Rule]) -> dict:
     """Nested dicts: host labels from the right, then "" leads to the path trie of that host.
 
     In a path trie a key is a whole directory (`en/`); "" holds the remainders of rules that end
-    inside a segment or exactly here (remainder ""), each with its rule text and verdict.
+    inside a segment or exactly here (remainder ""): the lengths that occur, ascending, and by remainder
+    the rule text and verdict. A url is looked up once per length, however many rules a folder has.
     """
     root: dict = {}
     for host, path, verdict in rules:
@@ -52,9 +54,11 @@ def build_trie(rules: Sequence[Rule]) -> dict:
         *folders, last = path.split("/")
         for folder in folders:
             node = node.setdefault(folder + "/", {})
-        ends = node.setdefault("", {})
+        lengths, ends = node.setdefault("", ([], {}))
         if last not in ends or verdict == "block":
             ends[last] = (host + path, verdict)
+        if len(last) not in lengths:
+            insort(lengths, len(last))
     return root
 
 
@@ -73,8 +77,13 @@ def match(trie: dict, host: str, path: str) -> tuple[str | None, str | None]:
         for folder in [*folders, None]:
             if at is None:
                 break
-            for rest, (rule, verdict) in at.get("", {}).items() if at else ():
-                if path.startswith(rest, seen):
+            lengths, ends = at.get("", ((), {}))
+            for length in lengths:
+                if seen + length > len(path):
+                    break
+                found = ends.get(path[seen : seen + length])
+                if found:
+                    rule, verdict = found
                     best = max(best, (len(rule), depth, verdict, rule, verdict), key=lambda x: x[:3])
             if folder is None:
                 break
@@ -86,7 +95,7 @@ def match(trie: dict, host: str, path: str) -> tuple[str | None, str | None]:
 def judge_urls(
     df: DataFrame, rules: Sequence[Rule] | DataFrame, url: str = "url", default: str = "allow", max_broadcast_rules: int = 200_000
 ) -> DataFrame:
-    """Adds host, path, rule (null if none fits) and verdict to every row of `df`.
+    """Adds host, path, rule (null if none fits) and verdict to every row of `df`, replacing columns of those names.
 
     `rules` is a list, or a DataFrame of (host, path, verdict); its count decides between the
     broadcast trie and the join.
