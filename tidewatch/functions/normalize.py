@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import ipaddress
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +16,17 @@ def first_present(*aliases: Column) -> Column:
     return F.coalesce(*[F.when(~F.lower(F.trim(a)).isin(*MISSING), F.trim(a)) for a in aliases])
 
 
+def first_filled(*aliases: Column, missing: Sequence[str] = ("", "-", "None", "nan")) -> Column:
+    """The first alias whose trimmed text is none of `missing`, in their exact case."""
+    return F.coalesce(*[F.when(~F.trim(a.cast("string")).isin(*missing), F.trim(a.cast("string"))) for a in aliases])
+
+
+def iso_utc(t: Column) -> Column:
+    """A time as ISO text with its offset, microseconds only where there are any (session zone UTC)."""
+    whole = F.unix_micros(t) % 1_000_000 == 0
+    return F.concat(F.when(whole, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")), F.lit("+00:00"))
+
+
 def strict_long(value: Column, low: int | None = None, high: int | None = None) -> Column:
     """A whole number, also written as "12.0"; null for fractions, infinities and values out of bounds."""
     number = F.trim(value.cast("string")).try_cast("double")
@@ -53,7 +62,7 @@ def local_timestamp(value: Column) -> Column:
 def protocol_name(value: Column) -> Column:
     """Protocol name or number as tcp, udp, icmp or other."""
     p = F.lower(F.trim(value.cast("string")))
-    return F.when(p.isin("tcp", "6"), "tcp").when(p.isin("udp", "17"), "udp").when(p.isin("icmp", "1", "ipv6-icmp", "58"), "icmp").otherwise("other")
+    return F.when(p.isin("tcp", "6"), "tcp").when(p.isin("udp", "17"), "udp").when(p.isin("icmp", "1", "ipv6-icmp", "icmpv6", "58"), "icmp").otherwise("other")
 
 
 def rate_per_second(amount: Column, duration_ms: Column) -> Column:
@@ -103,19 +112,26 @@ def _in(number: Column, *nets: str) -> Column:
     return found
 
 
+def _plain_v6(address: Column) -> Column:
+    """Lower case, without a zone, and with a dotted tail written as two groups of zeros (the digits do not matter here)."""
+    bare = F.regexp_replace(F.lower(F.trim(address)), r"%[^%]+$", "")
+    return F.regexp_replace(bare, rf":{IPV4[1:-1]}$", ":0:0")
+
+
 def is_ipv6(address: Column) -> Column:
-    """Whether a text is an IPv6 address; parsed in Arrow batches, so call it on distinct addresses."""
-    @F.arrow_udf("boolean")
-    def parsed(column: pa.Array) -> pa.Array:
-        def fine(text: str | None) -> bool:
-            try:
-                return text is not None and ":" in text and ipaddress.IPv6Address(text.strip()) is not None
-            except ValueError:
-                return False
+    """Whether a text is an IPv6 address: eight groups of up to four hex digits, the last two also as a dotted IPv4 address,
+    one run of zeros as `::`, and optionally a zone behind `%`."""
+    text = _plain_v6(address)
+    sides = F.split(text, "::")
+    group, groups = "[0-9a-f]{1,4}", lambda c: F.when(c == "", 0).otherwise(F.size(F.split(c, ":")))
+    side = lambda c: (c == "") | c.rlike(rf"^{group}(:{group})*$")
+    left, right = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
+    short = (F.size(sides) == 2) & side(left) & side(right) & (groups(left) + groups(right) <= 7)
+    return F.coalesce(F.contains(text, F.lit(":")) & (text.rlike(rf"^({group}:){{7}}{group}$") | short), F.lit(False))
 
-        return pa.array([fine(x.as_py()) for x in column])
 
-    return parsed(address)
+def is_valid_ip(address: Column) -> Column:
+    return is_valid_ipv4(F.trim(address)) | is_ipv6(address)
 
 
 def is_valid_ipv4(address: Column) -> Column:
@@ -127,6 +143,19 @@ def is_private_v4(address: Column) -> Column:
     return F.coalesce(_in(ipv4_long(address), "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "0.0.0.0/32"), F.lit(False))
 
 
+def is_local(address: Column) -> Column:
+    """RFC 1918, unique local (fc00::/7), loopback or link-local, of either version; an IPv4 address inside an IPv6 one
+    (::ffff:a.b.c.d) counts as itself. Documentation ranges are not local; anything unreadable is not."""
+    text = F.regexp_replace(F.lower(F.trim(address)), r"%[^%]+$", "")
+    nets = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16")
+    dotted = F.regexp_extract(text, rf"^[0:]*:ffff:({IPV4[1:-1]})$", 1)
+    hexed = [F.conv(F.regexp_extract(text, r"^[0:]*:ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$", i), 16, 10).cast("long") for i in (1, 2)]
+    inner = F.coalesce(ipv4_long(F.when(dotted != "", dotted)), F.when(text.rlike(r"^[0:]*:ffff:[0-9a-f]{1,4}:[0-9a-f]{1,4}$"), hexed[0] * 65536 + hexed[1]))
+    own = text.rlike(r"^f[cd][0-9a-f]{2}:") | text.rlike(r"^fe[89ab][0-9a-f]:") | text.rlike(r"^[0:]*:0{0,3}1$")
+    v6 = is_ipv6(address) & F.when(inner.isNotNull(), _in(inner, *nets)).otherwise(own)
+    return F.coalesce(F.when(is_valid_ipv4(text), _in(ipv4_long(text), *nets)).otherwise(v6), F.lit(False))
+
+
 def is_public_v4(address: Column) -> Column:
     """A plainly written, globally routable unicast address: fit for a lookup outside."""
     number = ipv4_long(address)

@@ -26,22 +26,38 @@ def keyed_digest(key: bytes, prev: Column, payload: Column) -> Column:
     return digest(prev, payload)
 
 
-def chain_breaks(rows: DataFrame, seq: str, recomputed: Column) -> DataFrame:
-    """(seq, reason) of the entries that break a chain (seq from 1, prev_hash, entry_hash): a gap or repeat in the
-    sequence, a previous hash that is not the entry before's, or a digest that does not recompute.
+def chain_breaks(rows: DataFrame, seq: str, recomputed: Column, chain: str | None = None) -> DataFrame:
+    """([chain,] seq, reason) of the entries that break a chain (seq from 1, prev_hash, entry_hash): a gap or repeat in the
+    sequence, a previous hash that is not the entry before's, or a digest that does not recompute. With `chain`,
+    the table holds one chain for each value of that column.
 
     Entries meet their predecessor by a join on seq - 1, so no window spans the table."""
+    of = [F.col(chain)] if chain else []
     entries = rows.withColumn("_digest", recomputed)
-    before = rows.select((F.col(seq) + 1).alias("_seq"), F.col("entry_hash").alias("_before"))
-    joined = entries.join(before, F.col(seq) == F.col("_seq"), "left")
-    repeats = rows.groupBy(seq).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(seq).alias("_twice"))
-    joined = joined.join(repeats, F.col(seq) == F.col("_twice"), "left")
+    before = rows.select(*[c.alias("_chain") for c in of], (F.col(seq) + 1).alias("_seq"), F.col("entry_hash").alias("_before"))
+    joined = entries.join(before, (F.col(seq) == F.col("_seq")) & (of[0].eqNullSafe(F.col("_chain")) if of else F.lit(True)), "left").drop("_chain")
+    repeats = rows.groupBy(*of, seq).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*[c.alias("_chain") for c in of], F.col(seq).alias("_twice"))
+    joined = joined.join(repeats, (F.col(seq) == F.col("_twice")) & (of[0].eqNullSafe(F.col("_chain")) if of else F.lit(True)), "left")
     expected = F.when(F.col(seq) == 1, F.lit(GENESIS)).otherwise(F.col("_before"))
     reason = (
         F.when(F.col("_twice").isNotNull(), "repeated_sequence").when(expected.isNull(), "sequence_gap").when(F.col("prev_hash") != expected, "broken_link")
         .when(F.coalesce(F.col("entry_hash") != F.col("_digest"), F.lit(True)), "altered_entry")
     )
-    return joined.select(F.col(seq).alias("seq"), reason.alias("reason")).where("reason is not null").distinct()
+    return joined.select(*of, F.col(seq).alias("seq"), reason.alias("reason")).where("reason is not null").distinct()
+
+
+def export_archive(rows: DataFrame, path: str, t: str, row_id: str, at: Column, last_id: Column) -> DataFrame:
+    """Write the prefix up to a boundary as JSON lines in (t, id) order, and beside it a manifest row: rows, first and last
+    key, and the order-free digest of the rows as they are read back. Returns the manifest; it exists only when the archive does."""
+    kept = archive_up_to(rows, t, row_id, at, last_id)
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}  # all six digits
+    kept.orderBy(t, row_id).write.options(**exact).json(f"{path}/entries")
+    back = rows.sparkSession.read.schema(rows.schema).options(**exact).json(f"{path}/entries")
+    key = F.struct(F.col(t), F.col(row_id))
+    h = F.xxhash64(*rows.columns)
+    manifest = back.agg(F.count(F.lit(1)).alias("rows"), F.min(key).alias("first"), F.max(key).alias("last"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(38,0)")).alias("sum"))
+    manifest.coalesce(1).write.options(**exact).json(f"{path}/manifest")
+    return rows.sparkSession.read.schema(manifest.schema).options(**exact).json(f"{path}/manifest")
 
 
 def sealed_head(rows: DataFrame, seq: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -49,39 +49,40 @@ def anchored_clusters(df: DataFrame, keys: Sequence[str], seconds: float, t: str
     """`df` with anchor (the cluster's first time, in microseconds): a row joins the open cluster of its
     key while it is at most `seconds` after the cluster's first row, and else opens the next one.
 
-    Gaps longer than the window cut a key into independent islands, by window functions alone. An
-    island that is not longer than the window is one cluster; only the others are walked, each in
-    one task and in order of (t, id). A dense island of one key is sequential by definition.
-    Null times and null keys form no clusters and are dropped; equal times join alike.
+    Rows are dealt by key and sorted by (key, time, id) within a task, which then streams through them once: all that
+    it holds is the open cluster's key and anchor, so a key may have any number of rows. Within one key the order is
+    sequential by definition. Null times and null keys form no clusters and are dropped; equal times join alike.
     """
     span = int(seconds * 1_000_000)
     rows = df.where(F.col(t).isNotNull()).withColumn("_us", F.unix_micros(F.col(t).cast("timestamp")))
     for key in keys:
         rows = rows.where(F.col(key).isNotNull())
-    order = Window.partitionBy(*keys).orderBy("_us", row_id)
-    rows = rows.withColumn("_cut", (F.col("_us") - F.lag("_us").over(order) > span).cast("int"))
-    rows = rows.withColumn("_island", F.sum(F.coalesce("_cut", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    island = Window.partitionBy(*keys, "_island")
-    rows = rows.withColumns({"_low": F.min("_us").over(island), "_high": F.max("_us").over(island)}).drop("_cut")
-    short = rows.where(F.col("_high") - F.col("_low") <= span).withColumn("anchor", F.col("_low"))
-    long = rows.where(F.col("_high") - F.col("_low") > span)
-
-
-    def walk(group: pa.Table) -> pa.Table:
-        times = group.column("_us").to_numpy()
-        order = np.argsort(times, kind="stable")
-        sorted_times = times[order]
-        anchors, at = np.empty(len(times), np.int64), 0
-        while at < len(times):
-            end = int(np.searchsorted(sorted_times, sorted_times[at] + span, "right"))
-            anchors[at:end] = sorted_times[at]
-            at = end
-        out = np.empty(len(times), np.int64)
-        out[order] = anchors
-        return group.append_column("anchor", pa.array(out))
-
-    walked = long.groupBy(*keys, "_island").applyInArrow(walk, T.StructType([*long.schema.fields, T.StructField("anchor", T.LongType())]))
-    return short.unionByName(walked).drop("_us", "_island", "_low", "_high")
+    # Neighbours of different keys are told apart by the keys' hash.
+    rows = rows.withColumn("_key", F.xxhash64(*keys)).repartition(*keys).sortWithinPartitions(*keys, "_us", row_id)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, anchor = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            us, names = batch.column("_us").to_numpy(), batch.column("_key").to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(names)]])
+            anchors = np.empty(len(us), np.int64)
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                at = low
+                if names[low] == open_key:
+                    at = low + int(np.searchsorted(us[low:high], anchor + span, "right"))
+                    anchors[low:at] = anchor
+                while at < high:
+                    anchor = int(us[at])
+                    end = at + int(np.searchsorted(us[at:high], anchor + span, "right"))
+                    anchors[at:end] = anchor
+                    at = end
+                open_key = names[low]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(anchors)], [*batch.schema.names, "anchor"])
+
+    walked = rows.mapInArrow(walk, T.StructType([*rows.schema.fields, T.StructField("anchor", T.LongType())]))
+    return walked.drop("_us", "_key")
 
 
 def correlate(alerts: DataFrame, burst_seconds: float = BURST_SECONDS, campaign_seconds: float = CAMPAIGN_SECONDS, domain: str = "tidewatch:incident") -> DataFrame:
@@ -134,13 +135,17 @@ def incidents(members: DataFrame) -> DataFrame:
     )
 
 
-def reduction(members: DataFrame, alerts: DataFrame) -> DataFrame:
+def reduction(members: DataFrame, alerts: DataFrame, verdict: Column | None = None) -> DataFrame:
     """One row: alerts, incidents, reduction share, and the violations that must be 0: alerts that are
-    in no incident or in several, and Attack alerts in incidents that are not."""
+    in no incident or in several, and Attack alerts in incidents that are not. `verdict` is an incident's decision
+    where it isn't null, for members that were regrouped or overruled; else `incidents` gives it."""
     per = members.groupBy("alert_id").agg(F.count_distinct("incident_id").alias("n"))
     whole = alerts.select("alert_id").distinct().join(per, "alert_id", "full_outer")
     lost = whole.agg(F.count(F.lit(1)).alias("alerts"), F.count_if(F.coalesce("n", F.lit(0)) != 1).alias("misplaced"))
-    down = members.where("decision = 'Attack'").join(incidents(members).select("incident_id", F.col("decision").alias("verdict")), "incident_id")
+    decided = incidents(members).select("incident_id", (F.coalesce(verdict, F.col("decision")) if verdict is not None else F.col("decision")).alias("verdict"))
+    # One row an incident, also where its members disagree on its rule.
+    decided = decided.groupBy("incident_id").agg(F.when(F.bool_or(F.col("verdict") == "Attack"), "Attack").otherwise(F.max("verdict")).alias("verdict"))
+    down = members.where("decision = 'Attack'").join(decided, "incident_id")
     down = down.agg(F.count_if(F.col("verdict") != "Attack").alias("downgraded"))
     made = members.agg(F.count_distinct("incident_id").alias("incidents"))
     return lost.crossJoin(made).crossJoin(down).select("alerts", "incidents", F.when(F.col("alerts") > 0, 1 - F.col("incidents") / F.col("alerts")).alias("reduction"), "misplaced", "downgraded")

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.digests import domain_digest
+from tidewatch.operators import ranks
 from tidewatch.operators.components import connected_components
+from tidewatch.session import stored
 
 
 def duplicate_summary(df: DataFrame, fingerprint: str, file: str | None = None) -> DataFrame:
@@ -29,11 +31,18 @@ def feature_summary(df: DataFrame, features: Sequence[str], label: str) -> DataF
 
 
 def overlap_islands(df: DataFrame, key: str, start: str, end: str, row_id: str) -> DataFrame:
-    """`df` with `island` (per key): rows whose closed intervals touch or overlap, directly or through others."""
-    order = Window.partitionBy(key).orderBy(start, end, row_id)
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """`df` with `island` (per key): rows whose closed intervals touch or overlap, directly or through others.
+
+    A key is cut into parts by start; the latest end and the number of islands before a part are carried over."""
+    order = [F.col(key), F.col(start), F.col(end), F.col(row_id)]
+    placed = ranks.carried(ranks.in_parts(df, [], order), [key], F.max(end), "_latest", F.max)
+    inside = Window.partitionBy(key, ranks.PART).orderBy(*order[1:])
+    before = F.greatest("_latest", F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    new = F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0).cast("long")
+    placed = stored(placed.withColumn("_new", new).drop("_latest"), "islands")
+    placed = ranks.carried(placed, [key], F.sum("_new"), "_islands")
+    island = F.coalesce("_islands", F.lit(0)) + F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("island", island).drop("_new", "_islands", ranks.PART)
 
 
 def overlap_summary(islands: DataFrame, key: str) -> DataFrame:
@@ -116,19 +125,18 @@ def policy_violations(assignments: DataFrame, rules: DataFrame) -> DataFrame:
 
 def later_holdout(df: DataFrame, stratum: str, t: str, row_id: str, train_tenths: int = 8) -> DataFrame:
     """`df` with part: the later fifth of every stratum (at least one row, if it has two) is held out."""
-    order = Window.partitionBy(stratum).orderBy(t, row_id)
-    n = F.count(F.lit(1)).over(Window.partitionBy(stratum))
+    ranked = ranks.with_rank(df, [stratum], [F.col(t).asc_nulls_first(), F.col(row_id).asc()], "_nth", "_n")
+    n = F.col("_n")
     cut = F.when(n > 1, F.greatest(F.lit(1), F.least(n - 1, F.floor(n * train_tenths / 10)))).otherwise(n)
-    return df.withColumn("part", F.when(F.row_number().over(order) <= cut, "train").otherwise("test"))
+    return ranked.withColumn("part", F.when(F.col("_nth") <= cut, "train").otherwise("test")).drop("_nth", "_n")
 
 
 def balanced_sample(df: DataFrame, label: str, row_id: str, cap: int, floor: int, seed: int = 0) -> DataFrame:
     """`df` with `copy`: classes above `cap` rows give `cap` of them by hash order, classes below `floor` are repeated up to it."""
     key = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string")), 256)
-    order = Window.partitionBy(label).orderBy(key, row_id)
-    rows = df.withColumns({"_nth": F.row_number().over(order), "_n": F.count(F.lit(1)).over(Window.partitionBy(label))}).where(F.col("_nth") <= cap)
+    ranked = ranks.with_rank(df.withColumn("_key", key), [label], [F.col("_key").asc(), F.col(row_id).asc()], "_nth", "_n").where(F.col("_nth") <= cap)
     times = F.when(F.col("_n") >= floor, 1).otherwise(F.floor(F.lit(floor) / F.col("_n")) + (F.col("_nth") <= floor % F.col("_n")).cast("int"))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long")))).drop("_nth", "_n")
+    return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long")))).drop("_nth", "_n", "_key")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -160,3 +168,31 @@ def shared_vectors(df: DataFrame, features: Sequence[str], split: str, label: st
 def rows_seen_in(test: DataFrame, train: DataFrame, features: Sequence[str]) -> DataFrame:
     """How many rows of `test` have a feature vector that `train` has too."""
     return test.join(train.select(*features).distinct(), list(features), "left_semi").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def training_frame(
+    raw: DataFrame, features: Sequence[str], categories: Sequence[str], label: str = "label", category: str = "attack_cat", duration: str = "dur", packets: Sequence[str] = ("spkts", "dpkts"), required: Sequence[str] = ()
+) -> DataFrame:
+    """`raw` with its features as numbers, `rate` (packets a second, 0 without a duration), y (0 or 1), category_id (place in
+    `categories`, by trimmed lower-cased name; -1 for none) and stratum (Normal, or the category).
+
+    Kept are rows whose features, `required` columns and label are finite numbers, the label 0 or 1, and whose
+    category is known if they are attacks."""
+    numbers = list(dict.fromkeys([*features, *required, duration, *packets, label]))
+    number = {c: F.trim(F.col(c).cast("string")).try_cast("double") for c in numbers if c != "rate"}
+    rows = raw.withColumns(number)
+
+    def finite(c: str) -> Column:
+        return F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.lit(False))
+
+    total = sum((F.col(c) for c in packets), F.lit(0.0))
+    moving = finite(duration) & (F.col(duration) > 0) & ~F.isnan(total) & (F.abs(total) < float("inf"))
+    rows = rows.withColumn("rate", F.coalesce(F.when(moving, total / F.col(duration)), F.lit(0.0)))
+    known = F.array(*[F.lit(c.strip().lower()) for c in categories])
+    place = F.array_position(known, F.lower(F.trim(F.coalesce(F.col(category).cast("string"), F.lit(""))))) - 1
+    rows = rows.withColumns({"category_id": place.cast("int"), "y": F.when(F.col(label) == 1, 1).otherwise(0)})
+    kept = F.coalesce(F.col(label).isin(0.0, 1.0), F.lit(False)) & ((F.col("y") == 0) | (F.col("category_id") >= 0))
+    for c in dict.fromkeys([*features, *required]):
+        kept &= finite(c)
+    names = F.array(*[F.lit(c) for c in categories])
+    return rows.where(kept).withColumn("stratum", F.when(F.col("y") == 0, "Normal").otherwise(F.get(names, F.col("category_id"))))

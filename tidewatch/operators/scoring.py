@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.normalize import mean_size, rate_per_second
+from tidewatch.operators import ranks
 from tidewatch.session import stored
 
 NUMERIC = ("duration_ms", "fwd_packets", "bwd_packets", "fwd_bytes", "bwd_bytes", "packets_per_second", "bytes_per_second", "fwd_packet_length_mean", "bwd_packet_length_mean", "dst_port")
@@ -234,36 +235,41 @@ def ablation(df: DataFrame, label: str, base: Column, candidate: Column) -> Data
 
 
 def bootstrap_intervals(df: DataFrame, label: str, decided: Column, row_id: str, replicates: int = 200, seed: int = 7) -> DataFrame:
-    """(metric, low, high): 95 % intervals of precision and recall by a Poisson(1) bootstrap whose weights are hashes.
-
-    Rows are first summed into the four cells of (hash bucket, cell), 1024 buckets, so that the replicates multiply a bounded table."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(row_id).cast("string")), F.lit(1024))
-    cell = F.when((F.col(label) == 1) & decided, "tp").when((F.col(label) == 0) & decided, "fp").when(F.col(label) == 1, "fn").otherwise("tn")
-    blocks = df.groupBy(bucket.alias("bucket"), cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    drawn = blocks.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64(F.lit(seed + 1), "bucket", "replicate"), F.lit(1 << 52)) / float(1 << 52)
+    """(metric, low, high): 95 % intervals of precision and recall by a Poisson(1) bootstrap: in every replicate, each row's
+    weight is drawn from a hash of its id.
+
+    A row's replicates are made and summed where the row is read; what is shuffled is one row a replicate and cell. True
+    negatives count in neither rate and are left out."""
+    y = F.col(label)
+    hit = F.coalesce(decided, F.lit(False))
+    cell = F.when((y == 1) & hit, "tp").when((y == 0) & hit, "fp").when(y == 1, "fn").otherwise("tn")
+    rows = df.select(F.xxhash64(F.lit(seed), F.col(row_id).cast("string")).alias("h"), cell.alias("cell")).where("cell <> 'tn'")
+    drawn = rows.select("h", "cell", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    u = F.pmod(F.xxhash64("h", "replicate"), F.lit(1 << 32))
     weight, total, p = F.lit(0), 0.0, math.exp(-1)
     for k in range(8):
         total += p
-        weight = weight + (u >= total).cast("int")
+        weight = weight + (u >= int(total * (1 << 32))).cast("int")
         p /= k + 1
-    sums = drawn.withColumn("w", weight * F.col("n")).groupBy("replicate").agg(*[F.sum(F.when(F.col("cell") == c, F.col("w")).otherwise(0)).alias(c) for c in ("tp", "fp", "fn")])
-    rates = sums.select(_ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
+    long = drawn.groupBy("replicate", "cell").agg(F.sum(weight).alias("w"))
+    per = long.groupBy("replicate").agg(*[F.coalesce(F.sum(F.when(F.col("cell") == c, F.col("w"))), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
+    rates = per.select(_ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
     long = rates.select(F.explode(F.array(F.struct(F.lit("precision").alias("metric"), F.col("precision").alias("v")), F.struct(F.lit("recall").alias("metric"), F.col("recall").alias("v")))).alias("x")).select("x.*")
-    return long.groupBy("metric").agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
+    return long.groupBy("metric").agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))  # as many values as replicates
 
 
 def cohort_residuals(df: DataFrame, cohort: str, squares: Mapping[str, str]) -> DataFrame:
     """(cohort, feature, mean, median, total, share) of squared residuals; share is of the cohort's total."""
     long = df.select(cohort, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(c).cast("double").alias("v")) for f, c in squares.items()])).alias("x")).select(cohort, "x.*")
-    per = long.groupBy(cohort, "feature").agg(F.avg("v").alias("mean"), F.percentile("v", 0.5).alias("median"), F.sum("v").alias("total"))
-    return per.withColumn("share", F.try_divide("total", F.sum("total").over(Window.partitionBy(cohort))))
+    per = long.groupBy(cohort, "feature").agg(F.avg("v").alias("mean"), F.sum("v").alias("total"))
+    middle = ranks.quantiles(long, [cohort, "feature"], "v", [0.5]).select(F.col(cohort).alias("_c"), F.col("feature").alias("_f"), F.col("quantiles")[0].alias("median"))
+    per = per.join(middle, F.col(cohort).eqNullSafe(F.col("_c")) & (F.col("feature") == F.col("_f")), "left")
+    return per.select(cohort, "feature", "mean", "median", "total", F.try_divide("total", F.sum("total").over(Window.partitionBy(cohort))).alias("share"))
 
 
 def concentration(df: DataFrame, cohort: str, score: str, row_id: str, shares: Sequence[float] = (0.01, 0.05, 0.1)) -> DataFrame:
     """(cohort, top, rows, share): the share of a cohort's score in its top rows (rounded up)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(cohort))
-    ranked = df.withColumns({"_nth": F.row_number().over(Window.partitionBy(cohort).orderBy(F.desc(score), row_id)), "_n": n})
+    ranked = ranks.with_rank(df.select(cohort, score, row_id), [cohort], [F.col(score).desc_nulls_last(), F.col(row_id).asc()], "_nth", "_n")
     parts = [F.struct(F.lit(s).alias("top"), F.sum(F.when(F.col("_nth") <= F.ceil(F.col("_n") * s), F.col(score))).alias("sum"), F.count_if(F.col("_nth") <= F.ceil(F.col("_n") * s)).alias("rows")) for s in shares]
     per = ranked.groupBy(cohort).agg(F.array(*parts).alias("tops"), F.sum(score).alias("total"))
     return per.select(cohort, F.explode("tops").alias("x"), "total").select(cohort, "x.top", "x.rows", F.try_divide("x.sum", "total").alias("share"))
@@ -338,7 +344,7 @@ def gaussian_drift(df: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def empirical_psi(before: DataFrame, after: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """One row: PSI of a column between two tables over the first one's quantile bins (empty shares count 1e-4)."""
-    cuts = before.agg(F.percentile(column, [i / bins for i in range(1, bins)]).alias("cuts"))
+    cuts = ranks.quantiles(before, [], column, [i / bins for i in range(1, bins)], "cuts")
 
     def shares(df: DataFrame, name: str) -> DataFrame:
         binned = df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(cuts)).select(F.size(F.filter("cuts", lambda c: c < F.col(column))).alias("bin"))

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import stored
+from tidewatch.operators import ranks
 
 
 def merged(kinds: Mapping[str, DataFrame]) -> DataFrame:
@@ -67,11 +67,4 @@ def triage_queue(df: DataFrame, minimum: float = 0.5) -> DataFrame:
     """Rows of at least a score with their `position` in the order burst size, anomaly ratio, score (all
     descending), id. Positions come from range-partitioned sorted parts, not from one global window."""
     order = [F.desc(F.coalesce("burst_count", F.lit(1))), F.desc(F.coalesce("ratio", F.lit(0.0))), F.desc("score"), F.col("alert_id").asc()]
-    rows = df.where(F.col("score") >= minimum)
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    # Written with its partition, so that both passes read the same parts.
-    placed = stored(placed.withColumns({"_part": F.spark_partition_id(), "_nth": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "triage")
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_rows")
-    return placed.join(F.broadcast(starts), "_part").withColumn("position", F.col("_start") + F.col("_nth") + 1).drop("_part", "_nth", "_start")
+    return ranks.with_rank(df.where(F.col("score") >= minimum), [], order, "position")

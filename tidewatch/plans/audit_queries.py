@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import audit
+from tidewatch.operators import audit, ranks
 from tidewatch.plans.registry import query
 from tidewatch.plans.views import ALERTS_SQL, alerts, table
 
@@ -19,9 +19,7 @@ SELECT seq, CASE WHEN o_orderkey % 100 = 7 THEN 'altered_entry' WHEN o_orderkey
 )
 def l1_chain_breaks(spark, sf_dir):
     """A chain over the orders with planted alterations: entry hashes cover the link's key, links are the hash before."""
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(Window.orderBy("o_orderkey")).alias("seq"))
+    rows = ranks.with_rank(table(spark, sf_dir, "orders").select("o_orderkey"), [], [F.col("o_orderkey").asc()], "seq")
     entry = F.sha2(F.concat_ws("|", F.lit("order"), F.col("o_orderkey").cast("string")), 256)
     rows = rows.withColumn("entry_hash", entry)
     linked = rows.alias("x").join(rows.select((F.col("seq") + 1).alias("n"), F.col("entry_hash").alias("before")).alias("y"), F.col("seq") == F.col("n"), "left")

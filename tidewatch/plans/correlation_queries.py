@@ -9,6 +9,7 @@ from tidewatch.functions.digests import as_hex16
 from tidewatch.operators import burst, correlate, timeline
 from tidewatch.plans.registry import query
 from tidewatch.plans.views import ALERTS_SQL, alerts, table
+from tidewatch.session import stored
 
 #: The event table spans 30 days with 150 users, so its windows are hours, not seconds.
 BURST, CAMPAIGN = 6 * 3600.0, 48 * 3600.0
@@ -51,14 +52,23 @@ def w3_campaigns(spark, sf_dir):
     return members(spark, sf_dir).where("rule <> 'burst'").select("alert_id", "rule", "anchor_us", "size", "anchor_id")
 
 
+#: All alerts, benign ones too; those whose service is a number divisible by 5 are unverified.
+_ALL = _CAMPAIGN_SQL.replace("att AS (SELECT * FROM alerts WHERE decision = 'Attack' AND score >= 0.5)", "att AS (SELECT * FROM alerts WHERE service <> '0')")
+
+
 @query(
     "w7_incidents",
-    f"""{_CAMPAIGN_SQL}
-SELECT i.incident_id, m.rule, 'verified' AS status, count(*) AS size, max(score) AS max_score, 'Attack' AS decision, epoch_us(min(t)) AS earliest_us, epoch_us(max(t)) AS latest_us
-FROM mem m JOIN ids i ON m.rule = i.rule AND m.anchor_id = i.anchor_id GROUP BY i.incident_id, m.rule""",
+    f"""{_ALL}, whole AS (SELECT m.*, 'verified' AS status FROM mem m UNION ALL SELECT alert_id, t, score, decision, t, 1, alert_id, 'unverified', 'no_service' FROM alerts WHERE service = '0'),
+wids AS (SELECT * FROM ids UNION ALL SELECT 'unverified', alert_id, sha256(unhex(hex(encode('tidewatch:incident')) || '00' || printf('%08x', 11) || hex(encode('incident_v1')) || printf('%08x', 10) || hex(encode('unverified'))
+ || printf('%08x', length(CAST(alert_id AS VARCHAR))) || hex(encode(CAST(alert_id AS VARCHAR))))) FROM alerts WHERE service = '0')
+SELECT i.incident_id, m.rule, m.status, count(*) AS size, max(score) AS max_score, CASE WHEN bool_or(decision = 'Attack') THEN 'Attack' ELSE max(CASE WHEN m.alert_id = m.anchor_id THEN decision END) END AS decision,
+ epoch_us(min(t)) AS earliest_us, epoch_us(max(t)) AS latest_us
+FROM whole m JOIN wids i ON m.rule = i.rule AND m.anchor_id = i.anchor_id GROUP BY i.incident_id, m.rule, m.status""",
 )
 def w7_incidents(spark, sf_dir):
-    made = correlate.incidents(members(spark, sf_dir))
+    """Incidents of all alerts, attacks or not, verified or not."""
+    rows = alerts(spark, sf_dir).withColumn("reject", F.when(F.col("service") == "0", "no_service"))
+    made = correlate.incidents(correlate.correlate(rows, BURST, CAMPAIGN))
     return made.select("incident_id", "rule", "status", "size", "max_score", "decision", F.unix_micros("earliest").alias("earliest_us"), F.unix_micros("latest").alias("latest_us"))
 
 
@@ -73,11 +83,19 @@ def w5_justifications(spark, sf_dir):
 
 @query(
     "a20_alert_reduction",
-    f"""{_CAMPAIGN_SQL}, n AS (SELECT (SELECT count(*) FROM att) AS alerts, (SELECT count(*) FROM ids) AS incidents)
-SELECT alerts, incidents, 1 - incidents / alerts AS reduction, 0 AS misplaced, 0 AS downgraded FROM n""",
+    f"""{_CAMPAIGN_SQL}, j AS (SELECT m.alert_id, m.decision, i.incident_id FROM mem m JOIN ids i ON m.rule = i.rule AND m.anchor_id = i.anchor_id),
+-- planted faults: some members lost, some in a second incident, whose members are read as benign
+k AS (SELECT alert_id, incident_id FROM j WHERE alert_id % 41 <> 0 UNION ALL SELECT alert_id, 'second' FROM j WHERE alert_id % 43 = 0),
+n AS (SELECT alert_id, count(DISTINCT incident_id) AS n FROM k GROUP BY alert_id)
+SELECT (SELECT count(*) FROM att) AS alerts, (SELECT count(DISTINCT incident_id) FROM k) AS incidents, 1 - (SELECT count(DISTINCT incident_id) FROM k) / (SELECT count(*) FROM att) AS reduction,
+ (SELECT count_if(coalesce(n, 0) <> 1) FROM att LEFT JOIN n USING (alert_id)) AS misplaced, (SELECT count(*) FROM j WHERE alert_id % 43 = 0) AS downgraded""",
 )
 def a20_alert_reduction(spark, sf_dir):
-    return correlate.reduction(members(spark, sf_dir), correlate.verified_members(alerts(spark, sf_dir)))
+    """The report over members with planted faults, so that its invariants have something to find."""
+    found = stored(members(spark, sf_dir), "members")
+    second = found.where("alert_id % 43 = 0").withColumns({"incident_id": F.lit("second"), "anchor_id": F.lit(-1).cast("long")})
+    faulty = found.where("alert_id % 41 <> 0").unionByName(second)
+    return correlate.reduction(faulty, correlate.verified_members(alerts(spark, sf_dir)), F.when(F.col("incident_id") == "second", "Benign"))
 
 
 _PROV = """named_struct('entity_namespace_id', if(user_id % 11 = 0, null, concat('ns', user_id % 3)), 'clock_synchronized', user_id % 7 <> 0,

@@ -66,12 +66,19 @@ def t3_query_texts(spark, sf_dir):
     return flows(spark, sf_dir).select("record_id", text.flow_query_text(F.col("protocol"), F.col("dst_port"), F.col("fwd_packets"), 40.0).alias("query"))
 
 
-@query("t4_attached_techniques", "WITH q AS (SELECT * FROM embeddings WHERE vec_id % 10 = 1), k AS (SELECT * FROM embeddings WHERE label = 2), s AS (SELECT q.vec_id, max(list_cosine_similarity(q.embedding::DOUBLE[], k.embedding::DOUBLE[])) AS sim FROM q, k GROUP BY q.vec_id) SELECT vec_id, sim >= 0.55 AS attached FROM s")
+@query(
+    "t4_attached_techniques",
+    """WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), k AS (SELECT vec_id + 1 AS doc_id, embedding FROM embeddings),
+s AS (SELECT q.vec_id, k.doc_id, list_cosine_similarity(q.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS sim FROM q, k WHERE k.doc_id <> q.vec_id + 1),
+b AS (SELECT vec_id, arg_max(doc_id, (round(sim, 9), -doc_id)) AS doc_id, max(sim) AS sim FROM s GROUP BY vec_id)
+SELECT q.vec_id, CASE WHEN sim >= 0.45 THEN concat('T', doc_id % 40 + 1000) END AS technique FROM q LEFT JOIN b USING (vec_id)""",
+)
 def t4_attached_techniques(spark, sf_dir):
+    """The rows whose id is divisible by 100 as attacks, every row's vector as a technique's text; a row isn't its own."""
     vectors = table(spark, sf_dir, "embeddings")
-    corpus = vectors.where("label = 2").selectExpr("vec_id as doc_id", "embedding", "concat('T', vec_id) as technique")
-    found = text.attach_techniques(vectors.where("vec_id % 10 = 1"), corpus, "vec_id", "doc_id", "technique")
-    return found.select("vec_id", F.col("technique").isNotNull().alias("attached"))
+    corpus = vectors.selectExpr("vec_id + 1 as doc_id", "embedding", "concat('T', (vec_id + 1) % 40 + 1000) as technique")
+    found = text.attach_techniques(vectors.where("vec_id % 100 = 0").withColumn("own", F.col("vec_id") + 1), corpus, "vec_id", "doc_id", "technique", floor=0.45, own="own")
+    return found.select("vec_id", "technique")
 
 
 @query("t12_hypotheses", "SELECT concat('u', user_id) AS actor, event_type AS technique, count(*) AS records, concat('u', user_id, ' may use ', event_type) AS statement FROM events WHERE value > 50 GROUP BY user_id, event_type")
@@ -80,13 +87,31 @@ def t12_hypotheses(spark, sf_dir):
     return text.hypotheses(rows, "actor", "technique")
 
 
-@query("l4_step_chain", "SELECT count(*) AS steps, 0 AS breaks FROM (SELECT DISTINCT turn FROM conversations)")
+_STEP = "sha256(concat_ws('|', CAST(seq AS VARCHAR), role, coalesce(md5(text), '-')))"
+
+
+@query(
+    "l4_step_chain",
+    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, md5(text)) AS seq FROM conversations),
+s AS (SELECT conv_id, seq, {_STEP} AS step, conv_id % 7 = 3 AND seq % 2 = 0 AS altered, conv_id % 11 = 5 AND seq = 2 AS cut FROM r),
+l AS (SELECT *, lag(CASE WHEN altered THEN 'x' || step[2:64] ELSE step END) OVER (PARTITION BY conv_id ORDER BY seq) AS before FROM s)
+SELECT conv_id, count(*) AS steps, count_if(altered OR seq > 1 AND before IS DISTINCT FROM CASE WHEN cut THEN 'gone' ELSE before END) AS breaks FROM l GROUP BY conv_id""",
+)
 def l4_step_chain(spark, sf_dir):
-    """One step a turn number; every step's digest covers the digest text of the step before."""
-    steps = table(spark, sf_dir, "conversations").select((F.col("turn") + 1).alias("seq")).distinct()
-    mark = lambda at: F.sha2(F.concat(F.lit("step"), at.cast("string")), 256)
-    rows = steps.withColumns({"entry_hash": mark(F.col("seq")), "prev_hash": F.when(F.col("seq") == 1, F.lit(audit.GENESIS)).otherwise(mark(F.col("seq") - 1))})
-    return rows.agg(F.count(F.lit(1)).alias("steps")).crossJoin(audit.chain_breaks(rows, "seq", mark(F.col("seq"))).agg(F.count(F.lit(1)).alias("breaks")))
+    """One chain a conversation: a step's digest covers its number, role and text, and its link is the digest of the step before.
+    Some digests are altered and some links cut; a break is a step whose digest or link does not hold."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", F.md5("text"))  # a conversation's turns
+    rows = table(spark, sf_dir, "conversations").withColumn("seq", F.row_number().over(order))
+    step = F.sha2(F.concat_ws("|", F.col("seq").cast("string"), "role", F.coalesce(F.md5("text"), F.lit("-"))), 256)
+    kept = F.when(F.expr("conv_id % 7 = 3 and seq % 2 = 0"), F.concat(F.lit("x"), F.substring(step, 2, 63))).otherwise(step)
+    rows = rows.withColumn("entry_hash", kept)
+    before = F.lag("entry_hash").over(Window.partitionBy("conv_id").orderBy("seq"))
+    rows = rows.withColumn("prev_hash", F.when(F.expr("conv_id % 11 = 5 and seq = 2"), "gone").otherwise(F.coalesce(before, F.lit(audit.GENESIS))))
+    per = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("steps"))
+    broken = audit.chain_breaks(rows, "seq", step, "conv_id").groupBy("conv_id").agg(F.count(F.lit(1)).alias("breaks"))
+    return per.join(broken, "conv_id", "left").fillna(0, ["breaks"])
 
 
 @query("d20_backfilled_bursts", f"{c._BURSTS_SQL}, per AS (SELECT src, dst, proto, burst_no, count(*) AS n FROM b GROUP BY ALL) SELECT n AS burst_total, CAST(sum(n) AS BIGINT) AS alerts FROM per GROUP BY n")

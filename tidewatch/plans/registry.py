@@ -35,4 +35,4 @@ def _plain_counts(sql: str) -> str:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from tidewatch.plans import audit_queries, correlation_queries, detail_queries, ingest_queries, leakage_queries, report_queries, scoring_queries, text_queries  # noqa: F401
+    from tidewatch.plans import adapter_queries, audit_queries, correlation_queries, detail_queries, ingest_queries, leakage_queries, report_queries, scoring_queries, stream_queries, text_queries  # noqa: F401

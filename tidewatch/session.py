@@ -25,10 +25,12 @@ def local_session(cores: int | str = 8, partitions: int = 8, app: str = "tidewat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or a temporary
-    one that is set only when the session has none (a local run)."""
+    """The folder all executors share: the session's spark.checkpoint.dir. Where that is unset, a local session gets a temporary
+    one, once; on a cluster it is an error, since executors would write to disks of their own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="tidewatch-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -43,9 +45,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: a cut that keeps columns prunable."""
+    """Write df as Parquet in the shared folder and read it back: a cut that keeps columns prunable.
+
+    All tables of an application lie in one folder, named by its id, which can go when the application is done."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import csv
+import functools
 import io
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions import normalize as n
+from tidewatch.sources.adapters import route_sensor_lines, sensor_flow  # noqa: F401  (part of the readers' surface)
+
+
+def _widths(value: Column) -> Column:
+    """Fields of a CSV line: one more than its commas outside of quotes."""
+    return F.regexp_count(value, F.lit(r',(?=(?:[^"]*"[^"]*")*[^"]*$)')) + 1
 
 
 def preflight_csv(spark: SparkSession, path: str, required: Mapping[str, Sequence[str]], sample: int = 10) -> DataFrame:
     """One row: rows, the required fields without any alias in the header, and the widths of the first lines."""
     columns = {c.strip().lower() for c in spark.read.option("header", True).csv(path).columns}
     missing = sorted(f for f, aliases in required.items() if not columns & {a.lower() for a in aliases})
-    lines = spark.read.text(path)
-    widths = sorted({len(r["value"].split(",")) for r in lines.limit(sample + 1).collect()})
+    widths = sorted({r["w"] for r in spark.read.text(path).limit(sample + 1).select(_widths(F.col("value")).alias("w")).collect()})
     rows = spark.read.option("header", True).csv(path).agg(F.count(F.lit(1)).alias("rows"))
     return rows.select("rows", F.array(*[F.lit(m) for m in missing]).cast("array<string>").alias("missing"), F.array(*[F.lit(w) for w in widths]).alias("widths"))
 
@@ -41,21 +47,39 @@ def read_headerless(spark: SparkSession, paths: Sequence[str], names: Sequence[s
 
 
 def read_headered(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
-    """Headered CSV whose header is exactly the set `names`, in any order; ragged rows fail the read."""
-    head = spark.read.text(path).first()
-    found = [c.strip() for c in (head["value"] if head else "").split(",")]
-    if sorted(found) != sorted(names):
-        raise ValueError(f"header differs: missing {sorted(set(names) - set(found))}, unknown {sorted(set(found) - set(names))}")
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in found])
-    df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
-    return df.select(*names, F.col("_metadata.file_name").alias("file"))
+    """Headered CSV whose files each have exactly the set `names` as header, in any order; ragged rows fail the read.
+
+    The headers come from the files' first blocks, one row a file; files of one order are read together."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("nth"))
+    heads = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "nth").alias("head")).collect()
+    orders: dict[tuple[str, ...], list[str]] = {}
+    for head in heads:
+        found = tuple(c.strip() for c in next(csv.reader([head["head"]])))
+        if sorted(found) != sorted(names):
+            raise ValueError(f"header differs: missing {sorted(set(names) - set(found))}, unknown {sorted(set(found) - set(names))}")
+        orders.setdefault(found, []).append(head["file"])
+    if not orders:
+        raise ValueError(f"header differs: missing {sorted(names)}, unknown []")
+    parts = []
+    for found, files in orders.items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in found])
+        df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(files)
+        parts.append(df.select(*names, F.col("_metadata.file_name").alias("file")))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def with_row_numbers(df: DataFrame, file: str = "file") -> DataFrame:
-    """`df` with row_no, from 1 in each file, in file order: ordinals of the read order (zipWithIndex), less the file's first."""
-    numbered = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(T.StructType([*df.schema.fields, T.StructField("_nth", T.LongType())]))
-    first = numbered.groupBy(file).agg(F.min("_nth").alias("_first"))
-    return numbered.join(first, file).withColumn("row_no", F.col("_nth") - F.col("_first") + 1).drop("_nth", "_first").select(*df.columns, "row_no")
+    """`df`, as read from files, with row_no, from 1 in each file, in file order.
+
+    A file is read in blocks: rows are numbered within their block, in which they come in order, and the rows of the blocks
+    before it are added. No task sees more than a block."""
+    block = F.col("_metadata.file_block_start")
+    rows = df.select(*df.columns, F.col("_metadata.file_path").alias("_path"), block.alias("_block"), F.monotonically_increasing_id().alias("_nth"))
+    counts = rows.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_path", "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_path", "_block").orderBy("_nth"))
+    return rows.withColumn("_inside", inside).join(counts, ["_path", "_block"]).select(*df.columns, (F.col("_before") + F.col("_inside")).alias("row_no"))
 
 
 def classify_json_lines(lines: DataFrame, value: str = "value", reserved: Sequence[str] = ()) -> DataFrame:
@@ -69,51 +93,6 @@ def classify_json_lines(lines: DataFrame, value: str = "value", reserved: Sequen
     return lines.withColumn("issue", issue)
 
 
-#: Fields of a sensor's flow line.
-EVE = T.StructType(
-    [
-        *(T.StructField(c, T.StringType()) for c in ("timestamp", "flow_id", "event_type", "src_ip", "dest_ip", "proto", "app_proto")),
-        *(T.StructField(c, T.IntegerType()) for c in ("src_port", "dest_port")),
-        T.StructField("alert", T.StructType([T.StructField("signature", T.StringType())])),
-        T.StructField("flow", T.StructType([*(T.StructField(c, T.LongType()) for c in ("pkts_toserver", "pkts_toclient", "bytes_toserver", "bytes_toclient", "age")), *(T.StructField(c, T.StringType()) for c in ("start", "end", "state", "reason"))])),
-    ]
-)
-
-
-def route_sensor_lines(lines: DataFrame, value: str = "value", excerpt: int = 500) -> DataFrame:
-    """(value, route, code, excerpt, eve): blank lines are ignored, other events skipped, flow lines kept, and malformed
-    or invalid ones routed to the dead letters with a code and an excerpt. Works on batches and streams."""
-    text = F.trim(F.col(value))
-    eve = F.from_json(text, EVE)
-    parsed = lines.withColumn("eve", eve).withColumn("_ok", F.expr(f"try_parse_json(trim({value})) is not null"))
-    flow = F.col("eve.flow")
-    code = (
-        F.when(~F.col("_ok"), "malformed_json")
-        .when(F.col("eve.event_type").isNull(), "missing_event_type")
-        .when(F.col("eve.event_type") != "flow", None)
-        .when(~n.is_valid_ipv4(F.col("eve.src_ip")) & ~F.coalesce(F.col("eve.src_ip").contains(":"), F.lit(False)), "invalid_src_ip")
-        .when(~n.is_valid_ipv4(F.col("eve.dest_ip")) & ~F.coalesce(F.col("eve.dest_ip").contains(":"), F.lit(False)), "invalid_dest_ip")
-        .when(flow.isNull() | flow.pkts_toserver.isNull() | (flow.pkts_toserver < 0), "invalid_flow")
-        .when(F.try_to_timestamp("eve.timestamp").isNull(), "invalid_timestamp")
-    )
-    route = F.when(text == "", "ignored").when(F.col("code").isNotNull(), "dead_letter").when(F.col("eve.event_type") == "flow", "flow").otherwise("skipped")
-    return parsed.withColumn("code", F.when(text != "", code)).withColumn("route", route).withColumn("excerpt", F.when(F.col("route") == "dead_letter", F.substring(value, 1, excerpt))).drop("_ok")
-
-
-def sensor_flow(routed: DataFrame, validity_seconds: int = 600) -> DataFrame:
-    """Flow rows of routed lines in canonical form; the duration falls back to `age` where start and end give none."""
-    e, f = F.col("eve"), F.col("eve.flow")
-    seen, start, end = F.try_to_timestamp(e.timestamp), F.try_to_timestamp(f.start), F.try_to_timestamp(f.end)
-    span = (F.unix_micros(end) - F.unix_micros(start)) / 1000.0
-    duration = F.when(F.coalesce(span, F.lit(0.0)) > 0, span).otherwise(F.coalesce(f.age, F.lit(0)) * 1000.0)
-    rows = routed.where("route = 'flow'").select(
-        F.sha2(F.concat_ws(":", e.flow_id, e.timestamp, e.src_ip, e.dest_ip, e.src_port.cast("string"), e.dest_port.cast("string")), 256).alias("event_id"),
-        e.src_ip.alias("src"), e.dest_ip.alias("dst"), e.src_port.alias("src_port"), e.dest_port.alias("dst_port"), n.protocol_name(e.proto).alias("protocol"),
-        seen.alias("t"), duration.alias("duration_ms"), f.pkts_toserver.alias("fwd_packets"), f.pkts_toclient.alias("bwd_packets"), f.bytes_toserver.alias("fwd_bytes"), f.bytes_toclient.alias("bwd_bytes"),
-    )
-    return rows.withColumn("valid_until", F.timestamp_micros(F.unix_micros("t") + validity_seconds * 1_000_000))
-
-
 def canonical_flow(raw: DataFrame, names: Mapping[str, Sequence[str]], duration_scale: float = 1.0) -> DataFrame:
     """Raw text rows to canonical flows through alias lists: src, dst, src_port, dst_port, protocol, start, duration
     (times `duration_scale` is milliseconds), packets and bytes of both ways, label."""
@@ -158,14 +137,18 @@ def host_event(raw: DataFrame) -> DataFrame:
     return raw.withColumns({"event_code": code, "event_kind": F.when(code.isNull(), "unknown").otherwise(kind)})
 
 
-def verify_manifest(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
-    """(file, status) for a manifest of (file, sha256, required): verified, mismatch, missing, optional_missing, unregistered."""
+def verify_manifest(spark: SparkSession, root: str, manifest: DataFrame, largest: int = 2_000_000_000, depth: int = 1) -> DataFrame:
+    """(file, status) for a manifest of (file, sha256, required): verified, mismatch, missing, optional_missing, unregistered,
+    or too_large for files over `largest` bytes, which do not fit a binary value and are not read. A file is named by the last
+    `depth` parts of its path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    have = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("found"))
+    name = F.array_join(F.slice(F.split("path", "/"), -depth, depth), "/").alias("file")
+    read = files.where(F.col("length") <= largest).select(name, F.sha2("content", 256).alias("found"), F.lit(False).alias("large"))
+    have = read.unionByName(files.where(F.col("length") > largest).select(name, F.lit("").alias("found"), F.lit(True).alias("large")))
     both = manifest.join(have, "file", "full_outer")
     status = (
         F.when(F.col("sha256").isNull(), "unregistered").when(F.col("found").isNull() & F.col("required"), "missing").when(F.col("found").isNull(), "optional_missing")
-        .when(F.lower("sha256") == F.col("found"), "verified").otherwise("mismatch")
+        .when(F.col("large"), "too_large").when(F.lower("sha256") == F.col("found"), "verified").otherwise("mismatch")
     )
     return both.select("file", status.alias("status"))
 
@@ -180,7 +163,8 @@ def write_assignments(df: DataFrame, path: str, order: Sequence[str], expected:
     from pyspark.sql import Observation
 
     seen = Observation("assignments")
-    df.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*order).write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
+    # Counted behind the order: the range partitioner reads what is before it twice.
+    df.orderBy(*order).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
     if seen.get["n"] != expected:
         raise ValueError(f"wrote {seen.get['n']} rows, expected {expected}")
 

@@ -18,15 +18,15 @@ from tidewatch.functions.digests import simhash64
 from tidewatch.sources.readers import route_sensor_lines, sensor_flow
 
 
-def ingest_sensor_lines(lines: DataFrame, flows_path: str, dead_letters_path: str, checkpoint: str, most_dead_letters: int = 1000):
-    """Start a query that appends good flows and dead letters to two Parquet folders. All dead letters are
-    counted by batch; at most `most_dead_letters` of a batch are stored."""
+def ingest_sensor_lines(lines: DataFrame, flows_path: str, dead_letters_path: str, checkpoint: str, most_dead_letters: int | None = None):
+    """Start a query that appends good flows and dead letters to two Parquet folders, and their counts by batch to a third. All
+    dead letters are stored, or at most `most_dead_letters` of a batch where that is asked for."""
 
     def land(batch: DataFrame, batch_id: int) -> None:
         routed = route_sensor_lines(batch).persist()
         sensor_flow(routed).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(flows_path)
         dead = routed.where("route = 'dead_letter'").select("code", "excerpt", F.lit(batch_id).alias("batch_id"))
-        dead.limit(most_dead_letters).write.mode("append").parquet(dead_letters_path)
+        (dead if most_dead_letters is None else dead.limit(most_dead_letters)).write.mode("append").parquet(dead_letters_path)
         routed.groupBy("route", "code").agg(F.count(F.lit(1)).alias("n")).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(f"{dead_letters_path}-counts")
         routed.unpersist()
 
