@@ -136,7 +136,7 @@ def test_stages_on_odd_rows(spark, fixture):
     once = STAGES["near_dedup"](spark, fixture, SF)
     parts = brute_components([(r.doc_id, r.text) for r in fixture.collect() if r.doc_id is not None], 5)
     assert once.columns == fixture.columns
-    assert sorted(r.doc_id or -1 for r in once.collect()) == sorted([i for i, (_, c) in parts.items() if c == i] + [-1, -1])
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in once.collect()) == sorted([i for i, (_, c) in parts.items() if c == i] + [-1, -1])
     mixed = STAGES["mixture"](spark, fixture, SF)
     assert mixed.columns == fixture.columns
     copies, targets = plain_mix(triple(fixture))
