@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import correlate, leakage, ranks, scoring
+from tidewatch.operators import burst, correlate, leakage, ranks, scoring, timeline
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +75,23 @@ def test_bootstrap_draws_every_row(spark):
     for metric, p, rows in (("precision", 0.25, 3200), ("recall", 0.8, 1000)):
         half = 1.96 * (p * (1 - p) / rows) ** 0.5
         assert got[metric] == (pytest.approx(p - half, abs=half / 2), pytest.approx(p + half, abs=half / 2))
+
+
+def test_bursts_and_latest_facts_across_parts(spark):
+    rng = np.random.default_rng(11)
+    events = [(i, None if i % 7 == 6 else "hot", int(s), int(h)) for i, (s, h) in enumerate(zip(rng.integers(0, 40_000, 1500), rng.choice([0, 1, 255], 1500)))]
+    df = spark.createDataFrame(events, "alert_id long, k string, s long, simhash long").withColumn("t", F.timestamp_seconds("s"))
+    got = {r.alert_id: (r.burst_no, r.burst_count, r.burst_total) for r in burst.bursts(df, ["k"], idle=60.0).collect()}
+    runs: dict = {}
+    for key in ("hot", None):
+        last, no = None, 0
+        for i, _, s, h in sorted((e for e in events if e[1] == key), key=lambda e: (e[2], e[0])):
+            no += last is None or s - last[0] > 60 or bin(h ^ last[1]).count("1") > 3
+            last = (s, h)
+            runs.setdefault((key, no), []).append(i)
+    assert got == {i: (no, n, len(ids)) for (_, no), ids in runs.items() for n, i in enumerate(ids, 1)}
+    facts, rows = df.where("alert_id % 5 = 0").withColumn("v", F.col("alert_id").cast("string")), df.where("alert_id % 5 > 0")
+    found = {r.alert_id: r.v for r in timeline.latest_before(rows, facts, ["k"], "s", "alert_id", "v").collect()}
+    known = sorted((s, i, k) for i, k, s, _ in events if i % 5 == 0)
+    want = {i: next((str(j) for at, j, key in reversed(known) if key == k and at <= s), None) for i, k, s, _ in events if i % 5}
+    assert found == want

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.digests import hamming, normal_token, simhash64
+from tidewatch.operators import ranks
+from tidewatch.session import stored
 
 IDLE_SECONDS, MAX_DISTANCE = 60.0, 3
 
@@ -19,14 +21,29 @@ def flow_simhash(src: Column, dst: Column, port: Column, proto: Column, techniqu
 
 def bursts(df: DataFrame, key: list[str], t: str = "t", simhash: str = "simhash", row_id: str = "alert_id", idle: float = IDLE_SECONDS, distance: int = MAX_DISTANCE) -> DataFrame:
     """`df` with burst_no (per key), burst_count (rows so far) and burst_total: a row continues a burst while
-    it comes at most `idle` seconds after the key's last row and differs in at most `distance` bits from it."""
-    order = Window.partitionBy(*key).orderBy(t, row_id)
-    gap = F.unix_micros(F.col(t)) - F.unix_micros(F.lag(t).over(order))
-    far = hamming(F.col(simhash), F.lag(simhash).over(order))
-    new = F.when(F.lag(t).over(order).isNull(), 1).when((gap > int(idle * 1_000_000)) | (far > distance), 1).otherwise(0)
-    rows = df.withColumn("_new", new).withColumn("burst_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    burst = Window.partitionBy(*key, "burst_no")
-    return rows.withColumns({"burst_count": F.row_number().over(burst.orderBy(t, row_id)), "burst_total": F.count(F.lit(1)).over(burst)}).drop("_new")
+    it comes at most `idle` seconds after the key's last row and differs in at most `distance` bits from it.
+
+    A key is cut into parts by time; a part takes over the last row, the bursts and the rows of those before it."""
+    order = [F.col(t), F.col(row_id)]
+    seen = F.struct(F.col(t).alias("t"), F.col(simhash).alias("h"))
+    placed = ranks.carried(ranks.in_parts(df, key, order), key, F.max_by(seen, F.struct(t, row_id)), "_held", lambda c: F.last(c, ignorenulls=True))
+    inside = Window.partitionBy(*key, ranks.PART).orderBy(*order)
+    before = F.coalesce(F.lag(seen).over(inside), F.col("_held"))
+    placed = placed.withColumn("_before", before).drop("_held")
+    gap, far = F.unix_micros(t) - F.unix_micros("_before.t"), hamming(F.col(simhash), F.col("_before.h"))
+    new = F.when(F.col("_before.t").isNull(), 1).when((gap > int(idle * 1_000_000)) | (far > distance), 1).otherwise(0).cast("long")
+    rows = stored(placed.withColumn("_new", new).drop("_before"), "bursts")
+    rows = ranks.carried(ranks.carried(rows, key, F.sum("_new"), "_bursts"), key, F.count(F.lit(1)), "_rows")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"burst_no": F.coalesce("_bursts", F.lit(0)) + F.sum("_new").over(upto), "_nth": F.coalesce("_rows", F.lit(0)) + F.row_number().over(inside)})
+    rows = rows.drop("_new", "_bursts", "_rows", ranks.PART)
+    per = rows.groupBy(*key, "burst_no").agg(F.min("_nth").alias("_first"), F.count(F.lit(1)).alias("burst_total"))
+    per = per.select(*[F.col(c).alias(f"_by_{c}") for c in (*key, "burst_no")], "_first", "burst_total")
+    same = F.lit(True)
+    for c in (*key, "burst_no"):
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    rows = rows.join(per, same).withColumn("burst_count", (F.col("_nth") - F.col("_first") + 1).cast("int"))
+    return rows.drop("_nth", "_first", *[f"_by_{c}" for c in (*key, "burst_no")]).select(*df.columns, "burst_no", "burst_count", "burst_total")
 
 
 def fatigue_funnel(df: DataFrame, key: list[str], t: str = "t", row_id: str = "alert_id", simhash: str = "simhash", score: str = "score", idle: float = IDLE_SECONDS, sure: float = 0.9, weight: str | None = None) -> DataFrame:

@@ -103,12 +103,19 @@ def reconstruction_errors(df: DataFrame, components: Sequence[Sequence[float]],
     return df.withColumns({f"{f}_sq": F.col("_sq")[j] for j, f in enumerate(features)}).drop("_sq")
 
 
+def decide(df: DataFrame, probability: str, threshold: float = 0.5, features: Sequence[str] = ()) -> DataFrame:
+    """`df` with withheld (why its feature vector cannot be scored, or null) and verdict: Attack from the threshold on, else
+    Benign; null where the vector or the probability is missing."""
+    reason = withheld_reason(features) if features else F.lit(None).cast("string")
+    rows = df.withColumn("withheld", F.coalesce(reason, F.when(F.col(probability).isNull() | F.isnan(probability), "no_probability")))
+    return rows.withColumn("verdict", F.when(F.col("withheld").isNull(), F.when(F.col(probability) >= threshold, "Attack").otherwise("Benign")))
+
+
 def score_and_decide(df: DataFrame, model, threshold: float = 0.5) -> DataFrame:
-    """`df` with probability and decision (Attack from the threshold on)."""
+    """`df` with probability_attack and the verdict of `decide`."""
     from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(df).withColumn("probability_attack", vector_to_array("probability")[1])
-    return scored.withColumn("verdict", F.when(F.col("probability_attack") >= threshold, "Attack").otherwise("Benign"))
+    return decide(model.transform(df).withColumn("probability_attack", vector_to_array("probability")[1]), "probability_attack", threshold)
 
 
 def withheld_reason(features: Sequence[str]) -> Column:

@@ -42,12 +42,17 @@ def page(df: DataFrame, order: Sequence[str], offset: int, size: int) -> DataFra
 
 
 def latest_before(rows: DataFrame, facts: DataFrame, keys: Sequence[str], t: str, row_id: str, value: str) -> DataFrame:
-    """As-of join: every row with the value of its key's latest fact at or before it; one union and one window.
+    """As-of join: every row with the value of its key's latest fact at or before it; one union, ordered by key and time in parts,
+    each of which takes over the latest fact of those before it.
 
     Facts at a row's own time count; of several at one time, the largest id. No fact: null."""
-    both = rows.withColumn("_fact", F.lit(1)).unionByName(facts.select(*keys, t, row_id, value).withColumn("_fact", F.lit(0)), allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy(t, "_fact", row_id).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(order)).where("_fact = 1").drop("_fact")
+    both = rows.withColumn("_fact", F.lit(1)).unionByName(facts.where(F.col(value).isNotNull()).select(*keys, t, row_id, value).withColumn("_fact", F.lit(0)), allowMissingColumns=True)
+    order = [F.col(t), F.col("_fact"), F.col(row_id)]
+    latest = F.max_by(value, F.when(F.col("_fact") == 0, F.struct(t, row_id)))
+    placed = ranks.carried(ranks.in_parts(both, keys, order), keys, latest, "_held", lambda c: F.last(c, ignorenulls=True))
+    inside = Window.partitionBy(*keys, ranks.PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = placed.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(inside), "_held"))
+    return found.where("_fact = 1").drop("_fact", "_held", ranks.PART)
 
 
 def first_claims(df: DataFrame, key: str, order: Sequence[str], evidence: str) -> DataFrame:

@@ -286,3 +286,30 @@ def d21_idempotent_insert(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "value")
     new = events.withColumn("value", F.expr("if(event_id % 10 = 0, value + 1, value)"))
     return timeline.insert_outcomes(events.where("event_id % 2 = 0"), new, "event_id", ["value"])
+
+
+@query(
+    "w6_content_ids",
+    f"""WITH alerts AS ({ALERTS_SQL}) SELECT ns, src, count(*) AS alerts, sha256(unhex(hex(encode('tidewatch:members')) || '00' || printf('%08x', strlen(src)) || hex(encode(src))
+ || string_agg(printf('%08x', length(CAST(alert_id AS VARCHAR))) || hex(encode(CAST(alert_id AS VARCHAR))), '' ORDER BY CAST(alert_id AS VARCHAR)))) AS member_digest FROM alerts GROUP BY ns, src""",
+)
+def w6_content_ids(spark, sf_dir):
+    """An id that depends on the members of a set alone, not on their order."""
+    from tidewatch.functions.digests import id_set_digest
+
+    per = alerts(spark, sf_dir).groupBy("ns", "src").agg(F.count(F.lit(1)).alias("alerts"), F.collect_list("alert_id").alias("ids"))  # a member set is its id
+    return per.select("ns", "src", "alerts", id_set_digest("tidewatch:members", [F.col("src")], F.col("ids")).alias("member_digest"))
+
+
+@query(
+    "q2_timeline_kinds",
+    """WITH k AS (SELECT 'order' AS kind, o_orderkey AS ref, o_orderdate AS moment FROM orders UNION ALL SELECT 'event', event_id, ts FROM events UNION ALL SELECT 'undated', c_custkey, NULL FROM customer)
+SELECT kind, count(*) AS rows, CAST(sum(ref) AS BIGINT) AS refs, count(moment) AS dated FROM k GROUP BY kind""",
+)
+def q2_timeline_kinds(spark, sf_dir):
+    kinds = {
+        "order": table(spark, sf_dir, "orders").selectExpr("o_orderkey as ref", "o_orderdate as at"), "event": table(spark, sf_dir, "events").selectExpr("event_id as ref", "ts as at"),
+        "undated": table(spark, sf_dir, "customer").selectExpr("c_custkey as ref"),
+    }
+    kinds["undated"] = kinds["undated"].withColumn("at", F.lit(None).cast("timestamp"))
+    return timeline.merged(kinds).groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("ref").alias("refs"), F.count("at").alias("dated"))

@@ -154,6 +154,20 @@ def a23_response_times(spark, sf_dir):
     return found.select("incidents", "responded", F.round("mtti_s", 3).alias("mtti_s"), F.round("mttr_s", 3).alias("mttr_s"))
 
 
+@query(
+    "j14_timings",
+    """WITH r AS (SELECT l_orderkey, min(l_shipdate) AS opened, max(l_shipdate) AS closed FROM lineitem WHERE l_orderkey % 3 > 0 GROUP BY l_orderkey)
+SELECT o_orderstatus AS status, count(*) AS incidents, count(closed) AS responded, round(avg(greatest(0, (epoch_us(closed) - epoch_us(o_orderdate)) / 1e6)) FILTER (closed IS NOT NULL), 3) AS mttr_s
+FROM orders LEFT JOIN r ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY o_orderstatus""",
+)
+def j14_timings(spark, sf_dir):
+    """Response timings of incidents by status; incidents without a response count, their times do not."""
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 > 0").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("opened"), F.max("l_shipdate").alias("closed"))
+    orders = table(spark, sf_dir, "orders")
+    found = [reports.response_times(orders.where(F.col("o_orderstatus") == s), lines, "o_orderkey", "o_orderdate", "opened", "closed").withColumn("status", F.lit(s)) for s in ("F", "O")]
+    return found[0].unionByName(found[1]).select("status", "incidents", "responded", F.round("mttr_s", 3).alias("mttr_s"))
+
+
 @query("a24_newest_flows", f"{_A} SELECT alert_id, score FROM alerts ORDER BY t DESC, alert_id DESC LIMIT 25")
 def a24_newest_flows(spark, sf_dir):
     return alerts(spark, sf_dir).orderBy(F.desc("t"), F.desc("alert_id")).limit(25).select("alert_id", "score")

@@ -94,6 +94,13 @@ def m7_anomaly_threshold(spark, sf_dir):
     return scoring.threshold_counts(scored, "anomaly", threshold).withColumn("threshold", F.lit(threshold))
 
 
+@query("m6_decisions", f"{_F}, r AS (SELECT score, CASE WHEN fwd_packets = 7 THEN 'non_finite:fwd_packets' WHEN label = 1 AND duration_ms = 0 THEN 'non_finite:duration_ms' WHEN dst_port % 29 = 0 THEN 'no_probability' END AS withheld FROM flows) SELECT withheld, CASE WHEN withheld IS NULL THEN CASE WHEN score >= 0.5 THEN 'Attack' ELSE 'Benign' END END AS verdict, count(*) AS n, min(score) AS lowest FROM r GROUP BY ALL")
+def m6_decisions(spark, sf_dir):
+    """Decisions at 0.5 inclusive; vectors with a null or a number that is not finite are withheld."""
+    rows = flows(spark, sf_dir).withColumns({"duration_ms": F.expr("if(label = 1 and duration_ms = 0, double('NaN'), duration_ms)"), "fwd_packets": F.expr("if(fwd_packets = 7, null, fwd_packets)"), "p": F.expr("if(dst_port % 29 = 0, null, score)")})
+    return scoring.decide(rows, "p", 0.5, ["fwd_packets", "duration_ms", "fwd_bytes"]).groupBy("withheld", "verdict").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lowest"))
+
+
 _CODE = "(0.6 * fwd_packets + 0.8 * bwd_packets)"
 
 
@@ -103,6 +110,21 @@ def m7_residuals(spark, sf_dir):
     return scored.select("record_id", F.round("anomaly", 6).alias("anomaly"))
 
 
+@query(
+    "m7_fixed_threshold",
+    f"""{_F}, e AS (SELECT label, (pow(fwd_packets - 0.6 * {_CODE}, 2) + pow(bwd_packets - 0.8 * {_CODE}, 2)) / 2 AS anomaly FROM flows),
+r AS (SELECT anomaly, row_number() OVER (ORDER BY anomaly) AS nth, count(*) OVER () AS n FROM e WHERE label = 0), t AS (SELECT anomaly AS threshold FROM r WHERE nth = CAST(ceil(0.99 * (n - 1)) AS BIGINT) + 1)
+SELECT round(threshold, 6) AS threshold, count_if(label = 0 AND anomaly > threshold + 1e-6) AS benign_above, count_if(label = 1 AND anomaly > threshold + 1e-6) AS attacks_above FROM e, t GROUP BY threshold""",
+)
+def m7_fixed_threshold(spark, sf_dir):
+    """The residual of fixed components, its 0.99 threshold over benign rows, and what lies above it (by more than a millionth)."""
+    scored = scoring.reconstruction_errors(flows(spark, sf_dir), [[0.6, 0.8]], ["fwd_packets", "bwd_packets"])
+    least = scoring.upper_quantile(scored.where("label = 0"), "anomaly")  # one row
+    above = F.col("anomaly") > F.col("threshold") + 1e-6
+    rows = scored.crossJoin(F.broadcast(least)).groupBy("threshold").agg(F.count_if((F.col("label") == 0) & above).alias("benign_above"), F.count_if((F.col("label") == 1) & above).alias("attacks_above"))
+    return rows.withColumn("threshold", F.round("threshold", 6))
+
+
 @query("m8_threshold", f"{_F}, r AS (SELECT fwd_bytes, row_number() OVER (ORDER BY fwd_bytes) AS nth, count(*) OVER () AS n FROM flows WHERE label = 0) SELECT fwd_bytes AS threshold FROM r WHERE nth = CAST(ceil(0.99 * (n - 1)) AS BIGINT) + 1")
 def m8_threshold(spark, sf_dir):
     return scoring.upper_quantile(flows(spark, sf_dir).where("label = 0"), "fwd_bytes")
