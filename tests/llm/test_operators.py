@@ -176,6 +176,8 @@ def test_mixture_meets_targets(spark, some):
 def test_mixture_fill_and_schedule(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 100), ("c", 1000), (None, 0)], "source string, size long")
     got = {r.source: r.target for r in mixture.source_targets(sizes).collect()}
+    many = {r.source: (r.tier, r.target) for r in mixture.source_targets(sizes, most=0).collect()}  # ranked in range partitions
+    assert many == {r.source: (r.tier, r.target) for r in mixture.source_targets(sizes).collect()}
     level = (1110 - 30) / 3
     assert got["a"] == 30 and got[None] == 0 and got["b"] == 300 and got["c"] == pytest.approx(1110 - 330) and level > 300 / 2
     for knots in mixture.SCHEDULES:  # the inverse of the integral, numerically
