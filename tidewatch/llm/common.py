@@ -17,6 +17,14 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark, rows: int = 1000) -> None:
+    """From here on, Arrow batches of this session hold at most `rows` rows, if it has not set fewer: rows carry whole texts, and
+    every running task holds a batch on both sides, the JVM's twice while it grows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def word_count(text: Column) -> Column:
     """Words in a text as long; null counts as 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

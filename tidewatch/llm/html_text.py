@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import small_batches
+
 #: Element names of HTML by their part in a page.
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -374,6 +376,8 @@ def main_text(page: str | None) -> str:
 def extract_text(df: DataFrame, page: str = "html", text: str = "text") -> DataFrame:
     """`df` with the main text of its html column as `text`; a column of that name is replaced."""
 
+    small_batches(df.sparkSession)
+
     @F.arrow_udf("string")
     def extracted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import stored
+from tidewatch.llm.common import small_batches, stored
 from tidewatch.llm.tokens import WordBpe
 
 CAPACITY, END_ID = 4096, 1
@@ -36,6 +36,7 @@ ROW = "_pack_row"
 
 def tokenized(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) per piece of (doc_id, text)."""
+    small_batches(df.sparkSession)
     kind = df.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
     end = np.array([end_id], "<u4").tobytes()

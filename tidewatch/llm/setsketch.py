@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import stored
+from tidewatch.llm.common import small_batches, stored
 from tidewatch.operators.components import connected_components
 
 BANDS, ROWS = 30, 5
@@ -190,14 +190,15 @@ def _sets_of(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         shingles = Shingler(words)
         for batch in batches:
             bit = batch.column("bit").to_numpy(zero_copy_only=False)
-            hit = (bits.value[bit >> 6] >> (bit & 63)) & 1
-            digest, sets = [], []
+            hit = np.flatnonzero((bits.value[bit >> 6] >> (bit & 63)) & 1)
             texts = batch.column("text")
-            for i in np.flatnonzero(hit):
-                found = shingles(texts[int(i)].as_py())
-                digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                sets.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["digest", "shingles"])
+            for at in range(0, len(hit), 256):  # sets are larger than texts: few at a time
+                digest, sets = [], []
+                for i in hit[at : at + 256].tolist():
+                    found = shingles(texts[i].as_py()).tobytes()
+                    digest.append(hashlib.blake2b(found, digest_size=16).digest())
+                    sets.append(found)
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"])
 
     hits = df.select("text", F.pmod(F.xxhash64("id"), F.lit(width)).alias("bit")).mapInArrow(run, "digest binary, shingles binary")
     return hits.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
@@ -209,14 +210,14 @@ def _verified(df: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, p
     wanted = stored(ends.join(classes.select("digest", "rep"), "digest"), "near-wanted")
     sets = stored(_sets_of(df, wanted, words), "near-sets")
 
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(a, b, strict=True):  # views of the batch, not copies
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
+        return pa.array(out, pa.bool_())
 
     first = pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("set_a")), "a")
     both = first.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("set_b")), "b")
@@ -308,7 +309,7 @@ def _crossing(df: DataFrame, suspects: DataFrame, classes: DataFrame, words: int
     def linked(key: tuple, group: pa.Table) -> pa.Table:
         names, blocks = group.column("digest").to_pylist(), group.column("own").to_numpy()
         regs = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(len(names), BANDS, ROWS)
-        held = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]  # views
         size = np.array([len(x) for x in held], float)
         _, part = np.unique(np.array(group.column("component").to_pylist()), return_inverse=True)
         band = int(np.flatnonzero(band_keys(regs[0].ravel()) == key[0].as_py())[0])
@@ -342,6 +343,7 @@ def _crossing(df: DataFrame, suspects: DataFrame, classes: DataFrame, words: int
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row: links where
     100 * intersection >= percent * union of the shingle sets, and their connected components."""
+    small_batches(df.sparkSession)
     docs = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     sketches = stored(_sketched(docs, words), "near-sketches")
     named = sketches.where("id is not null and n > 0")

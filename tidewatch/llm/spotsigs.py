@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm.common import stored
+from tidewatch.llm.common import small_batches, stored
 
 CHAIN, SPACING = 3, 1
 #: Content words that a chain reaches over, and those between anchors of which a chain covers less than a third.
@@ -178,6 +178,7 @@ def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text
     by text and stay in one range; null ids come first. Ids are whole numbers or their texts; any other
     text counts as a null id.
     """
+    small_batches(df.sparkSession)
     spark = df.sparkSession
     docs = df.select(F.expr(f"try_cast(`{doc_id}` as bigint)").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     key = F.coalesce("id", F.lit(-(2**63)))

@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 
 #: Words kept in a worker's table before it starts anew.
-TABLE_WORDS = 600_000
+TABLE_WORDS = 150_000
 
 
 def _class(*kinds: str) -> str:
