@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,3 +49,21 @@ def with_offsets(df: DataFrame, key: str, value: str, rows: int) -> DataFrame:
         .withColumn("offset", (F.col("_start") + F.col("_within")).cast("long"))
         .drop("_block", "_within", "_start")
     )
+
+
+def finite_vector(vector: Column) -> Column:
+    """Whether a vector is there, has entries, and all of them are finite numbers."""
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(fine, F.lit(False))
+
+
+def usual_width(rows: DataFrame, vector: str) -> tuple[int, int]:
+    """(width, rows of it): the most frequent width of the vectors, the smaller of equally frequent ones; (0, 0) without rows."""
+    found = rows.groupBy(F.size(vector).alias("width")).count().orderBy(F.desc("count"), "width").limit(1).collect()
+    return (found[0]["width"], found[0]["count"]) if found else (0, 0)
+
+
+def list_matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """Lists of one width, without nulls, as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False)).reshape(-1, width)
