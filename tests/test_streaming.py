@@ -75,3 +75,129 @@ def test_sensor_lines_land(spark, tmp_path):
     assert len(flow) == 1 and flow[0].duration_ms == 4000.0 and flow[0].protocol == "tcp"
     codes = sorted(r.code for r in spark.read.parquet(str(tmp_path / "dead")).collect())
     assert codes == ["invalid_flow", "invalid_src_ip", "malformed_json", "missing_event_type"]
+
+
+BURST_US = 21_600_000_000
+
+
+def watermark(rows, delay_us=1_000_000):
+    newest = rows.agg(F.max("us")).first()[0]
+    return newest // 1000 * 1000 - delay_us
+
+
+def shuffled(spark, rows, tmp_path, name, files=6):
+    """Rows as a stream whose files come in order of time but whose rows arrive up to two days early or late."""
+    moved = rows.withColumn("_arrives", F.col("us") + F.pmod(F.xxhash64("alert_id"), F.lit(2 * 86400)) * 1_000_000)
+    path = str(tmp_path / name)
+    ordered = moved.orderBy("_arrives").drop("_arrives").collect()
+    step = -(-len(ordered) // files)
+    for at in range(0, len(ordered), step):
+        spark.createDataFrame(ordered[at : at + step], rows.schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def state_rows(query):
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+def land(df, tmp_path, name):
+    query = df.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"ck-{name}")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    return df.sparkSession.read.schema(df.schema).parquet(str(tmp_path / name)), query
+
+
+DELAY = "3 days"
+DELAY_US = 3 * 86_400_000_000
+
+
+def test_settled_forms_equal_batch_in_any_order_of_arrival(spark, parts, tmp_path):
+    rows, _ = parts
+    mark = watermark(rows, DELAY_US)
+    stream = shuffled(spark, rows.select("key", "alert_id", "us", "simhash", "t"), tmp_path, "any")
+    got, _ = land(jobs.settled_bursts(stream, 21600.0, delay=DELAY), tmp_path, "bursts")
+    batch = burst.bursts(rows, ["key"], idle=21600.0)
+    first = batch.groupBy("key", "burst_no").agg(F.min("us").alias("burst_us"))
+    want = batch.join(first, ["key", "burst_no"]).where(F.col("us") <= mark).select("alert_id", "burst_us", "burst_count")
+    assert sorted(map(tuple, got.select("alert_id", "burst_us", "burst_count").collect())) == sorted(map(tuple, want.collect()))
+
+    got, _ = land(jobs.settled_counts(stream.select("key", "alert_id", "us", "t"), 86400.0, limit=3, delay=DELAY), tmp_path, "counts")
+    want = timeline.recent_counts(rows, ["key"], "t", 86400.0, 3).where(F.col("us") <= mark).select("alert_id", "recent", "limited", "wait_seconds")
+    assert sorted(map(tuple, got.select("alert_id", "recent", "limited", "wait_seconds").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_settled_signatures_equal_batch_and_are_forgotten(spark, parts, tmp_path):
+    rows, _ = parts
+    keep = 5 * 86400
+    signed = rows.select(F.lit("k").alias("key"), "alert_id", "us", F.when(F.col("proto") == "icmp", F.col("service")).alias("signature"), "t")
+    got, _ = land(jobs.settled_signatures(shuffled(spark, signed, tmp_path, "signs-in"), keep, delay=DELAY), tmp_path, "signs")
+    facts = signed.where("signature is not null").select("key", "us", "alert_id", F.struct("us", "signature").alias("sign"))
+    held = timeline.latest_before(signed.where("signature is null").select("key", "us", "alert_id"), facts, ["key"], "us", "alert_id", "sign")
+    want = held.where(F.col("us") <= watermark(rows, DELAY_US)).select("alert_id", F.when(F.col("us") - F.col("sign.us") <= keep * 1_000_000, F.col("sign.signature")))
+    assert sorted(map(tuple, got.select("alert_id", "signature").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+@pytest.mark.parametrize("form", ["bursts", "counts", "signatures", "anchored"])
+def test_state_of_idle_keys_ends(spark, tmp_path, form):
+    """Keys that fall silent hold nothing once the watermark has passed what they can matter for."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    rows = [(f"k{i % 20}", i, 1_700_000_000_000_000 + i * 1_000_000, 5, "s" if i % 2 else None) for i in range(100)]
+    late = [("other", 1000, 1_700_000_900_000_000, 5, None), ("other", 1001, 1_700_001_800_000_000, 5, None)]
+    for n, part in enumerate((rows, late[:1], late[1:])):
+        frame = spark.createDataFrame(part, "key string, alert_id long, us long, simhash long, signature string").withColumn("t", F.timestamp_micros("us"))
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    made = {
+        "bursts": lambda: jobs.settled_bursts(stream.drop("signature"), 60.0, delay="1 second"),
+        "counts": lambda: jobs.settled_counts(stream.drop("signature", "simhash"), 60.0, delay="1 second"),
+        "signatures": lambda: jobs.settled_signatures(stream.drop("simhash"), 60.0, delay="1 second"),
+        "anchored": lambda: jobs.anchored_stream(stream.drop("simhash", "signature"), 60.0, delay="1 second"),
+    }[form]()
+    _, query = land(made, tmp_path, "out")
+    held = state_rows(query)
+    # The first batch leaves the rows of twenty keys; in the end only the last row of `other` waits, with its timer.
+    assert max(held) >= 20 and held[-1] <= 5
+
+
+def test_incidents_of_both_passes_equal_batch_once_closed(spark, parts, tmp_path):
+    rows, _ = parts
+    alerts_in = rows.select("alert_id", "t", "ns", "src", "dst", "proto", "service", "us")
+    stream = shuffled(spark, alerts_in, tmp_path, "alerts")
+    first, second = jobs.start_incidents(stream.drop("us"), str(tmp_path / "incidents"), 21600.0, 172800.0, delay=DELAY)
+    assert first.exception() is None and second.exception() is None
+    bursts, campaigns = (spark.read.schema(jobs.CLUSTER_OUT).parquet(str(tmp_path / "incidents" / n)) for n in ("bursts", "campaigns"))
+    got = {(r.alert_id, r.incident_id, r.rule) for r in jobs.closed_members(bursts, campaigns).collect()}
+    mark = watermark(rows, DELAY_US)
+    found = correlate.correlate(alerts(spark, SF), 21600.0, 172800.0)
+    want = {(r.alert_id, r.incident_id, r.rule) for r in found.collect()}
+    assert got <= want and len({x[2] for x in got}) == 3
+    lag = bursts.where("size = 1").agg(F.max("anchor_us")).first()[0] // 1000 * 1000 - 1_000_000
+    closed = found.where(F.when(F.col("rule") == "burst", F.col("anchor_us") + BURST_US < mark).otherwise((F.col("anchor_us") + 8 * BURST_US < lag)))
+    assert got == {(r.alert_id, r.incident_id, r.rule) for r in closed.collect()}
+
+
+def test_late_rows_are_kept_and_reconciled(spark, parts, tmp_path):
+    rows, _ = parts
+    rows = rows.select("key", "alert_id", "us", "t")
+    planted = F.pmod(F.xxhash64("alert_id"), F.lit(23)) == 0
+    path = str(tmp_path / "planted")
+    rows.where(~planted).coalesce(1).write.parquet(path)
+    rows.where(planted).union(spark.createDataFrame([("nowhen", 10**9, None, None)], rows.schema)).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    jobs.land_split(stream, "t", 1.0, str(tmp_path), str(tmp_path / "ck-split")).awaitTermination(120)
+    on_time, late = (spark.read.schema(rows.schema).parquet(str(tmp_path / n)) for n in ("on_time", "late"))
+    assert on_time.count() + late.count() == rows.count() + 1 and late.count() > 10 and late.where("t is null").count() == 1
+    landed = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "on_time"))
+    got, query = land(jobs.anchored_stream(landed, 21600.0, delay="1 second"), tmp_path, "clusters")
+    assert all(o["numRowsDroppedByWatermark"] == 0 for p in query.recentProgress for o in p["stateOperators"])
+    mark = watermark(on_time)
+
+    def batch(df):
+        made = correlate.anchored_clusters(df, ["key"], 21600.0).groupBy("key", F.col("anchor").alias("anchor_us")).agg(F.count(F.lit(1)).alias("size"))
+        return made.where(F.col("anchor_us") + BURST_US < mark)
+
+    streamed = got.select("key", "anchor_us", "size")
+    want = sorted(map(tuple, batch(rows).collect()))
+    assert sorted(map(tuple, streamed.collect())) != want
+    repaired = jobs.reconciled(streamed, on_time, late.where("t is not null"), ["key"], batch)
+    assert sorted(map(tuple, repaired.collect())) == want
+    assert sorted(map(tuple, jobs.reconciled(repaired, on_time, late.where("t is not null"), ["key"], batch).collect())) == want

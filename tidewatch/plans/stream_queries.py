@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import burst
+from tidewatch.operators import burst, correlate
 from tidewatch.plans import correlation_queries as c
 from tidewatch.plans.registry import query
 from tidewatch.plans.views import ALERTS_SQL, alerts, table
@@ -129,3 +129,92 @@ def s8_followed_lines(spark, sf_dir):
     )
     stream, folder = _source(lines, "s8")
     return _landed(jobs.signature_stream(follow_lines(stream)), folder).select("alert_id", "signature")
+
+
+_WATERMARK = "(SELECT epoch_us(max(t)) // 1000 * 1000 - 1000000 FROM alerts)"
+
+
+def _keyed(spark, sf_dir):
+    return alerts(spark, sf_dir).select(F.concat_ws("|", "ns", "src", "dst", "proto", "service").alias("key"), "alert_id", F.unix_micros("t").alias("us"), "t")
+
+
+@query(
+    "st3_settled_bursts",
+    f"""{c._BURSTS_SQL} SELECT alert_id, epoch_us(min(t) OVER (PARTITION BY src, dst, proto, burst_no)) AS burst_us, row_number() OVER (PARTITION BY src, dst, proto, burst_no ORDER BY t, alert_id) AS burst_count
+FROM b QUALIFY epoch_us(t) <= {_WATERMARK}""",
+)
+def st3_settled_bursts(spark, sf_dir):
+    """Bursts of the rows that the watermark has passed, in order of time; idle keys end."""
+    rows = c.simhashed(spark, sf_dir).select(F.concat_ws("|", "src", "dst", "proto").alias("key"), "alert_id", F.unix_micros("t").alias("us"), "simhash", "t")
+    stream, folder = _source(rows, "st3-settled")
+    return _landed(jobs.settled_bursts(stream, c.BURST, burst.MAX_DISTANCE, delay="1 second"), folder).select("alert_id", "burst_us", "burst_count")
+
+
+_CLOSED = f"epoch_us(anchor) + 21600000000 < {_WATERMARK}"
+_INCIDENTS_SQL = (
+    c._CAMPAIGN_SQL.replace("WHERE decision = 'Attack' AND score >= 0.5", "")
+    .replace("FROM bs WHERE size = 1)", f"FROM bs WHERE size = 1 AND {_CLOSED})")
+    .replace("FROM bs WHERE size > 1", f"FROM bs WHERE size > 1 AND {_CLOSED}")
+    .replace("'singleton' END FROM cs)", "'singleton' END FROM cs WHERE epoch_us(anchor) + 172800000000 < (SELECT epoch_us(max(t)) // 1000 * 1000 - 1000000 FROM cl))")
+)
+
+
+@query("st4_campaigns", f"{_INCIDENTS_SQL} SELECT m.alert_id, i.incident_id, m.rule, epoch_us(m.anchor) AS anchor_us, m.size FROM mem m JOIN ids i ON m.rule = i.rule AND m.anchor_id = i.anchor_id")
+def st4_campaigns(spark, sf_dir):
+    """Both passes over all alerts: members of what they have closed, under the ids of the batch correlation."""
+    stream, folder = _source(alerts(spark, sf_dir), "st4-incidents")
+    jobs.start_incidents(stream, folder, c.BURST, c.CAMPAIGN, delay="1 second")
+    bursts, campaigns = (spark.read.schema(jobs.CLUSTER_OUT).parquet(f"{folder}/{name}") for name in ("bursts", "campaigns"))
+    return jobs.closed_members(bursts, campaigns)
+
+
+@query(
+    "st5_kept_signatures",
+    """WITH a AS (SELECT user_id, ts, event_id, event_type AS signature FROM events WHERE event_type = 'error' OR event_type = 'purchase'), f AS (SELECT * FROM events WHERE event_type IN ('click', 'view'))
+SELECT f.event_id AS alert_id, (SELECT arg_max(a.signature, (a.ts, a.event_id)) FROM a WHERE a.user_id = f.user_id AND a.ts <= f.ts AND epoch_us(f.ts) - epoch_us(a.ts) <= 172800000000) AS signature
+FROM f WHERE epoch_us(f.ts) <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 1000000 FROM events WHERE event_type IN ('click', 'view', 'error', 'purchase'))""",
+)
+def st5_kept_signatures(spark, sf_dir):
+    """As-of signatures that are forgotten after two days."""
+    rows = table(spark, sf_dir, "events").where("event_type in ('click', 'view', 'error', 'purchase')").selectExpr("cast(user_id as string) as key", "event_id as alert_id", "unix_micros(ts) as us", "if(event_type in ('error', 'purchase'), event_type, null) as signature", "ts as t")
+    stream, folder = _source(rows, "st5-kept")
+    return _landed(jobs.settled_signatures(stream, 2 * 86400.0, delay="1 second"), folder).select("alert_id", "signature")
+
+
+@query(
+    "st6_exact_counts",
+    """WITH f AS (SELECT * FROM events WHERE event_type = 'error'), w AS (SELECT event_id, ts, count(*) OVER r AS recent, min(epoch_us(ts)) OVER r AS first_us FROM f
+ WINDOW r AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW))
+SELECT event_id AS alert_id, recent, recent >= 2 AS limited, CASE WHEN recent >= 2 THEN (first_us + 86400000000 - epoch_us(ts)) / 1e6 ELSE 0.0 END AS wait_seconds
+FROM w WHERE epoch_us(ts) <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 1000000 FROM f)""",
+)
+def st6_exact_counts(spark, sf_dir):
+    """Failures of a user within a day, exact and row by row."""
+    rows = table(spark, sf_dir, "events").where("event_type = 'error'").selectExpr("cast(user_id as string) as key", "event_id as alert_id", "unix_micros(ts) as us", "ts as t")
+    stream, folder = _source(rows, "st6-exact")
+    return _landed(jobs.settled_counts(stream, 86400.0, limit=2, delay="1 second"), folder).select("alert_id", "recent", "limited", "wait_seconds")
+
+
+@query(
+    "st8_reconciled",
+    f"""{c._BURST_SQL.replace("WHERE decision = 'Attack' AND score >= 0.5", "")}
+SELECT concat_ws('|', ns, src, dst, proto, service) AS key, epoch_us(anchor) AS anchor_us, count(*) AS size FROM bs GROUP BY ALL HAVING epoch_us(anchor) + 21600000000 < {_WATERMARK}""",
+)
+def st8_reconciled(spark, sf_dir):
+    """Every 37th alert arrives after all others. Most are late: the stream's clusters lack them until they are reconciled."""
+    rows = _keyed(spark, sf_dir)
+    stream, folder = _source(rows.where("alert_id % 37 <> 0"), "st8-reconciled")
+    rows.where("alert_id % 37 = 0").write.mode("append").parquet(f"{folder}/in")
+    # The late rows' files are newer; a batch takes one file, in order of their times.
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    jobs.land_split(stream, "t", 1.0, folder, f"{folder}/split-state").awaitTermination()
+    on_time, late = (spark.read.schema(rows.schema).parquet(f"{folder}/{name}") for name in ("on_time", "late"))
+    landed = spark.readStream.schema(on_time.schema).parquet(f"{folder}/on_time")
+    streamed = _landed(jobs.anchored_stream(landed, c.BURST, delay="1 second"), folder).select("key", "anchor_us", "size")
+    newest = on_time.agg((F.floor(F.max("us") / 1000) * 1000 - 1_000_000).alias("mark"))  # one row
+
+    def batch(df: DataFrame) -> DataFrame:
+        made = correlate.anchored_clusters(df, ["key"], c.BURST).groupBy("key", F.col("anchor").alias("anchor_us")).agg(F.count(F.lit(1)).alias("size"))
+        return made.crossJoin(F.broadcast(newest)).where(F.col("anchor_us") + int(c.BURST * 1_000_000) < F.col("mark"))
+
+    return jobs.reconciled(streamed, on_time, late, ["key"], batch)
