@@ -95,3 +95,56 @@ def test_bursts_and_latest_facts_across_parts(spark):
     known = sorted((s, i, k) for i, k, s, _ in events if i % 5 == 0)
     want = {i: next((str(j) for at, j, key in reversed(known) if key == k and at <= s), None) for i, k, s, _ in events if i % 5}
     assert found == want
+
+
+def test_hot_keys_are_walked_in_ranges(spark):
+    """Chains that cross ranges: dense stretches (a range inside one window), gaps, equal times across a border, several hot keys."""
+    rng = np.random.default_rng(11)
+    times = {
+        "even": np.arange(0, 400_000, 100), "dense": rng.integers(0, 900, 3000), "mixed": np.concatenate([rng.integers(0, 50_000, 1500), np.full(700, 60_000), rng.integers(60_000, 2_000_000, 1500)]),
+        "cold": rng.integers(0, 5000, 40),
+    }
+    events = [(n * 10_000 + i, k, int(s)) for n, (k, v) in enumerate(times.items()) for i, s in enumerate(v)] + [(-1, None, 5)]
+    df = spark.createDataFrame(events, "alert_id long, k string, s long").withColumns({"t": F.timestamp_seconds("s"), "_": F.lit(1)})
+    for seconds, range_rows in ((300.0, 100), (30.0, 1000), (100_000.0, 77)):
+        made = correlate.anchored_clusters(df, ["k"], seconds, range_rows=range_rows)
+        assert made.columns == [*df.columns, "anchor"]
+        got = {r.alert_id: r.anchor // 1_000_000 for r in made.collect()}
+        want, anchor = {}, {}
+        for i, k, s in sorted((e for e in events if e[1]), key=lambda x: (x[1], x[2], x[0])):
+            if k not in anchor or s - anchor[k] > seconds:
+                anchor[k] = s
+            want[i] = anchor[k]
+        assert got == want
+
+
+def test_a_hot_key_uses_many_tasks(spark):
+    rows = spark.range(200_000).select(F.col("id").alias("alert_id"), F.lit("one").alias("k"), F.timestamp_seconds(F.col("id") * 7).alias("t"))
+    made = correlate.anchored_clusters(rows, ["k"], 30.0, range_rows=10_000)
+    per = made.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(per) >= 8 and max(r.n for r in per) <= 60_000
+    assert made.agg(F.count_distinct("anchor")).first()[0] == 40_000 and made.where("anchor % 35000000 <> 0").count() == 0
+
+
+def test_runs_and_funnel_over_parts(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, "hot" if i % 3 else f"k{i % 5}", None if a == 3 else f"a{a}", None if i % 97 == 0 else int(s), float(s % 10) / 10, int(h)) for i, (a, s, h) in enumerate(zip(rng.integers(0, 4, 2000), rng.integers(0, 40_000, 2000), rng.integers(0, 50, 2000)))]
+    df = spark.createDataFrame(rows, "alert_id long, k string, actor string, s long, score double, simhash long").withColumn("t", F.timestamp_seconds("s"))
+    got = {r.alert_id: r.run for r in timeline.actor_runs(df, ["k"], ["t", "alert_id"], "actor").collect()}
+    want, state = {}, {}
+    order = sorted(rows, key=lambda r: (r[1], r[3] is not None, r[3] or 0, r[0]))
+    for i, k, a, *_ in order:
+        run, last = state.get(k, (0, "-"))
+        state[k] = (run + (a != last), a)
+        want[i] = state[k][0]
+    assert got == want
+    buckets, last = {}, {}
+    for i, k, _, s, *_ in order:
+        new = s is None or last.get(k) is None or s - last[k][0] > 60
+        n = last[k][1] + 1 if k in last and last[k] and new else (0 if k not in last or last[k] is None else last[k][1])
+        buckets.setdefault((k, i if s is None else ("b", n, s if new else last[k][2])), []).append(i)
+        last[k] = (s, n, s if new else last[k][2]) if s is not None else None
+    row = burst.fatigue_funnel(df, ["k"]).first()
+    assert row.raw_weight == len(rows) and row.clusters == len({r[5] for r in rows})
+    weighed = burst.fatigue_funnel(df.withColumn("w", F.lit(3)), ["k"], weight="w").first()
+    assert weighed.raw_weight == sum(max(3, len(v)) for v in buckets.values())

@@ -48,11 +48,20 @@ def bursts(df: DataFrame, key: list[str], t: str = "t", simhash: str = "simhash"
 
 def fatigue_funnel(df: DataFrame, key: list[str], t: str = "t", row_id: str = "alert_id", simhash: str = "simhash", score: str = "score", idle: float = IDLE_SECONDS, sure: float = 0.9, weight: str | None = None) -> DataFrame:
     """One row: raw weight (per idle-gap bucket of a key, the larger of its rows and its highest recorded
-    weight), SimHash clusters, clusters with a score of `sure` or more, and the reduction in percent."""
-    order = Window.partitionBy(*key).orderBy(t, row_id)
-    gap = F.unix_micros(F.col(t)) - F.unix_micros(F.lag(t).over(order))
-    cut = F.when(F.col(t).isNull() | F.lag(t).over(order).isNull() | (gap > int(idle * 1_000_000)), 1).otherwise(0)
-    bucketed = df.withColumn("_cut", cut).withColumn("_bucket", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    weight), SimHash clusters, clusters with a score of `sure` or more, and the reduction in percent.
+
+    A key is cut into parts by time; a part takes over the last time and the number of buckets of those before it."""
+    order = [F.col(t), F.col(row_id)]
+    seen = F.struct(F.col(t).alias("t"))
+    placed = ranks.carried(ranks.in_parts(df, key, order), key, F.max_by(seen, F.struct(t, row_id)), "_held", lambda c: F.last(c, ignorenulls=True))
+    inside = Window.partitionBy(*key, ranks.PART).orderBy(*order)
+    before = F.coalesce(F.lag(seen).over(inside), F.col("_held"))
+    placed = placed.withColumn("_before", before)
+    gap = F.unix_micros(F.col(t)) - F.unix_micros("_before.t")
+    cut = F.when(F.col(t).isNull() | F.col("_before.t").isNull() | (gap > int(idle * 1_000_000)), 1).otherwise(0).cast("long")
+    placed = stored(placed.withColumn("_cut", cut).drop("_held", "_before"), "fatigue")
+    placed = ranks.carried(placed, key, F.sum("_cut"), "_cuts")
+    bucketed = placed.withColumn("_bucket", F.coalesce("_cuts", F.lit(0)) + F.sum("_cut").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     per = bucketed.groupBy(*key, "_bucket").agg(F.greatest(F.count(F.lit(1)), F.max(F.col(weight)) if weight else F.lit(0)).alias("w"))
     clusters = df.agg(F.count_distinct(simhash).alias("clusters"), F.count_distinct(F.when(F.col(score) >= sure, F.col(simhash))).alias("sure_clusters"))
     raw = per.agg(F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("raw_weight"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,6 +15,8 @@ from tidewatch.functions.digests import id_set_digest
 from tidewatch.session import stored
 
 BURST_SECONDS, CAMPAIGN_SECONDS, MAX_SKEW_SECONDS = 30.0, 600.0, 5.0
+#: Keys of more rows are cut into ranges of about so many.
+RANGE_ROWS = 250_000
 
 
 def _blank(c: Column) -> Column:
@@ -45,20 +48,9 @@ def rejection_reason(prov: str = "prov", max_skew: float = MAX_SKEW_SECONDS) ->
     )
 
 
-def anchored_clusters(df: DataFrame, keys: Sequence[str], seconds: float, t: str = "t", row_id: str = "alert_id") -> DataFrame:
-    """`df` with anchor (the cluster's first time, in microseconds): a row joins the open cluster of its
-    key while it is at most `seconds` after the cluster's first row, and else opens the next one.
-
-    Rows are dealt by key and sorted by (key, time, id) within a task, which then streams through them once: all that
-    it holds is the open cluster's key and anchor, so a key may have any number of rows. Within one key the order is
-    sequential by definition. Null times and null keys form no clusters and are dropped; equal times join alike.
-    """
-    span = int(seconds * 1_000_000)
-    rows = df.where(F.col(t).isNotNull()).withColumn("_us", F.unix_micros(F.col(t).cast("timestamp")))
-    for key in keys:
-        rows = rows.where(F.col(key).isNotNull())
-    # Neighbours of different keys are told apart by the keys' hash.
-    rows = rows.withColumn("_key", F.xxhash64(*keys)).repartition(*keys).sortWithinPartitions(*keys, "_us", row_id)
+def _walk(rows: DataFrame, span: int, incoming: str | None = None) -> DataFrame:
+    """`rows` with anchor: a task streams once through its rows, sorted by (_key, _us), and holds the open cluster's key and anchor
+    only. `incoming`: a column with the anchor that is open before a key's first row; null if none is."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, anchor = None, 0
@@ -69,8 +61,10 @@ def anchored_clusters(df: DataFrame, keys: Sequence[str], seconds: float, t: str
             edges = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(names)]])
             anchors = np.empty(len(us), np.int64)
             for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                at = low
-                if names[low] == open_key:
+                at, held = low, names[low] == open_key
+                if not held and incoming is not None and (before := batch.column(incoming)[low].as_py()) is not None:
+                    held, anchor = True, before
+                if held:
                     at = low + int(np.searchsorted(us[low:high], anchor + span, "right"))
                     anchors[low:at] = anchor
                 while at < high:
@@ -81,8 +75,81 @@ def anchored_clusters(df: DataFrame, keys: Sequence[str], seconds: float, t: str
                 open_key = names[low]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(anchors)], [*batch.schema.names, "anchor"])
 
-    walked = rows.mapInArrow(walk, T.StructType([*rows.schema.fields, T.StructField("anchor", T.LongType())]))
-    return walked.drop("_us", "_key")
+    return rows.mapInArrow(walk, T.StructType([*rows.schema.fields, T.StructField("anchor", T.LongType())]))
+
+
+def _passage(times: np.ndarray, span: int) -> tuple[list[int], list[int]]:
+    """How a chain of clusters passes sorted distinct times: (ends, exits), so that one that comes in with anchor a, which covers a + span,
+    leaves with the exit of the first end after a + span; with a itself, if there is no such end.
+
+    Jump pointers say which time opens the next cluster; followed to the last cluster from the back, each once. Only
+    times within a span of the first can be the first uncovered one, and neighbours with one exit are one entry."""
+    n = len(times)
+    jump = np.searchsorted(times, times + span, "right").tolist()
+    leaves = list(range(n))
+    for i in range(n - 1, -1, -1):
+        if jump[i] < n:
+            leaves[i] = leaves[jump[i]]
+    entries = times[: min(n, jump[0] + 1)]
+    exits = times[np.array(leaves[: len(entries)])]
+    last = np.append(np.flatnonzero(exits[1:] != exits[:-1]), len(entries) - 1)
+    return entries[last].tolist(), exits[last].tolist()
+
+
+def _in_ranges(rows: DataFrame, keys: Sequence[str], span: int, row_id: str, parts: int) -> DataFrame:
+    """The rows of hot keys with their anchors: each key is cut into ranges of time that are walked side by side.
+
+    What a range does to the chain is a small step function of the anchor that comes in (`_passage`). One light task a key composes
+    its ranges' functions in order, which gives the anchor that comes into each range: one row a range at most, which is broadcast."""
+    placed = stored(rows.repartitionByRange(parts, *keys, "_us", row_id).withColumn("_part", F.spark_partition_id()), "anchored-ranges")
+    names = T.StructType([rows.schema[k] for k in keys]).simpleString()[len("struct<") : -1].replace(":", " ")
+
+    def passage(key: tuple, group: pa.Table) -> pa.Table:
+        times = np.unique(group.column("_us").to_numpy())
+        ends, exits = _passage(times, span)
+        return pa.table({**{k: pa.array([v.as_py()], v.type) for k, v in zip([*keys, "_part"], key, strict=True)}, "ends": [ends], "exits": [exits]})
+
+    def composed(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by("_part")
+        anchor, come = None, []
+        for ends, exits in zip(group.column("ends"), group.column("exits"), strict=True):
+            come.append(anchor)
+            ends, exits = ends.values.to_numpy(), exits.values.to_numpy()
+            at = 0 if anchor is None else int(np.searchsorted(ends, anchor + span, "right"))
+            anchor = anchor if at == len(ends) else int(exits[at])
+        return group.select([*keys, "_part"]).append_column("_in", pa.array(come, pa.int64()))
+
+    functions = placed.select(*keys, "_part", "_us").groupBy(*keys, "_part").applyInArrow(passage, f"{names}, _part int, ends array<long>, exits array<long>")
+    incoming = functions.groupBy(*keys).applyInArrow(composed, f"{names}, _part int, _in long").where("_in is not null")
+    walked = placed.join(F.broadcast(incoming), [*keys, "_part"], "left").withColumn("_key", F.xxhash64(*keys, "_part"))
+    walked = walked.repartitionById(parts, "_part").sortWithinPartitions(*keys, "_part", "_us", row_id)
+    return _walk(walked, span, "_in").drop("_part", "_in")
+
+
+def anchored_clusters(df: DataFrame, keys: Sequence[str], seconds: float, t: str = "t", row_id: str = "alert_id", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """`df` with anchor (the cluster's first time, in microseconds): a row joins the open cluster of its
+    key while it is at most `seconds` after the cluster's first row, and else opens the next one.
+
+    Rows are dealt by key and sorted by (key, time, id) within a task, which then streams through them once. Keys of more than
+    `range_rows` rows are cut into ranges of time of about so many rows, each a task (see `_in_ranges`).
+    Null times and null keys form no clusters and are dropped; equal times join alike.
+    """
+    span = int(seconds * 1_000_000)
+    rows = df.where(F.col(t).isNotNull()).withColumn("_us", F.unix_micros(F.col(t).cast("timestamp")))
+    for key in keys:
+        rows = rows.where(F.col(key).isNotNull())
+    # Neighbours of different keys are told apart by the keys' hash.
+    rows = rows.withColumn("_key", F.xxhash64(*keys))
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > range_rows)
+    most = hot.agg(F.sum("_rows").alias("rows")).first()["rows"]
+    cold = rows
+    if most:
+        hot = stored(hot.select(*keys), "anchored-hot")
+        cold = rows.join(hot, list(keys), "left_anti")
+    walked = _walk(cold.repartition(*keys).sortWithinPartitions(*keys, "_us", row_id), span)
+    if most:
+        walked = walked.unionByName(_in_ranges(rows.join(hot, list(keys), "left_semi"), keys, span, row_id, math.ceil(most / range_rows)))
+    return walked.select(*df.columns, "anchor")
 
 
 def correlate(alerts: DataFrame, burst_seconds: float = BURST_SECONDS, campaign_seconds: float = CAMPAIGN_SECONDS, domain: str = "tidewatch:incident") -> DataFrame:

@@ -24,14 +24,18 @@ def in_parts(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) ->
 
 
 def carried(placed: DataFrame, by: Sequence[str], aggregate: Column, name: str, merge=F.sum) -> DataFrame:
-    """`placed` with `name`: `merge` of the aggregates of the group's earlier parts; null in its first one."""
+    """`placed` with `name`: `merge` of the aggregates of the group's earlier parts; null in its first one.
+
+    Parts follow each other in order, so only the first group of a part has earlier parts: what is carried over is at most one
+    row a part, which is broadcast, and the rows stay where they are."""
     before = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # one row a part
-    per = placed.groupBy(*by, PART).agg(aggregate.alias("_own")).withColumn(name, merge("_own").over(before))
+    per = placed.groupBy(*by, PART).agg(aggregate.alias("_own"))
+    per = per.withColumns({name: merge("_own").over(before), "_nth": F.row_number().over(Window.partitionBy(*by).orderBy(PART))}).where("_nth > 1")
     per = per.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(PART).alias("_of"), name)
     same = F.col(PART) == F.col("_of")
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return placed.join(per, same).drop("_of", *[f"_by_{c}" for c in by])
+    return placed.join(F.broadcast(per), same, "left").drop("_of", *[f"_by_{c}" for c in by])
 
 
 def with_running(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, weight: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import ranks
+from tidewatch.session import stored
 
 
 def merged(kinds: Mapping[str, DataFrame]) -> DataFrame:
@@ -19,10 +20,17 @@ def merged(kinds: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def actor_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], actor: str) -> DataFrame:
-    """`df` with `run`, which counts up whenever the actor changes within a key (nulls are equal)."""
-    by = Window.partitionBy(*keys).orderBy(*order)
-    new = F.when(F.row_number().over(by) == 1, 1).when(~F.col(actor).eqNullSafe(F.lag(actor).over(by)), 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """`df` with `run`, which counts up whenever the actor changes within a key (nulls are equal).
+
+    A key is cut into parts by the order; a part takes over the last actor and the number of runs of those before it."""
+    seen = F.struct(F.col(actor).alias("actor"))
+    placed = ranks.carried(ranks.in_parts(df, keys, order), keys, F.max_by(seen, F.struct(*order)), "_held", lambda c: F.last(c, ignorenulls=True))
+    inside = Window.partitionBy(*keys, ranks.PART).orderBy(*order)
+    placed = placed.withColumn("_before", F.coalesce(F.lag(seen).over(inside), F.col("_held")))
+    new = F.when(F.col("_before").isNull(), 1).when(~F.col(actor).eqNullSafe(F.col("_before.actor")), 1).otherwise(0).cast("long")
+    placed = ranks.carried(stored(placed.withColumn("_new", new).drop("_held", "_before"), "runs"), keys, F.sum("_new"), "_runs")
+    run = F.coalesce("_runs", F.lit(0)) + F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("run", run).select(*df.columns, "run")
 
 
 def recent_counts(df: DataFrame, keys: Sequence[str], t: str, seconds: float, limit: int) -> DataFrame:
