@@ -70,8 +70,6 @@ TEXT_TAG = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcapti
 ADJACENCY, ACROSS, PROXIMITY = 4.5, 0.25, 0.5
 #: Content inside boilerplate (a block); boilerplate inside content: a block, an element.
 BELOW_BOILERPLATE, BLOCK_BELOW, ELEMENT_BELOW = 6.0, 3.5, 2.0
-#: Elements of evidence nested deeper than this are taken together with the one around them.
-LEVELS = 24
 _NAME = re.compile(r"[A-Za-z]+")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=(?:\s*(?:"[^"]*"|'[^']*'))?)*+)(?:>|\Z)""", re.S)
@@ -214,10 +212,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "header" and headed:
             weight += 5.0  # a title's own header, not the page's
         if weight:
-            if inside is not None and inside.level >= LEVELS:
-                inside = Element(inside.around, inside.weight + weight)
-            else:
-                inside = Element(inside, weight)
+            inside = Element(inside, weight)
         at_tag.setdefault(tag, []).append(len(stack))
         if block:
             at_block.append(len(stack))
@@ -323,13 +318,16 @@ def network_of(blocks: list[Block]) -> tuple[list[float], list[tuple[int, int, f
     elements: list[Element] = []
     for block in blocks:
         element = block.inside
-        while element is not None:
-            if id(element) not in node:
-                node[id(element)] = len(blocks) + len(elements)
-                elements.append(element)
-                element.blocks = 0
-            element.blocks += 1
+        while element is not None and id(element) not in node:
+            node[id(element)] = len(blocks) + len(elements)
+            elements.append(element)
+            element.blocks = 0
             element = element.around
+        if block.inside is not None:
+            block.inside.blocks += 1
+    for element in sorted(elements, key=lambda e: -e.level):  # from the inside outwards, each once
+        if element.around is not None:
+            element.around.blocks += element.blocks
     last_in: dict[int, int] = {}
     for i, block in enumerate(blocks):
         if block.inside is not None:
