@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,14 +145,17 @@ def _packer(turn: int, last: bool, capacity: int, wanted: pa.Schema):
     """Packs one partition; in all turns but the last, one above its bound releases its bins with room."""
 
     def packed(key: tuple, group: pa.Table) -> pa.Table:
-        frame = group.to_pandas().sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        lengths = frame["length"].to_numpy()
+        # Columns stay in Arrow, which keeps ids of any type as they are beside nulls.
+        order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), (ROW, "ascending")]
+        group = group.drop_columns("_pack_part").take(pc.sort_indices(group, sort_keys=order))
+        lengths = group.column("length").to_numpy()
         bins, offsets, left = best_fit_decreasing(lengths, capacity)
         gap = len(left) - lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        frame["sequence_id"] = (turn << 56) + (int(key[0].as_py()) << 24) + bins
-        frame["offset"] = offsets
-        frame["released"] = (left[bins] > 0) if gap > 1e-9 and not last else False
-        return pa.Table.from_pandas(frame.drop(columns="_pack_part"), preserve_index=False, schema=wanted)
+        released = left[bins] > 0 if gap > 1e-9 and not last else np.zeros(len(bins), bool)
+        found = {"sequence_id": (turn << 56) + (int(key[0].as_py()) << 24) + bins, "offset": offsets, "released": released}
+        for name, values in found.items():
+            group = group.append_column(name, pa.array(values))
+        return group.select(wanted.names).cast(wanted)
 
     return packed
 
