@@ -41,8 +41,6 @@ CHAIN, SPACING = 3, 1
 #: Content words that a chain reaches over, and those between anchors of which a chain covers less than a third.
 REACH = CHAIN * SPACING
 SPARSE = 3 * REACH
-#: The least likeness of an edited text or a neighbour that is told.
-FLOOR = 0.02
 #: Function words of four languages; the anchors are the most common of them.
 ANCHORS = "the is of to der und die von le et la les el que los del"
 FUNCTION_WORDS = (
@@ -225,7 +223,7 @@ def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text
                     half = len(last) // 2
                     edited = last[: len(last) - half] + now[:half]
                     changed = own(edited)
-                    row = (last_id, len(last), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_string(sigs), as_string(changed), jaccard(sigs, changed, FLOOR), jaccard(sigs, mine, FLOOR))
+                    row = (last_id, len(last), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), as_string(sigs), as_string(changed), jaccard(sigs, changed), jaccard(sigs, mine))
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                 before, done = (ids[i], now, mine), bool(ahead[i])  # the first row ahead closes the range
