@@ -224,3 +224,60 @@ def test_simhash_text_ids_and_empty(spark):
 def test_new_queries_over_the_tables(spark):
     for name in ("op11_whitening", "op12_hard_negatives", "op13_simhash"):
         assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+# ---- what earlier operators must keep
+
+
+def test_packing_keeps_ids_beyond_floats_beside_nulls(spark):
+    from tidewatch.llm import packing
+
+    big = 2**53 + 1
+    got = packing.pack_documents(spark.createDataFrame([(big, "some words"), (None, "others"), (big + 2, None)], "doc_id long, text string").coalesce(1), queries.tokenizer_path())
+    assert sorted((r.doc_id or 0 for r in got.collect())) == [0, big, big + 2]
+
+
+def test_rollup_refuses_batches_out_of_order(spark, tmp_path):
+    from tidewatch.llm import token_rollup
+
+    store = token_rollup.Rollup(spark, str(tmp_path / "store"), compact_every=3)
+
+    def one(lang):
+        return spark.createDataFrame([(1, "s", lang, "words-1", 5, 9)], "doc_id long, source string, lang string, version string, tokens long, chars long")
+
+    assert store.apply(5, one("en"))
+    with pytest.raises(ValueError, match="batch 3 comes after batch 5"):
+        store.apply(3, one("de"))
+    assert store.apply(7, one("fr")) and store.apply(9, one("es")) and not store.apply(7, one("en")) and not store.apply(5, one("en"))
+    with pytest.raises(ValueError, match="batch 8 comes after"):
+        store.apply(8, one("de"))
+    assert [tuple(r) for r in store.totals().collect()] == [("s", "es", "words-1", 1, 5, 9)]
+
+
+def test_html_of_many_nested_elements():
+    from tidewatch.llm import html_text
+
+    article = "This paragraph has words enough for the classifier to be sure of it, and it ends as sentences do."
+    comment = "I liked this very much and wrote so below it, as many readers did before me."
+    for depth in (5, 24, 30, 200):
+        page = '<div class="content">' * depth + f"<p>{article}</p><section class='comments'><p>{comment}</p></section>" + "</div>" * depth
+        assert html_text.main_text(page) == article
+
+
+def test_spot_likeness_is_told_however_small(spark):
+    from tidewatch.llm import spotsigs
+
+    own = spotsigs.Signatures()
+    rng = np.random.default_rng(2)
+    left, right = (" ".join(f"{p}{i} the" for i in rng.integers(0, 10**6, 900)) for p in ("a", "b"))
+    right += " " + " ".join(left.split()[:24])
+    got = {r.doc_id: r for r in spotsigs.edited_fingerprints(spark.createDataFrame([(1, left), (2, right)], "doc_id long, text string")).collect()}
+    edited = left[: len(left) - len(left) // 2] + right[: len(left) // 2]
+
+    def plain(a, b):
+        a, b = set(own(a).tolist()), set(own(b).tolist())
+        return len(a & b) / len(a | b)
+
+    assert 0 < plain(left, right) < 0.02
+    assert got[1].near_next == pytest.approx(plain(left, right), abs=1e-12) and got[1].near_edited == pytest.approx(plain(left, edited), abs=1e-12)
+    assert set(spotsigs.from_string(got[1].edited_fingerprint).tolist()) == set(own(edited).tolist())

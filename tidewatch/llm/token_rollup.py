@@ -126,10 +126,13 @@ class Rollup:
 
     def apply(self, batch: int, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
         """Commit a batch of upserts (see `counted`) and deletes (doc_id, version; a null version: all
-        of the document's). False, and no change, if this batch id was committed before."""
+        of the document's). False, and no change, if this batch id was committed before. Ids count upwards: a
+        new one at or below a committed one is an error, since later batches have been counted without it."""
         done, base = self._commits()
-        if batch in done or base is not None and batch <= base[0]:
+        if batch in done:
             return False
+        if done and batch < done[-1]:
+            raise ValueError(f"batch {batch} comes after batch {done[-1]} was committed")
         new = []
         if upserts is not None:
             new.append(upserts.where("doc_id is not null").select(F.col("doc_id").cast(self.id_type).alias("doc_id"), "version", "source", "lang", "tokens", "chars", F.lit(True).alias("live")))
