@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewatch.operators import ranks
+from tidewatch.session import stored
 
 GENESIS = "0" * 64
 
@@ -26,6 +31,87 @@ def keyed_digest(key: bytes, prev: Column, payload: Column) -> Column:
     return digest(prev, payload)
 
 
+def with_keyed_chain(rows: DataFrame, key: bytes, chain: str, seq: str, payload: str) -> DataFrame:
+    """`rows` with prev_hash and entry_hash: an entry's HMAC covers the hash before it and its payload, chain by chain.
+
+    A chain is sequential by its nature; chains are dealt to tasks, and a task streams through its own, holding one hash.
+    Null payloads count as empty."""
+    kinds = T.StructType([*rows.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_chain, last = None, GENESIS
+        for batch in batches:
+            before, after = [], []
+            for name, said in zip(batch.column(chain).to_pylist(), batch.column(payload).to_pylist(), strict=True):
+                if open_chain is None or name != open_chain[0]:
+                    open_chain, last = (name,), GENESIS
+                before.append(last)
+                last = hmac.new(key, f"{last}|{said or ''}".encode(), hashlib.sha256).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], [*batch.schema.names, "prev_hash", "entry_hash"])
+
+    return rows.repartition(chain).sortWithinPartitions(chain, seq).mapInArrow(linked, kinds)
+
+
+# ---- sealed archives: a tree of digests over the entries in order
+
+
+def _joined(at: str, digest: str) -> Column:
+    """The digests of a group in order, one text; a group has as many as the tree's fan."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, digest))), lambda x: x[digest]), "")
+
+
+def digest_blocks(entries: DataFrame, seq: str, leaf: Column, fan: int = 4096) -> DataFrame:
+    """(block, rows, digest): entries numbered from 1 without gaps, `fan` to a block; its digest covers their leaves in order."""
+    rows = entries.select(F.col(seq).alias("at"), leaf.alias("leaf")).withColumn("block", F.floor((F.col("at") - 1) / fan))
+    return rows.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.concat(F.lit("0:"), _joined("at", "leaf")), 256).alias("digest"))
+
+
+def digest_root(blocks: DataFrame, fan: int = 4096) -> DataFrame:
+    """One row: rows and the root, which covers the blocks' digests in order, level by level."""
+    level = stored(blocks, "digest-level")
+    while level.count() > 1:
+        up = level.withColumn("up", F.floor(F.col("block") / fan)).groupBy("up")
+        level = stored(up.agg(F.sum("rows").alias("rows"), F.sha2(F.concat(F.lit("1:"), _joined("block", "digest")), 256).alias("digest")).withColumnRenamed("up", "block"), "digest-level")
+    return level.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("rows"), F.max("digest").alias("root"))
+
+
+def entry_leaf(seq: str, columns: Sequence[str]) -> Column:
+    """The digest of an entry's place and values; a null differs from every text."""
+    return F.sha2(F.concat_ws("|", F.col(seq).cast("string"), *[F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("="), F.col(c).cast("string"))) for c in columns]), 256)
+
+
+def export_sealed(rows: DataFrame, path: str, t: str, row_id: str, at: Column, last_id: Column, fan: int = 4096) -> DataFrame:
+    """Write the prefix up to a boundary as JSON lines with their place `seq` in (t, id) order, the digests of its blocks, and the
+    root of all of them as the last step. Returns the root's row."""
+    kept = ranks.with_rank(archive_up_to(rows, t, row_id, at, last_id), [], [F.col(t).asc(), F.col(row_id).asc()], "seq")
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    kept.write.options(**exact).json(f"{path}/entries")
+    blocks = digest_blocks(read_sealed(rows, path), "seq", entry_leaf("seq", rows.columns), fan)
+    blocks.write.parquet(f"{path}/blocks")
+    root = digest_root(rows.sparkSession.read.schema(blocks.schema).parquet(f"{path}/blocks"), fan)
+    root.write.parquet(f"{path}/root")
+    return rows.sparkSession.read.schema(root.schema).parquet(f"{path}/root")
+
+
+def read_sealed(like: DataFrame, path: str) -> DataFrame:
+    """The entries of a sealed archive of rows `like`."""
+    schema = T.StructType([*like.schema.fields, T.StructField("seq", T.LongType())])
+    return like.sparkSession.read.schema(schema).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{path}/entries")
+
+
+def sealed_faults(entries: DataFrame, blocks: DataFrame, columns: Sequence[str], fan: int = 4096) -> DataFrame:
+    """(block, fault) of entries against the block digests of their archive: altered (other values, another order or number), missing or
+    extra blocks. Entries of a prefix of blocks are proven by those blocks alone, once the blocks are proven by the root."""
+    now = digest_blocks(entries, "seq", entry_leaf("seq", columns), fan).select("block", F.col("digest").alias("now"))
+    both = blocks.select("block", F.col("digest").alias("sealed")).join(now, "block", "full_outer")
+    fault = F.when(F.col("now").isNull(), "missing").when(F.col("sealed").isNull(), "extra").when(F.col("now") != F.col("sealed"), "altered")
+    return both.select("block", fault.alias("fault")).where("fault is not null")
+
+
+# ---- unkeyed archives, completeness
+
+
 def chain_breaks(rows: DataFrame, seq: str, recomputed: Column, chain: str | None = None) -> DataFrame:
     """([chain,] seq, reason) of the entries that break a chain (seq from 1, prev_hash, entry_hash): a gap or repeat in the
     sequence, a previous hash that is not the entry before's, or a digest that does not recompute. With `chain`,

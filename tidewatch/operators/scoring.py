@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.normalize import mean_size, rate_per_second
-from tidewatch.operators import ranks
+from tidewatch.operators import fitting, ranks
 from tidewatch.session import stored
 
 NUMERIC = ("duration_ms", "fwd_packets", "bwd_packets", "fwd_bytes", "bwd_bytes", "packets_per_second", "bytes_per_second", "fwd_packet_length_mean", "bwd_packet_length_mean", "dst_port")
@@ -59,24 +60,19 @@ def raw_units(df: DataFrame) -> DataFrame:
 
 
 def fit_forest(train: DataFrame, features: Sequence[str], label: str = "label", trees: int = 100, depth: int = 16, leaf: int = 5, seed: int = 42):
-    """Random forest over assembled features (MLlib)."""
+    """Random forest over assembled features (MLlib). Rows keep their node from level to level, and a pass takes as many nodes as fit
+    a gigabyte."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    forest = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=seed)
+    forest = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True, checkpointInterval=-1, maxMemoryInMB=1024)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), forest]).fit(train)
 
 
-def fit_logistic(train: DataFrame, features: Sequence[str], label: str = "label", c: float = 1.0, iterations: int = 1000):
-    """L2 logistic regression; the penalty is on the summed loss, so the mean-loss form divides by rows."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = max(1, train.count())
-    model = LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / (c * rows), elasticNetParam=0.0, standardization=False, maxIter=iterations)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), model]).fit(train)
+def fit_logistic(train: DataFrame, features: Sequence[str], label: str = "label", c: float = 1.0, iterations: int = 1000) -> fitting.Logistic:
+    """L2 logistic regression: the summed loss times c, plus half the squared weights, to its minimum."""
+    return fitting.logistic(train, features, label, c, iterations)
 
 
 def fit_bottleneck(benign: DataFrame, features: Sequence[str], width: int = 3):
@@ -113,6 +109,8 @@ def decide(df: DataFrame, probability: str, threshold: float = 0.5, features: Se
 
 def score_and_decide(df: DataFrame, model, threshold: float = 0.5) -> DataFrame:
     """`df` with probability_attack and the verdict of `decide`."""
+    if isinstance(model, fitting.Logistic):
+        return decide(df.withColumn("probability_attack", model.probability()), "probability_attack", threshold)
     from pyspark.ml.functions import vector_to_array
 
     return decide(model.transform(df).withColumn("probability_attack", vector_to_array("probability")[1]), "probability_attack", threshold)
@@ -265,6 +263,108 @@ def bootstrap_intervals(df: DataFrame, label: str, decided: Column, row_id: str,
     return long.groupBy("metric").agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))  # as many values as replicates
 
 
+def _binomial(n: int, p: float, known: dict[tuple[int, float], tuple[int, np.ndarray]]) -> tuple[int, np.ndarray]:
+    """(first value, distribution function from there on) of a binomial, over nine deviations around its mean and ten more."""
+    if (n, p) not in known:
+        spread = 9 * math.sqrt(n * p * (1 - p)) + 10
+        low, high = max(0, math.floor(n * p - spread)), min(n, math.ceil(n * p + spread))
+        k = np.arange(low + 1, high + 1, dtype=float)
+        w = np.concatenate([[0.0], np.cumsum(np.log((n - k + 1) / k * p / (1 - p)))]) if 0 < p < 1 else np.where(np.arange(low, high + 1) == n * p, 0.0, -np.inf)
+        w = np.exp(w - w.max())
+        known.clear()
+        known[n, p] = low, np.cumsum(w) / w.sum()
+    return known[n, p]
+
+
+def _drawn(n: Column, p: Column, u: Column) -> Column:
+    """The least k at which the distribution function of Binomial(n, p) reaches u."""
+
+    @F.arrow_udf("long")
+    def quantile(n: pa.Array, p: pa.Array, u: pa.Array) -> pa.Array:
+        out, known = [], {}
+        for a, b, c in zip(n.to_pylist(), p.to_pylist(), u.to_pylist(), strict=True):
+            low, upto = _binomial(a, b, known)
+            out.append(low + min(int(np.searchsorted(upto, c)), len(upto) - 1))
+        return pa.array(out, pa.int64())
+
+    return quantile(n, p, u)
+
+
+def holdout_report(df: DataFrame, label: str, decided: Column, by: Sequence[str] = (), replicates: int = 200, seed: int = 42) -> DataFrame:
+    """([by..,] tp, fp, tn, fn, precision, recall, and low and high of their 95 % bootstrap intervals).
+
+    Resampling rows with replacement resamples the four cells as a multinomial: three binomials in turn, drawn by their
+    inverse distribution at hashes of seed and replicate. So the work is a count of the rows and `replicates` small draws, whatever
+    the number of rows. Bounds are order statistics, without interpolation; a rate of an empty denominator is 0."""
+    cells = df.groupBy(*by).agg(*confusion(F.col(label), decided))
+    n = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
+    rows = cells.where(n > 0).withColumn("n", n).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+
+    def u(turn: int) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.lit(str(turn)))), 1, 13), 16, 10).cast("double") / float(16**13)
+
+    def share(part: Column, whole: Column) -> Column:
+        return F.when(whole > 0, part / whole).otherwise(0.0)
+
+    rows = rows.withColumn("_tp", _drawn(F.col("n"), share(F.col("tp"), F.col("n")), u(1)))
+    rows = rows.withColumn("_fp", _drawn(F.col("n") - F.col("_tp"), share(F.col("fp"), F.col("n") - F.col("tp")), u(2)))
+    rows = rows.withColumn("_fn", _drawn(F.col("n") - F.col("_tp") - F.col("_fp"), share(F.col("fn"), F.col("n") - F.col("tp") - F.col("fp")), u(3)))
+    low, high = int(0.025 * (replicates - 1)), int(0.975 * (replicates - 1))
+    rates = {"precision": _ratio(F.col("_tp"), F.col("_tp") + F.col("_fp")), "recall": _ratio(F.col("_tp"), F.col("_tp") + F.col("_fn"))}
+    ends = [F.element_at(F.array_sort(F.collect_list(r)), at + 1).alias(f"{name}_{end}") for name, r in rates.items() for end, at in (("low", low), ("high", high))]
+    per = rows.groupBy(*by, "tp", "fp", "tn", "fn").agg(*ends)  # `replicates` values each
+    found = {"precision": _ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": _ratio(F.col("tp"), F.col("tp") + F.col("fn"))}
+    return per.withColumns(found)
+
+
+def ineligible_reasons(samples: Column, replicates: int, digest: Column, inspected: Column, synthetic: Column, model_known: Column, supply_verified: Column, inspected_digests: Sequence[str] = (), least_samples: int = 1000, least_replicates: int = 200) -> Column:
+    """Why a hold-out evaluation cannot close the protocol, in a fixed order, as an array; empty if it can."""
+    clean = F.lower(F.trim(digest))
+    seen = clean.isin(*inspected_digests) if inspected_digests else F.lit(False)
+    well_formed = F.coalesce(clean.rlike("^[0-9a-f]{64}$"), F.lit(False))
+    tests = [
+        ("inspected_split", F.coalesce(inspected, F.lit(False)) | F.coalesce(seen, F.lit(False))), ("synthetic_fixture", F.coalesce(synthetic, F.lit(True))), ("too_few_samples", samples < least_samples),
+        ("too_few_replicates", F.lit(replicates < least_replicates)), ("malformed_digest", ~well_formed), ("inspected_digest", well_formed & seen),
+        ("unknown_model", ~F.coalesce(model_known, F.lit(False))), ("supply_not_verified", ~F.coalesce(supply_verified, F.lit(False))),
+    ]
+    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests]))
+
+
+#: Shares of the distributions that the audit of residuals tells, and of the records' shares of error.
+DISTRIBUTION = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+SHARES = {k: v for k, v in DISTRIBUTION.items() if k != "p95"}
+
+
+def group_residuals(df: DataFrame, cohort: str, groups: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(cohort, feature_group, rows, total, share, minimum, mean, deviation, p10 .. p99, maximum, share_p10 .. share_p99, dominant,
+    solely_dominant): how a cohort's squared residuals are spread over groups of features.
+
+    A record's error in a group is the sum over its columns. `share` is of the cohort's error (null without any); share_* are
+    quantiles of the records' own shares, over records with an error. A group dominates a record whose largest group
+    error it has, solely if no other group ties. Quantiles interpolate between neighbours."""
+    sums = [sum((F.col(c).cast("double") for c in columns), F.lit(0.0)) for columns in groups.values()]
+    rows = df.select(F.col(cohort), F.array(*sums).alias("_e"))
+    rows = rows.withColumns({"_all": F.aggregate("_e", F.lit(0.0), lambda a, b: a + b), "_most": F.array_max("_e")})
+    rows = rows.withColumn("_tops", F.size(F.filter("_e", lambda v: v == F.col("_most"))))
+    cells = F.array(*[
+        F.struct(
+            F.lit(name).alias("feature_group"), F.col("_e")[i].alias("v"), F.when(F.col("_all") > 0, F.col("_e")[i] / F.col("_all")).alias("s"),
+            ((F.col("_all") > 0) & (F.col("_e")[i] == F.col("_most"))).alias("top"),
+        )
+        for i, name in enumerate(groups)
+    ])
+    long = stored(rows.select(cohort, "_tops", F.explode(cells).alias("x")).select(cohort, "_tops", "x.*"), "residuals")
+    per = long.groupBy(cohort, "feature_group").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("v").alias("total"), F.min("v").alias("minimum"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"), F.max("v").alias("maximum"),
+        F.count_if("top").alias("dominant"), F.count_if(F.col("top") & (F.col("_tops") == 1)).alias("solely_dominant"),
+    )
+    for value, shares, prefix in (("v", DISTRIBUTION, ""), ("s", SHARES, "share_")):
+        found = ranks.quantiles(long, [cohort, "feature_group"], value, list(shares.values())).select(F.col(cohort).alias("_c"), F.col("feature_group").alias("_g"), "quantiles")
+        per = per.join(found, F.col(cohort).eqNullSafe(F.col("_c")) & (F.col("feature_group") == F.col("_g")), "left")
+        per = per.withColumns({prefix + name: F.col("quantiles")[i] for i, name in enumerate(shares)}).drop("_c", "_g", "quantiles")
+    return per.withColumn("share", F.try_divide("total", F.sum("total").over(Window.partitionBy(cohort))))  # a row a group
+
+
 def cohort_residuals(df: DataFrame, cohort: str, squares: Mapping[str, str]) -> DataFrame:
     """(cohort, feature, mean, median, total, share) of squared residuals; share is of the cohort's total."""
     long = df.select(cohort, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(c).cast("double").alias("v")) for f, c in squares.items()])).alias("x")).select(cohort, "x.*")

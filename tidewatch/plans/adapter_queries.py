@@ -331,5 +331,69 @@ def s13_manifest(spark, sf_dir):
     gone = table(spark, sf_dir, "nation").selectExpr("concat('gone-', n_nationkey) as file", "repeat('1', 64) as sha256", "n_nationkey % 2 = 0 as required")
     small = have.where("nation % 4 <> 3").join(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("part"), F.regexp_extract("path", r"nation=(\d+)", 1).cast("int").alias("nation"), "length"), ["part", "nation"])
     largest = small.agg(F.max("length")).first()[0]
-    return readers.verify_manifest(spark, path, known.unionByName(gone), largest, depth=2).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return readers.verify_manifest(spark, path, known.unionByName(gone), largest, depth=2, streamed=False).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
+
+
+@query("s13_streamed_digests", "SELECT status, count(*) AS n FROM (SELECT CASE WHEN n_nationkey % 3 = 0 THEN 'mismatch' ELSE 'verified' END AS status FROM nation) GROUP BY status")
+def s13_streamed_digests(spark, sf_dir):
+    """One file a nation with its customers' keys, all of them streamed; the manifest has another digest for every third."""
+    path = _folder(spark, "s13-streamed")
+    keys = table(spark, sf_dir, "nation").selectExpr("n_nationkey as nation", "cast(n_nationkey as string) as value")
+    keys = keys.unionByName(table(spark, sf_dir, "customer").selectExpr("c_nationkey as nation", "cast(c_custkey as string) as value"))
+    keys.repartition("nation").sortWithinPartitions("value").write.partitionBy("nation").text(path)
+    # The digests of the manifest come from the files' contents read whole.
+    have = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    name = F.array_join(F.slice(F.split("path", "/"), -2, 2), "/")
+    known = have.select(name.alias("file"), F.when(F.regexp_extract("path", r"nation=(\d+)", 1).cast("int") % 3 == 0, F.repeat(F.lit("0"), F.lit(64))).otherwise(F.sha2("content", 256)).alias("sha256"), F.lit(True).alias("required"))
+    return readers.verify_manifest(spark, path, known, largest=0, depth=2).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FAN = 64
+_ENTRIES_SQL = f"""e AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS seq FROM events WHERE ts < {_CUT} OR (ts = {_CUT} AND event_id <= 5000)),
+l AS (SELECT seq, sha256(concat_ws('|', CAST(seq AS VARCHAR), '=' || event_id, '=' || user_id, '=' || event_type)) AS leaf FROM e),
+b0 AS (SELECT (seq - 1) // {_FAN} AS block, sha256('0:' || string_agg(leaf, '' ORDER BY seq)) AS digest FROM l GROUP BY 1),
+""" + ", ".join(f"b{i} AS (SELECT block // {_FAN} AS block, sha256('1:' || string_agg(digest, '' ORDER BY block)) AS digest FROM b{i - 1} GROUP BY 1)" for i in (1, 2, 3, 4))
+
+
+@query("s14_sealed_archive", f"WITH {_ENTRIES_SQL} SELECT (SELECT count(*) FROM e) AS rows, CASE WHEN (SELECT count(*) FROM b0) = 1 THEN (SELECT max(digest) FROM b0) WHEN (SELECT count(*) FROM b1) = 1 THEN (SELECT max(digest) FROM b1) WHEN (SELECT count(*) FROM b2) = 1 THEN (SELECT max(digest) FROM b2) ELSE (SELECT max(digest) FROM b3) END AS root")
+def s14_sealed_archive(spark, sf_dir):
+    """The root of an archive's entries in order, from the files as they are read back."""
+    rows = table(spark, sf_dir, "events")
+    at, last = F.lit("2024-01-15 00:00:00").cast("timestamp"), F.lit(5000)
+    path = _folder(spark, "s14-sealed")
+    audit.export_sealed(rows.select("event_id", "ts", "user_id", "event_type"), path, "ts", "event_id", at, last, fan=_FAN)
+    back = audit.read_sealed(rows.select("event_id", "ts", "user_id", "event_type"), path)
+    return audit.digest_root(audit.digest_blocks(back, "seq", audit.entry_leaf("seq", ["event_id", "user_id", "event_type"]), _FAN), _FAN)
+
+
+@query(
+    "p10_seconds_flows",
+    """SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS src, CAST(l_suppkey AS INTEGER) AS dst_port, l_discount * 1000.0 AS duration_ms, CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE CAST(l_quantity AS BIGINT) END AS fwd_packets, epoch_us(l_shipdate) AS start_us,
+ CASE WHEN l_orderkey % 13 = 0 THEN 'fwd_packets' END AS rejected FROM lineitem""",
+)
+def p10_seconds_flows(spark, sf_dir):
+    """Text rows with durations in seconds and ports in decimal or hexadecimal, to canonical flows; some packet counts are no numbers."""
+    raw = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "cast(l_partkey as string) as srcip", "'10.0.0.1' as dstip", "'1024' as sport", "if(l_linenumber % 2 = 0, concat('0x', hex(l_suppkey)), cast(l_suppkey as string)) as dsport", "' TCP' as proto",
+        "date_format(l_shipdate, 'yyyy-MM-dd HH:mm:ss') as stime", "cast(cast(l_discount as double) as string) as dur", "if(l_orderkey % 13 = 0, 'many', cast(cast(l_quantity as bigint) as string)) as spkts", "'3' as dpkts", "'100' as sbytes", "'50' as dbytes", "'1' as label",
+    )
+    names = {"src": ["srcip"], "dst": ["dstip"], "src_port": ["sport"], "dst_port": ["dsport"], "protocol": ["proto"], "start": ["stime"], "duration": ["dur"], "fwd_packets": ["spkts"], "bwd_packets": ["dpkts"], "fwd_bytes": ["sbytes"], "bwd_bytes": ["dbytes"], "label": ["label"]}
+    found = readers.route_rejects(readers.canonical_flow(raw, names, 1000.0), readers.flow_checks())
+    return found.select("l_orderkey", "l_linenumber", "src", F.col("dst_port").cast("int").alias("dst_port"), "duration_ms", "fwd_packets", F.unix_micros("start").alias("start_us"), F.col("rejected.field").alias("rejected"))
+
+
+@query(
+    "p11_microseconds_flows",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 5 = 0 THEN 'udp' ELSE 'tcp' END AS protocol, floor(l_extendedprice) * 0.001 AS duration_ms, CAST(l_linenumber AS BIGINT) AS fwd_packets, CASE WHEN l_orderkey % 17 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(4 AS BIGINT) END AS bwd_packets,
+ CASE WHEN l_orderkey % 17 = 0 THEN 'bwd_bytes' END AS rejected FROM lineitem""",
+)
+def p11_microseconds_flows(spark, sf_dir):
+    """Text rows of the other benchmark: durations in microseconds, protocols by number, names with spaces; some have bytes without packets."""
+    raw = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "if(l_linenumber % 5 = 0, '17', '6') as `Protocol`", "cast(cast(floor(l_extendedprice) as bigint) as string) as `Flow Duration`", "cast(l_linenumber as string) as `Tot Fwd Pkts`",
+        "if(l_orderkey % 17 = 0, '0', '4') as `Tot Bwd Pkts`", "'10' as `TotLen Fwd Pkts`", "'20' as `TotLen Bwd Pkts`", "'443' as `Dst Port`",
+    )
+    names = {"dst_port": ["Dst Port"], "protocol": ["Protocol"], "duration": ["Flow Duration"], "fwd_packets": ["Tot Fwd Pkts"], "bwd_packets": ["Tot Bwd Pkts"], "fwd_bytes": ["TotLen Fwd Pkts"], "bwd_bytes": ["TotLen Bwd Pkts"]}
+    found = readers.route_rejects(readers.canonical_flow(raw, names, 0.001), readers.flow_checks())
+    return found.select("l_orderkey", "l_linenumber", "protocol", "duration_ms", "fwd_packets", "bwd_packets", F.col("rejected.field").alias("rejected"))

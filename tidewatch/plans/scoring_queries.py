@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import scoring
+from tidewatch.operators import fitting, scoring
 from tidewatch.plans.registry import query
 from tidewatch.plans.views import ALERTS_SQL, FLOWS_SQL, alerts, flows
 from tidewatch.session import stored
@@ -60,17 +60,22 @@ def m3_log_rates(spark, sf_dir):
     return scoring.log_rates(featured(spark, sf_dir)).select("record_id", F.round("packets_per_second", 8).alias("packets_per_second"), F.round("bytes_per_second", 8).alias("bytes_per_second"))
 
 
-def _assembled(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+def _assembled(spark, sf_dir, label: str | None = None) -> tuple[DataFrame, list[str]]:
     rows = featured(spark, sf_dir)
+    rows = rows.withColumn("label", F.expr(label)) if label else rows
     scored = scoring.z_transform(rows, scoring.z_statistics(rows.where("start_ts < '1996-01-01'")))
     scored = stored(scored, "features")  # read by every pass of the fit
     return scored, [f"{c}_z" for c in scoring.NUMERIC] + [f"protocol_{p}" for p in scoring.PROTOCOLS]
 
 
+#: A label that the features tell, but for one row in sixteen, whose label is turned around.
+LEARNABLE = "CASE WHEN (fwd_packets / 50.0 + bwd_packets / 8.0 + CASE WHEN protocol = 'tcp' THEN 0.5 ELSE 0.0 END > 1.25) <> (substr(md5(record_id), 1, 1) = '0') THEN 1 ELSE 0 END"
+
+
 @query("m4_forest_metrics")
 def m4_forest_metrics(spark, sf_dir):
     """The forest of the operator's defaults (100 trees of depth 16), fitted on the earlier flows, judged on the later ones."""
-    rows, features = _assembled(spark, sf_dir)
+    rows, features = _assembled(spark, sf_dir, LEARNABLE)
     model = scoring.fit_forest(rows.where("start_ts < '1996-01-01'"), features)
     scored = scoring.score_and_decide(rows.where("start_ts >= '1996-01-01'").drop("score"), model)
     return scoring.with_rates(scored.agg(*scoring.confusion(F.col("label"), F.col("verdict") == "Attack")))
@@ -78,12 +83,60 @@ def m4_forest_metrics(spark, sf_dir):
 
 @query("m5_logistic_metrics")
 def m5_logistic_metrics(spark, sf_dir):
-    rows, features = _assembled(spark, sf_dir)
+    rows, features = _assembled(spark, sf_dir, LEARNABLE)
     model = scoring.fit_logistic(rows.where("start_ts < '1996-01-01'"), features)
     scored = scoring.score_and_decide(rows.where("start_ts >= '1996-01-01'").drop("score"), model)
     return scoring.ranking_metrics(scored, "label", "probability_attack")
 
 
+@query("m5_logistic_learns", f"{_F} SELECT count_if({LEARNABLE} = 1) AS positives, count_if({LEARNABLE} = 0) AS negatives, true AS learnt FROM flows WHERE start_ts >= TIMESTAMP '1996-01-01'")
+def m5_logistic_learns(spark, sf_dir):
+    """The classes of the later flows, and whether the fit tells them apart as well as the turned labels allow (areas of 0.9 and more)."""
+    found = m5_logistic_metrics(spark, sf_dir)
+    return found.select("positives", "negatives", ((F.col("roc_auc") >= 0.9) & (F.col("average_precision") >= 0.85)).alias("learnt"))
+
+
+@query("m7_network_threshold")
+def m7_network_threshold(spark, sf_dir):
+    """The 14-8-3-8-14 network fitted on the earlier benign rows, its 0.99 threshold over them, and the decisions on all rows."""
+    rows, features = _assembled(spark, sf_dir)
+    benign = rows.where("label = 0 and start_ts < '1996-01-01'")
+    scored = stored(fitting.network_errors(rows, fitting.network(benign, features), features).select("label", "start_ts", "anomaly"), "network-errors")
+    threshold = scoring.upper_quantile(scored.where("label = 0 and start_ts < '1996-01-01'"), "anomaly").first()["threshold"]
+    return scoring.threshold_counts(scored, "anomaly", threshold if threshold is not None else float("inf")).withColumn("threshold", F.lit(threshold).cast("double"))
+
+
+#: A network of fixed weights over four inputs, for its forward pass in SQL.
+_SIZES, _INPUTS = (4, 3, 2, 3, 4), ("duration_ms / 10000.0", "fwd_packets / 50.0", "bwd_packets / 8.0", "CASE WHEN protocol = 'tcp' THEN 1.0 ELSE 0.0 END")
+_FIXED = [
+    ([[((7 * n + 5 * i + 3 * j) % 11 - 4) / 8 for j in range(b)] for i in range(a)], [((3 * n + j) % 5 - 1) / 16 for j in range(b)])
+    for n, (a, b) in enumerate(zip(_SIZES, _SIZES[1:], strict=False))
+]
+
+
+def _forward_sql() -> str:
+    """Single precision, input by input: one common table a layer."""
+    tables = [f"{_F}, h0 AS (SELECT record_id, " + ", ".join(f"CAST({x} AS FLOAT) AS v{i}" for i, x in enumerate(_INPUTS)) + " FROM flows)"]
+    for n, (w, b) in enumerate(_FIXED):
+        cells = []
+        for j in range(len(b)):
+            z = f"CAST({b[j]!r} AS FLOAT)"
+            for i in range(len(w)):
+                z = f"CAST({z} + v{i} * CAST({w[i][j]!r} AS FLOAT) AS FLOAT)"
+            cells.append((f"greatest({z}, CAST(0 AS FLOAT))" if n < len(_FIXED) - 1 else z) + f" AS v{j}")
+        tables.append(f"h{n + 1} AS (SELECT record_id, {', '.join(cells)} FROM h{n})")
+    squares = " + ".join(f"pow(CAST(a.v{i} AS DOUBLE) - CAST(b.v{i} AS DOUBLE), 2)" for i in range(_SIZES[0]))
+    return f"{', '.join(tables)} SELECT record_id, round(({squares}) / {_SIZES[0]}, 6) AS anomaly FROM h0 a JOIN h{len(_FIXED)} b USING (record_id)"
+
+
+@query("m7_network_residuals", _forward_sql())
+def m7_network_residuals(spark, sf_dir):
+    """The forward pass of fixed weights and its residuals, row by row."""
+    rows = flows(spark, sf_dir).selectExpr("record_id", *[f"{x} as f{i}" for i, x in enumerate(_INPUTS)])
+    scored = fitting.network_errors(rows, fitting.Network(_SIZES, _FIXED), [f"f{i}" for i in range(_SIZES[0])])
+    return scored.select("record_id", F.round("anomaly", 6).alias("anomaly"))
+
+
 @query("m7_anomaly_threshold")
 def m7_anomaly_threshold(spark, sf_dir):
     """Residual of a 3-wide linear bottleneck fitted on benign rows, its 0.99 threshold and decision counts."""
@@ -217,9 +270,56 @@ def m16_ablation(spark, sf_dir):
     return scoring.ablation(flows(spark, sf_dir), "label", by_score(), by_score() | by_bytes())
 
 
-@query("m18_bootstrap")
+def _draw_sql(source: str) -> str:
+    """(file, replicate, k): the least k whose binomial distribution function reaches u, for rows (file, replicate, n, p, u)."""
+    by = "PARTITION BY file, replicate"
+    spread = "9 * sqrt(n * p * (1 - p)) + 10"
+    ranges = f"SELECT *, CAST(greatest(0, floor(n * p - ({spread}))) AS BIGINT) AS lo, CAST(least(n, ceil(n * p + {spread})) AS BIGINT) AS hi FROM {source}"
+    weights = f"SELECT *, sum(CASE WHEN k > lo THEN ln((n - k + 1) / k * p / (1 - p)) ELSE 0 END) OVER ({by} ORDER BY k) AS lw FROM (SELECT *, unnest(range(lo, hi + 1)) AS k FROM ({ranges}))"
+    upto = f"SELECT file, replicate, u, k, sum(w) OVER ({by} ORDER BY k) / sum(w) OVER ({by}) AS upto FROM (SELECT *, exp(lw - max(lw) OVER ({by})) AS w FROM ({weights}))"
+    return f"SELECT file, replicate, min(k) AS k FROM ({upto}) WHERE upto >= u GROUP BY file, replicate"
+
+
+def _report_sql(file: str, replicates: int = 200) -> str:
+    u = ", ".join(f"CAST('0x' || substr(md5('42:' || replicate || ':{i}'), 1, 13) AS BIGINT) / CAST({16**13} AS DOUBLE) AS u{i}" for i in (1, 2, 3))
+    low, high = int(0.025 * (replicates - 1)) + 1, int(0.975 * (replicates - 1)) + 1
+    ends = ", ".join(f"list_sort(list({r}))[{at}] AS {r}_{end}" for r in ("precision", "recall") for end, at in (("low", low), ("high", high)))
+    return f"""{_F}, c AS (SELECT {file} AS file, {_cells('score >= 0.5')}, count(*) AS n FROM flows GROUP BY 1),
+r AS (SELECT *, {u} FROM c, (SELECT unnest(range(1, {replicates + 1})) AS replicate)),
+t1 AS ({_draw_sql("(SELECT file, replicate, n, tp / n AS p, u1 AS u FROM r)")}),
+t2 AS ({_draw_sql("(SELECT r.file, r.replicate, n - t1.k AS n, fp / (n - tp) AS p, u2 AS u FROM r JOIN t1 USING (file, replicate))")}),
+t3 AS ({_draw_sql("(SELECT r.file, r.replicate, n - t1.k - t2.k AS n, fn / (n - tp - fp) AS p, u3 AS u FROM r JOIN t1 USING (file, replicate) JOIN t2 USING (file, replicate))")}),
+d AS (SELECT file, t1.k / (t1.k + t2.k) AS precision, t1.k / (t1.k + t3.k) AS recall FROM t1 JOIN t2 USING (file, replicate) JOIN t3 USING (file, replicate)),
+b AS (SELECT file, {ends} FROM d GROUP BY file)"""
+
+
+@query("m18_bootstrap", f"{_report_sql('0')} SELECT 'precision' AS metric, precision_low AS low, precision_high AS high FROM b UNION ALL SELECT 'recall', recall_low, recall_high FROM b")
 def m18_bootstrap(spark, sf_dir):
-    return scoring.bootstrap_intervals(flows(spark, sf_dir), "label", by_score(), "record_id")
+    """95 % intervals of precision and recall over all flows."""
+    row = scoring.holdout_report(flows(spark, sf_dir), "label", by_score())
+    ends = [F.struct(F.lit(m).alias("metric"), F.col(f"{m}_low").alias("low"), F.col(f"{m}_high").alias("high")) for m in ("precision", "recall")]
+    return row.select(F.explode(F.array(*ends)).alias("x")).select("x.*")
+
+
+#: Per file: an inspected split, a malformed digest, an unknown model; file 3 is in order.
+_PROTOCOL = ("file = 0", "CASE WHEN file = 1 THEN 'xyz' ELSE repeat(substr('abcdef', file + 1, 1), 64) END", "file = 2")
+
+
+@query(
+    "m18_holdout_report",
+    f"""{_report_sql('tuple_key % 4')} SELECT c.file, tp, fp, tn, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, precision_low, precision_high, recall_low, recall_high,
+ concat_ws(',', CASE WHEN c.file = 0 THEN 'inspected_split' END, CASE WHEN n < 14950 * (SELECT count(*) FROM flows) / 60000.0 THEN 'too_few_samples' END, CASE WHEN c.file = 1 THEN 'malformed_digest' END, CASE WHEN c.file = 2 THEN 'unknown_model' END) AS reasons
+FROM c JOIN b USING (file)""",
+)
+def m18_holdout_report(spark, sf_dir):
+    """A report for each of four files, with the reasons why it cannot close the protocol. The least number of samples is about a quarter of the rows."""
+    rows = flows(spark, sf_dir).withColumn("file", F.expr("tuple_key % 4"))
+    report = scoring.holdout_report(rows, "label", by_score(), ["file"])
+    inspected, digest, unknown = map(F.expr, _PROTOCOL)
+    total = rows.count()
+    samples = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
+    reasons = scoring.ineligible_reasons(samples, 200, digest, inspected, F.lit(False), ~unknown, F.lit(True), least_samples=F.lit(14950) * F.lit(total) / F.lit(60000.0))
+    return report.withColumn("reasons", F.array_join(reasons, ",")).select("file", "tp", "fp", "tn", "fn", "precision", "recall", "precision_low", "precision_high", "recall_low", "recall_high", "reasons")
 
 
 _SQ = {"duration": "duration_ms", "fwd": "fwd_packets", "bwd": "bwd_packets"}
@@ -236,6 +336,37 @@ def m19_cohort_residuals(spark, sf_dir):
     return found.select("protocol", "feature", F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"), F.round("share", 8).alias("share"))
 
 
+_GROUPS = {"duration": ["d"], "packets": ["f", "b"], "protocol": ["t", "u"]}
+_AUDITED = "record_id, protocol, label, pow(duration_ms / 10000.0 - 0.5, 2) AS d, pow(fwd_packets / 50.0 - 0.5, 2) AS f, pow(bwd_packets / 8.0 - 0.5, 2) AS b, CASE WHEN protocol = 'tcp' THEN 0.0 ELSE 0.25 END AS t, CASE WHEN protocol = 'udp' THEN 0.25 ELSE 0.0 END AS u"
+
+
+def _quantiles_sql(value: str, shares: dict[str, float], prefix: str) -> str:
+    return ", ".join(f"round(quantile_cont({value}, {q}), 8) AS {prefix}{name}" for name, q in shares.items())
+
+
+@query(
+    "m19_group_residuals",
+    f"""{_F}, q AS (SELECT {_AUDITED} FROM flows), e AS (SELECT record_id, protocol || '-' || label AS cohort, 0.0 + d AS duration, 0.0 + f + b AS packets, 0.0 + t + u AS protocol_group FROM q),
+w AS (SELECT *, 0.0 + duration + packets + protocol_group AS whole, greatest(duration, packets, protocol_group) AS most FROM e),
+l AS (SELECT cohort, 'duration' AS feature_group, duration AS v, whole, most, CAST(duration = most AS INT) + CAST(packets = most AS INT) + CAST(protocol_group = most AS INT) AS tops FROM w
+ UNION ALL SELECT cohort, 'packets', packets, whole, most, CAST(duration = most AS INT) + CAST(packets = most AS INT) + CAST(protocol_group = most AS INT) FROM w
+ UNION ALL SELECT cohort, 'protocol', protocol_group, whole, most, CAST(duration = most AS INT) + CAST(packets = most AS INT) + CAST(protocol_group = most AS INT) FROM w),
+p AS (SELECT cohort, feature_group, count(*) AS rows, sum(v) AS total, round(min(v), 8) AS minimum, round(avg(v), 8) AS mean, round(stddev_pop(v), 8) AS deviation, round(max(v), 8) AS maximum,
+ count_if(whole > 0 AND v = most) AS dominant, count_if(whole > 0 AND v = most AND tops = 1) AS solely_dominant,
+ {_quantiles_sql("v", scoring.DISTRIBUTION, "")}, {_quantiles_sql("CASE WHEN whole > 0 THEN v / whole END", scoring.SHARES, "share_")} FROM l GROUP BY ALL)
+SELECT * REPLACE (round(total, 4) AS total), round(total / sum(total) OVER (PARTITION BY cohort), 8) AS share FROM p""",
+)
+def m19_group_residuals(spark, sf_dir):
+    """Residuals of cohorts (protocol and label) by groups of features, with ties between groups."""
+    rows = flows(spark, sf_dir).selectExpr(
+        "record_id", "concat(protocol, '-', label) as cohort", "pow(duration_ms / 10000.0 - 0.5, 2) as d", "pow(fwd_packets / 50.0 - 0.5, 2) as f", "pow(bwd_packets / 8.0 - 0.5, 2) as b",
+        "if(protocol = 'tcp', 0.0d, 0.25d) as t", "if(protocol = 'udp', 0.25d, 0.0d) as u",
+    )
+    found = scoring.group_residuals(rows, "cohort", _GROUPS)
+    whole = {"cohort", "feature_group", "rows", "dominant", "solely_dominant"}
+    return found.select([F.col(c) if c in whole else F.round(c, 4 if c == "total" else 8).alias(c) for c in found.columns])
+
+
 @query(
     "m20_concentration",
     f"""{_F}, r AS (SELECT protocol, fwd_bytes, row_number() OVER (PARTITION BY protocol ORDER BY fwd_bytes DESC, record_id) AS nth, count(*) OVER (PARTITION BY protocol) AS n FROM flows), t(top) AS (VALUES (0.01::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import csv
 import functools
+import hashlib
 import io
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,18 +139,53 @@ def host_event(raw: DataFrame) -> DataFrame:
     return raw.withColumns({"event_code": code, "event_kind": F.when(code.isNull(), "unknown").otherwise(kind)})
 
 
-def verify_manifest(spark: SparkSession, root: str, manifest: DataFrame, largest: int = 2_000_000_000, depth: int = 1) -> DataFrame:
-    """(file, status) for a manifest of (file, sha256, required): verified, mismatch, missing, optional_missing, unregistered,
-    or too_large for files over `largest` bytes, which do not fit a binary value and are not read. A file is named by the last
-    `depth` parts of its path."""
+def streamed_digests(files: DataFrame, block: int = 8 << 20) -> DataFrame:
+    """`files` with the SHA-256 of the file at `path` as `found`, for files of any size: a task streams through one file at a time, a
+    block in memory. Paths are of the stores that Arrow's file systems reach (a shared folder, HDFS, S3, GCS, Azure); null for others."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    names = files.columns
+    kinds = [to_arrow_type(f.dataType) for f in files.schema.fields]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                digest = hashlib.sha256()
+                try:
+                    store, at = (fs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+                except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+                    found = None
+                else:
+                    with store.open_input_stream(at) as stream:
+                        while part := stream.read(block):
+                            digest.update(part)
+                    found = digest.hexdigest()
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, 1).cast(k) for c, k in zip(batch.columns, kinds, strict=True)], pa.array([found], pa.string())], [*names, "found"])
+
+    # A file a partition: they are few and large.
+    many = max(1, files.count())
+    return files.repartition(many).mapInArrow(read, T.StructType([*files.schema.fields, T.StructField("found", T.StringType())]))
+
+
+def verify_manifest(spark: SparkSession, root: str, manifest: DataFrame, largest: int = 2_000_000_000, depth: int = 1, streamed: bool = True) -> DataFrame:
+    """(file, status) for a manifest of (file, sha256, required): verified, mismatch, missing, optional_missing or unregistered. A file
+    is named by the last `depth` parts of its path.
+
+    Files over `largest` bytes do not fit a binary value: they are streamed (see `streamed_digests`), and too_large without `streamed` or
+    where their store cannot be streamed from."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     name = F.array_join(F.slice(F.split("path", "/"), -depth, depth), "/").alias("file")
-    read = files.where(F.col("length") <= largest).select(name, F.sha2("content", 256).alias("found"), F.lit(False).alias("large"))
-    have = read.unionByName(files.where(F.col("length") > largest).select(name, F.lit("").alias("found"), F.lit(True).alias("large")))
+    read = files.where(F.col("length") <= largest).select(name, F.sha2("content", 256).alias("found"))
+    large = files.where(F.col("length") > largest).select("path", name)
+    large = streamed_digests(large).select("file", "found") if streamed else large.select("file", F.lit(None).cast("string").alias("found"))
+    have = read.unionByName(large).withColumn("there", F.lit(True))
     both = manifest.join(have, "file", "full_outer")
+    gone = F.col("there").isNull()
     status = (
-        F.when(F.col("sha256").isNull(), "unregistered").when(F.col("found").isNull() & F.col("required"), "missing").when(F.col("found").isNull(), "optional_missing")
-        .when(F.col("large"), "too_large").when(F.lower("sha256") == F.col("found"), "verified").otherwise("mismatch")
+        F.when(F.col("sha256").isNull(), "unregistered").when(gone & F.col("required"), "missing").when(gone, "optional_missing")
+        .when(F.col("found").isNull(), "too_large").when(F.lower("sha256") == F.col("found"), "verified").otherwise("mismatch")
     )
     return both.select("file", status.alias("status"))
 
