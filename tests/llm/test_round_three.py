@@ -281,3 +281,47 @@ def test_spot_likeness_is_told_however_small(spark):
     assert 0 < plain(left, right) < 0.02
     assert got[1].near_next == pytest.approx(plain(left, right), abs=1e-12) and got[1].near_edited == pytest.approx(plain(left, edited), abs=1e-12)
     assert set(spotsigs.from_string(got[1].edited_fingerprint).tolist()) == set(own(edited).tolist())
+
+
+def test_toxicity_scores_equal_a_plain_forward_pass(spark):
+    """Every score against word-by-word loops over the fitted tables: hashing, filters, pooling, the logistic layer and the cut."""
+    from tidewatch.llm import toxicity
+
+    rng = np.random.default_rng(12)
+    vocabulary = [f"v{i}" for i in range(80)] + ["the", "und", "les", "größer", "Ünder", "über"]
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(1, 40))) + (" blorg, frump!" if i % 4 == 0 else ".")) for i in range(160)]
+    rows += [(500, None), (501, ""), (502, "?!"), (503, "the " * 50_010 + "blorg"), (504, "The AND der"), (505, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(df, labels)
+    table, low = toxicity._TABLE.tolist(), 2**64 - 1
+
+    def hashed(word):
+        h = sum(table[b] * pow(int(toxicity._B), i, 2**64) for i, b in enumerate(word)) + len(word) & low
+        return ((h ^ h >> 31) * int(toxicity._B) & low) >> 64 - toxicity.BITS
+
+    languages = {}
+    for k, name in enumerate(toxicity.LANGUAGES[1:], 1):
+        for word in toxicity.FUNCTION_WORDS[name].split():
+            languages.setdefault(word, set()).add(k)
+
+    def plain(text):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", raw)
+        rows = [model.tables[0][model.index[0][hashed(w)]] + model.tables[1][model.index[1][hashed(w[:4])]] for w in words]
+        pooled, col = [], 0
+        for width in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                seen = [sum(float(rows[i + j][col + j * toxicity.FILTERS + f]) for j in range(width)) for i in range(len(rows) - width + 1)]
+                pooled.append(max([0.0, *seen]))
+            col += width * toxicity.FILTERS
+        p = 1 / (1 + math.exp(-(float(np.dot(pooled, model.out)) + model.bias)))
+        votes = [next(iter(languages[w])) for w in (x.decode(errors="replace") for x in words) if len(languages.get(w, ())) == 1]
+        counts = [votes.count(k) for k in range(1, len(toxicity.LANGUAGES))]
+        best = max(counts)
+        cut = model.cuts[counts.index(best) + 1 if best and counts.count(best) == 1 else 0]
+        return 0.7 * p / cut if p < cut else 0.7 + 0.3 * (p - cut) / (1 - cut)
+
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(df, model).collect()}
+    assert all(got[i] == pytest.approx(plain(t), abs=1e-5) for i, t in rows)
+    assert got[500] == got[501] == got[502] < 0.7
