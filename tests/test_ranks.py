@@ -148,3 +148,17 @@ def test_runs_and_funnel_over_parts(spark):
     assert row.raw_weight == len(rows) and row.clusters == len({r[5] for r in rows})
     weighed = burst.fatigue_funnel(df.withColumn("w", F.lit(3)), ["k"], weight="w").first()
     assert weighed.raw_weight == sum(max(3, len(v)) for v in buckets.values())
+
+
+def test_recent_counts_of_hot_keys(spark):
+    rng = np.random.default_rng(17)
+    rows = [(i, None if i % 50 == 0 else ("hot" if i % 3 else f"k{i % 4}"), None if i % 41 == 0 else int(s)) for i, s in enumerate(rng.integers(0, 3000, 1500))]
+    df = spark.createDataFrame(rows, "id long, k string, s long").withColumn("t", F.timestamp_seconds("s"))
+    for seconds, limit in ((60.0, 5), (1.0, 2), (5000.0, 10)):
+        want = {tuple(r) for r in timeline.recent_counts(df, ["k"], "t", seconds, limit).select("id", "recent", "limited", "wait_seconds").collect()}
+        got = timeline.recent_counts(df, ["k"], "t", seconds, limit, range_rows=100)
+        assert got.columns == [*df.columns, "recent", "limited", "wait_seconds"]
+        assert {tuple(r) for r in got.select("id", "recent", "limited", "wait_seconds").collect()} == want
+        for i, k, s in rows[1::97]:
+            if k and s is not None:
+                assert next(r[1] for r in want if r[0] == i) == sum(1 for _, k2, s2 in rows if k2 == k and s2 is not None and s - seconds < s2 <= s)

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tidewatch.operators import ranks
 from tidewatch.session import stored
 
+#: Keys of more rows are counted in parts.
+RANGE_ROWS = 250_000
+
 
 def merged(kinds: Mapping[str, DataFrame]) -> DataFrame:
     """Union of event tables with a `kind`, ordered by (at, kind, ref); a missing `at` sorts first."""
@@ -33,15 +36,43 @@ def actor_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], actor:
     return placed.withColumn("run", run).select(*df.columns, "run")
 
 
-def recent_counts(df: DataFrame, keys: Sequence[str], t: str, seconds: float, limit: int) -> DataFrame:
+def recent_counts(df: DataFrame, keys: Sequence[str], t: str, seconds: float, limit: int, range_rows: int = RANGE_ROWS) -> DataFrame:
     """`df` with `recent` (rows of the key in the half-open window of `seconds` that ends here), `limited`
-    (recent >= limit) and `wait_seconds` until the oldest of them leaves."""
+    (recent >= limit) and `wait_seconds` until the oldest of them leaves.
+
+    A key is a window in one task. Keys of more than `range_rows` rows are counted by running sums over their distinct times instead,
+    in parts (see `ranks`)."""
     span = int(seconds * 1_000_000)
     rows = df.withColumn("_us", F.unix_micros(t))
+    known = F.col("_us").isNotNull()
+    for key in keys:
+        known &= F.col(key).isNotNull()
+    hot = rows.where(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > range_rows).select(*keys)
+    cold, found = rows, []
+    if keys and hot.limit(1).count():
+        hot = stored(hot, "recent-hot")
+        warm = rows.where(known).join(hot, list(keys), "left_semi")
+        found = [warm.join(_window_counts(warm, keys, span), [*keys, "_us"])]
+        cold = rows.where(known).join(hot, list(keys), "left_anti").unionByName(rows.where(~known))
     window = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-(span - 1), 0)
-    rows = rows.withColumns({"recent": F.count(F.lit(1)).over(window), "_first": F.min("_us").over(window)})
+    counted = cold.withColumns({"recent": F.count(F.lit(1)).over(window), "_first": F.min("_us").over(window)})
+    for part in found:
+        counted = counted.unionByName(part)
     limited = F.col("recent") >= limit
-    return rows.withColumns({"limited": limited, "wait_seconds": F.when(limited, (F.col("_first") + span - F.col("_us")) / 1e6).otherwise(0.0)}).drop("_us", "_first")
+    return counted.withColumns({"limited": limited, "wait_seconds": F.when(limited, (F.col("_first") + span - F.col("_us")) / 1e6).otherwise(0.0)}).select(*df.columns, "recent", "limited", "wait_seconds")
+
+
+def _window_counts(rows: DataFrame, keys: Sequence[str], span: int) -> DataFrame:
+    """(keys.., _us, recent, _first) for each distinct time: the rows up to it less those up to `span` before it. The oldest row in the
+    window is at the time before which just as many rows lie as have left it."""
+    per = rows.groupBy(*keys, "_us").agg(F.count(F.lit(1)).alias("_c"))
+    here = per.select(*keys, "_us", F.col("_us").alias("_at"), F.lit(0).alias("_gone"), "_c")
+    past = per.select(*keys, "_us", (F.col("_us") - span).alias("_at"), F.lit(1).alias("_gone"), F.lit(0).cast("long").alias("_c"))
+    run = ranks.with_running(here.unionByName(past), keys, [F.col("_at"), F.col("_gone")], "_upto", "_c")
+    of = lambda gone, c: F.max(F.when(F.col("_gone") == gone, c))
+    both = stored(run.groupBy(*keys, "_us").agg(of(0, F.col("_upto")).alias("_now"), of(0, F.col("_upto") - F.col("_c")).alias("_before"), of(1, F.col("_upto")).alias("_left")), "recent-counts")
+    oldest = both.select(*keys, F.col("_before").alias("_left"), F.col("_us").alias("_first"))
+    return both.join(oldest, [*keys, "_left"]).select(*keys, "_us", (F.col("_now") - F.col("_left")).alias("recent"), "_first")
 
 
 def page(df: DataFrame, order: Sequence[str], offset: int, size: int) -> DataFrame:

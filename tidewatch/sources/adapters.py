@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidewatch.functions import normalize as n
 
-#: Fields of a provenance struct, in order; `correlate.rejection_reason` reads it.
+#: Fields of a provenance struct, in order; `correlate.rejection_reason` reads it.
 PROVENANCE = (
     "entity_namespace_id", "clock_synchronized", "src_entity_id", "dst_entity_id", "protocol", "service_or_port", "observed_at_utc", "validity_start_utc", "validity_end_utc",
     "address_reuse_or_nat", "max_clock_skew_seconds", "source_mode", "entity_role", "clock_origin",
@@ -126,6 +126,7 @@ def follow_lines(lines: DataFrame, value: str = "value", infrastructure: Sequenc
 
 # ---- scenario rows
 
+#: Names under which scenario rows hold their ends, in order of preference.
 SOURCE_NAMES = ("SourceIp", "src_ip", "Computer", "host", "Hostname")
 TARGET_NAMES = ("DestinationIp", "dst_ip", "Image", "ProcessName", "TargetFilename", "file_path", "TargetObject", "registry_key", "TargetUserName", "User")
 ID_NAMES = ("RecordID", "EventRecordID", "event_id", "source_event_id", "ingestion_id")

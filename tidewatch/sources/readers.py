@@ -18,8 +18,8 @@ from tidewatch.sources.adapters import route_sensor_lines, sensor_flow  # noqa:
 
 
 def _widths(value: Column) -> Column:
-    """Fields of a CSV line: one more than its commas outside of quotes."""
-    return F.regexp_count(value, F.lit(r',(?=(?:[^"]*"[^"]*")*[^"]*$)')) + 1
+    """Fields of a CSV line: one more than its commas outside of quotes; a quote that is left open reaches to the end."""
+    return F.regexp_count(F.regexp_replace(value, r'"[^"]*("|$)', ""), F.lit(",")) + 1
 
 
 def preflight_csv(spark: SparkSession, path: str, required: Mapping[str, Sequence[str]], sample: int = 10) -> DataFrame:
