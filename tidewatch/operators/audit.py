@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.functions.normalize import is_local
 from tidewatch.operators import ranks
+from tidewatch.operators.text import IPV4 as IPV4_TEXT
 from tidewatch.session import stored
 
 GENESIS = "0" * 64
@@ -178,3 +180,36 @@ def completeness(evidence: dict[str, Column], key: Column) -> list[Column]:
     gaps = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in evidence.items()]))
     status = F.when(F.size(gaps) == 0, "COMPLETE").when(F.size(gaps) == len(evidence), "PENDING").otherwise("PARTIAL")
     return [key, F.array_join(gaps, ",").alias("gaps"), status.alias("status")]
+
+
+#: The pieces of a flow's evidence, in the order in which they are told.
+CHECKLIST = ("contract", "scored", "correlated", "addresses", "chained")
+
+
+def evidence_checklist(features: Sequence[str], scored_reason: str = "scored") -> Column:
+    """A flow's evidence as an array of (id, status, passed), from stored columns alone.
+
+    contract   valid if all `features` are finite numbers
+    scored     scored if `reason` is `scored_reason`, the decision is a class, the evidence verified and the probability finite
+    correlated excluded for benign flows, checked once both windows were applied, else not_recorded
+    addresses  by the IPv4 addresses stored in src and dst: refused if one is local (no lookup outside may be made), clear, or
+               not_recorded without any
+    chained    recorded if a chain receipt is stored. It never passes: a stored flag is not a verification, which
+               `chain_breaks` makes from the ledger"""
+    fine = F.lit(True)
+    for f in features:
+        x = F.col(f).cast("double")
+        fine &= F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))
+    p = F.col("probability").cast("double")
+    scored = F.coalesce(
+        (F.col("reason") == scored_reason) & F.col("decision").isin("Attack", "Benign") & (F.col("evidence_state") == "verified") & ~F.isnan(p) & (F.abs(p) != float("inf")), F.lit(False)
+    )
+    stored_ips = F.flatten(F.transform(F.array("src", "dst"), lambda x: F.coalesce(F.regexp_extract_all(x, F.lit(IPV4_TEXT), F.lit(0)), F.array().cast("array<string>"))))
+    refused = F.exists(stored_ips, is_local)
+    recorded = F.coalesce(F.col("chain_flag") & F.col("entry_hash").rlike("^[0-9a-f]{64}$"), F.lit(False))
+    windows = F.when(F.col("decision") == "Benign", "excluded").when(F.col("windows_checked"), "checked").otherwise("not_recorded")
+    status = {
+        "contract": (F.when(fine, "valid").otherwise("invalid"), fine), "scored": (F.when(scored, "scored").otherwise("unscored"), scored), "correlated": (windows, windows == "checked"),
+        "addresses": (F.when(F.size(stored_ips) == 0, "not_recorded").when(refused, "refused").otherwise("clear"), F.size(stored_ips) > 0), "chained": (F.when(recorded, "recorded").otherwise("pending"), F.lit(False)),
+    }
+    return F.array(*[F.struct(F.lit(name).alias("id"), status[name][0].alias("status"), status[name][1].alias("passed")) for name in CHECKLIST])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.normalize import mean_size, rate_per_second
 from tidewatch.operators import fitting, ranks
-from tidewatch.session import stored
+from tidewatch.session import shared_dir, stored
 
 NUMERIC = ("duration_ms", "fwd_packets", "bwd_packets", "fwd_bytes", "bwd_bytes", "packets_per_second", "bytes_per_second", "fwd_packet_length_mean", "bwd_packet_length_mean", "dst_port")
 PROTOCOLS = ("tcp", "udp", "icmp", "other")
@@ -60,13 +60,14 @@ def raw_units(df: DataFrame) -> DataFrame:
 
 
 def fit_forest(train: DataFrame, features: Sequence[str], label: str = "label", trees: int = 100, depth: int = 16, leaf: int = 5, seed: int = 42):
-    """Random forest over assembled features (MLlib). Rows keep their node from level to level, and a pass takes as many nodes as fit
-    a gigabyte."""
+    """Random forest over assembled features (MLlib). Rows keep their node from level to level, with checkpoints in the shared folder,
+    and a pass takes as many nodes as fit a gigabyte."""
+    shared_dir(train.sparkSession)
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    forest = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True, checkpointInterval=-1, maxMemoryInMB=1024)
+    forest = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), forest]).fit(train)
 
 

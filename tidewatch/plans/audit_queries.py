@@ -102,3 +102,25 @@ def l3_sealed_faults(spark, sf_dir):
     last = F.floor((entries.agg(F.max("seq")).first()[0] - 1) / F.lit(64))
     changed = entries.withColumns({"seq": F.expr("case seq when 130 then 131L when 131 then 130L else seq end"), "user_id": F.expr("if(seq = 700, user_id + 1, user_id)")})
     return audit.sealed_faults(changed.where(F.floor((F.col("seq") - 1) / 64) < last), blocks, columns, 64)
+
+
+@query(
+    "l6_evidence",
+    f"""WITH alerts AS ({ALERTS_SQL}), c AS (SELECT alert_id, decision, alert_id % 9 AS k, alert_id % 5 AS m FROM alerts),
+s AS (SELECT alert_id, CASE WHEN k = 1 THEN 'invalid' ELSE 'valid' END AS contract, CASE WHEN k IN (2, 3, 4) THEN 'unscored' ELSE 'scored' END AS scored,
+ CASE WHEN decision = 'Benign' THEN 'excluded' WHEN m = 0 THEN 'checked' ELSE 'not_recorded' END AS correlated,
+ CASE WHEN m = 1 THEN 'refused' WHEN m = 2 THEN 'clear' ELSE 'not_recorded' END AS addresses, CASE WHEN m = 3 THEN 'recorded' ELSE 'pending' END AS chained FROM c),
+l AS (SELECT 'contract' AS id, contract AS status, contract = 'valid' AS passed FROM s UNION ALL SELECT 'scored', scored, scored = 'scored' FROM s UNION ALL SELECT 'correlated', correlated, correlated = 'checked' FROM s
+ UNION ALL SELECT 'addresses', addresses, addresses <> 'not_recorded' FROM s UNION ALL SELECT 'chained', chained, false FROM s)
+SELECT id, status, passed, count(*) AS n FROM l GROUP BY ALL""",
+)
+def l6_evidence(spark, sf_dir):
+    """The five pieces of evidence of every alert, some of them missing, counted by status."""
+    rows = alerts(spark, sf_dir).selectExpr(
+        "alert_id", "decision", "score as probability_all", "if(alert_id % 9 = 1, double('NaN'), 1.0d) as f1", "2.0d as f2", "if(alert_id % 9 = 2, 'waiting', 'scored') as reason", "if(alert_id % 9 = 3, 'rejected', 'verified') as evidence_state",
+        "if(alert_id % 9 = 4, null, score) as probability", "alert_id % 5 = 0 as windows_checked",
+        "case alert_id % 5 when 1 then 'host 8.8.8.8' when 2 then 'at 9.9.9.9' else src end as src", "case alert_id % 5 when 1 then '10.0.0.9' else dst end as dst",
+        "alert_id % 5 in (3, 4) as chain_flag", "if(alert_id % 5 = 3, repeat('a', 64), 'none') as entry_hash",
+    )
+    told = rows.select(F.explode(audit.evidence_checklist(["f1", "f2"])).alias("x")).select("x.*")
+    return told.groupBy("id", "status", "passed").agg(F.count(F.lit(1)).alias("n"))

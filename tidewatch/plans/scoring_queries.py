@@ -409,6 +409,31 @@ def m25_drift(spark, sf_dir):
     return scoring.gaussian_drift(rows.where("start_ts >= '1996-01-01'"), baseline)
 
 
+#: The normal distribution function by its series of positive terms, 1/2 + density * (x + x^3/3 + x^5/15 + ..), which converges for every x.
+_CDF_SQL = "0.5 + exp(-x * x / 2) / sqrt(2 * pi()) * x * (1 + list_sum(list_transform(range(1, 200), lambda n: list_product(list_transform(range(1, n + 1), lambda k: x * x / (2 * k + 1))))))"
+_DRIFT_SQL = ", ".join(
+    f"struct_pack(feature := '{c}', bm := avg({c}) FILTER (start_ts < TIMESTAMP '1996-01-01'), bs := stddev_samp({c}) FILTER (start_ts < TIMESTAMP '1996-01-01'), m := avg({c}) FILTER (start_ts >= TIMESTAMP '1996-01-01'), s := stddev_samp({c}) FILTER (start_ts >= TIMESTAMP '1996-01-01'), n := count({c}) FILTER (start_ts >= TIMESTAMP '1996-01-01'))"
+    for c in scoring.NUMERIC
+)
+
+
+@query(
+    "m25_gaussian_psi",
+    f"""{_FEAT}, a AS (SELECT unnest([{_DRIFT_SQL}]) AS r FROM feat),
+m AS (SELECT r.feature, r.n, (r.m - r.bm) / r.bs AS shift, greatest(r.s / r.bs, 0.1) AS ratio FROM a),
+d AS (SELECT *, unnest([{", ".join(f"{d!r}::DOUBLE" for d in scoring.DECILES)}]) AS d, unnest(range(1, {len(scoring.DECILES) + 1})) AS i FROM m),
+e AS (SELECT feature, n, shift, i, {_CDF_SQL} AS c FROM (SELECT *, (d - shift) / ratio AS x FROM d) UNION ALL SELECT feature, n, shift, 0, 0.0 FROM m UNION ALL SELECT feature, n, shift, {len(scoring.DECILES) + 1}, 1.0 FROM m),
+q AS (SELECT feature, n, shift, greatest(c - lag(c) OVER (PARTITION BY feature ORDER BY i), 1e-4) AS q FROM e QUALIFY i > 0),
+w AS (SELECT *, q / sum(q) OVER (PARTITION BY feature) AS x FROM q),
+p AS (SELECT feature, n, shift, greatest(0.0, sum((x - 0.1) * ln(x / 0.1))) AS psi FROM w GROUP BY ALL)
+SELECT feature, n, round(shift, 6) AS z_shift, round(psi, 6) AS psi, CASE WHEN psi < 0.10 THEN 'stable' WHEN psi < 0.25 OR n < 2 THEN 'moderate_drift' ELSE 'severe_drift' END AS category FROM p""",
+)
+def m25_gaussian_psi(spark, sf_dir):
+    """The Gaussian drift of the later flows, rounded."""
+    found = m25_drift(spark, sf_dir)
+    return found.select("feature", "n", F.round("z_shift", 6).alias("z_shift"), F.round("psi", 6).alias("psi"), "category")
+
+
 @query(
     "m25_empirical_psi",
     f"""{_F}, c AS (SELECT quantile_cont(fwd_bytes, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM flows WHERE start_ts < TIMESTAMP '1996-01-01'),
