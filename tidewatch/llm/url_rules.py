@@ -117,7 +117,10 @@ def judge_urls(
             found = [match(trie.value, h, p) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame({"rule": [r for r, _ in found], "verdict": [v or default for _, v in found]}, dtype=object)
 
-    return parsed.withColumn("_found", judged("host", "path")).withColumns({"rule": F.col("_found.rule"), "verdict": F.col("_found.verdict")}).drop("_found")
+    own = "_found"
+    while own in df.columns:
+        own = f"_{own}"
+    return parsed.withColumn(own, judged("host", "path")).withColumns({"rule": F.col(own).rule, "verdict": F.col(own).verdict}).drop(own)
 
 
 def _judge_by_join(parsed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
@@ -144,4 +147,4 @@ def _judge_by_join(parsed: DataFrame, rules: DataFrame, default: str) -> DataFra
         .agg(F.max(F.struct(F.length("_rule"), F.length("_h"), "_verdict", "_rule")).alias("_best"))
         .select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_best._rule").alias("rule"), F.col("_best._verdict").alias("verdict"))
     )
-    return parsed.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    return parsed.drop("rule", "verdict").join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
