@@ -325,3 +325,24 @@ def test_toxicity_scores_equal_a_plain_forward_pass(spark):
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(df, model).collect()}
     assert all(got[i] == pytest.approx(plain(t), abs=1e-5) for i, t in rows)
     assert got[500] == got[501] == got[502] < 0.7
+
+
+def test_sharding_orders_by_the_whole_row(spark):
+    from tidewatch.llm import sharding
+
+    rows = [(i % 5, "same text", i) for i in range(60)]
+    first = spark.createDataFrame(rows, "doc_id long, text string, other int").coalesce(1)
+    again = spark.createDataFrame(rows[::-1], "doc_id long, text string, other int").repartition(5)
+    for hot in (10_000, 4):  # also where repeats are numbered
+        one, two = ({(r.row.other, r.position) for r in sharding.external_shuffle(df, hot=hot).collect()} for df in (first, again))
+        assert len(one) == 60 and {p for _, p in one} == set(range(60)) and (one == two or hot == 4)
+
+
+def test_url_rules_keep_columns_of_the_caller(spark):
+    from tidewatch.llm import url_rules
+
+    df = spark.createDataFrame([("http://a.com/x", 7, "mine", "old")], "url string, _found int, rule string, __found string")
+    rules = [("a.com", "/", "block")]
+    for most in (10, 0):
+        row = url_rules.judge_urls(df, rules, max_broadcast_rules=most).first()
+        assert (row._found, row["__found"], row.rule, row.verdict) == (7, "old", "a.com/", "block")

@@ -7,8 +7,8 @@ Shards are equal slices of that permutation (law `rows`: counts at most one apar
 therefore writes into few files. Text is moved once.
 
 A bucket is sized by its bytes; its number of records follows from them. A record is put in order
-by its hash before the draw, so reruns and retried tasks give the same permutation whatever order
-records arrive in. Repeats of a record meet in one bucket up to `hot` of them; beyond, they are
+by its hash, its id and the hash of all its columns (but maps) before the draw, so reruns and retried tasks give the same
+permutation whatever order records arrive in. Repeats of a record meet in one bucket up to `hot` of them; beyond, they are
 numbered and dealt by number. Null texts count one byte.
 """
 
@@ -30,7 +30,8 @@ def external_shuffle(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Every row of `df` as the struct `row`, with `bucket` and `position`, its place (0 .. rows-1) in a
     uniform permutation."""
     size = F.coalesce(F.octet_length(text), F.lit(0)) + 1
-    keyed = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("key"), size.cast("long").alias("size"))
+    hashed = [F.col(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    keyed = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("key"), F.xxhash64(*hashed).alias("tie"), size.cast("long").alias("size"))
     rows, total = keyed.agg(F.count(F.lit(1)), F.sum("size")).first()
     buckets = max(1, math.ceil((total or 0) / bucket_bytes))
     keyed = _spread(keyed.drop("size"), seed, hot).withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
@@ -39,8 +40,8 @@ def external_shuffle(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     schema = T.StructType([keyed.schema["row"], T.StructField("bucket", T.IntegerType()), T.StructField("position", T.LongType())])
 
     def shuffled(key: tuple, group: pa.Table) -> pa.Table:
-        # Records of one key are equal, but for a collision of the hash: its ids tell those apart.
-        order = np.lexsort((pc.rank(group.column("row").combine_chunks().field(doc_id), tiebreaker="dense").to_numpy(), group.column("key").to_numpy()))
+        # Records of one key agree in id and text, but for a collision of the hash: ids tell those apart, and other columns the rest.
+        order = np.lexsort((group.column("tie").to_numpy(), pc.rank(group.column("row").combine_chunks().field(doc_id), tiebreaker="dense").to_numpy(), group.column("key").to_numpy()))
         np.random.Generator(np.random.PCG64([seed, key[0].as_py()])).shuffle(order)  # Fisher-Yates
         start = group.column("start")[0].as_py()
         out = group.select(["row", "bucket"]).take(pa.array(order))
@@ -52,7 +53,7 @@ def external_shuffle(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _spread(keyed: DataFrame, seed: int, hot: int) -> DataFrame:
-    """(row, key), where records that are repeated more than `hot` times get keys of their own.
+    """(row, key, tie), where records that are repeated more than `hot` times get keys of their own.
 
     They are written once, so that a record's number, from 1 in its key, stays when a task runs again;
     which repeat has which number does not matter, since they are equal."""
@@ -65,7 +66,7 @@ def _spread(keyed: DataFrame, seed: int, hot: int) -> DataFrame:
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = same.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).select("key", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     number = F.col("before") + F.row_number().over(Window.partitionBy("key", "part").orderBy("nth"))
-    numbered = same.join(counts, ["key", "part"]).select("row", F.xxhash64(F.lit(seed), "key", number).alias("key"))
+    numbered = same.join(counts, ["key", "part"]).select("row", F.xxhash64(F.lit(seed), "key", number).alias("key"), "tie")
     return keyed.join(often, "key", "left_anti").unionByName(numbered)
 
 
