@@ -24,6 +24,21 @@ def test_ranks_and_running_sums(spark, rows):
     assert ranks.with_rank(rows.limit(0), ["g"], [F.col("v")], "nth", "n").count() == 0
 
 
+def test_parts_grow_with_the_rows(spark, rows, monkeypatch):
+    order = [F.col("v").asc(), F.col("id").asc()]
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ranks.in_parts(rows, ["g"], order).agg(F.max(ranks.PART)).first()[0] < few
+    by_id = lambda df: {r.id: (r.nth, r.n) for r in df.collect()}
+    want = by_id(ranks.with_rank(rows, ["g"], order, "nth", "n"))
+    middle = {r.g: r.quantiles for r in ranks.quantiles(rows, ["g"], "v", [0.5]).collect()}
+    monkeypatch.setattr(ranks, "PART_ROWS", 20)
+    sizes = [r["count"] for r in ranks.in_parts(rows, ["g"], order).groupBy(ranks.PART).count().collect()]
+    assert sum(sizes) == 900 and few < len(sizes) <= 45 and max(sizes) < 100
+    assert ranks.in_parts(rows, ["g"], order, part_rows=10_000).agg(F.max(ranks.PART)).first()[0] < few
+    assert by_id(ranks.with_rank(rows, ["g"], order, "nth", "n")) == want
+    assert {r.g: r.quantiles for r in ranks.quantiles(rows, ["g"], "v", [0.5]).collect()} == middle
+
+
 def test_quantiles(spark, rows):
     frame = rows.toPandas().fillna({"g": "~"})
     got = {r.g or "~": r.quantiles for r in ranks.quantiles(rows, ["g"], "v", [0.0, 0.25, 0.5, 0.99, 1.0]).collect()}

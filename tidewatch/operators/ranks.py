@@ -1,12 +1,13 @@
 """Ranks, running sums and exact quantiles over groups of any size, without one window per group.
 
-Rows are range-partitioned by (group, order) and written once with their part; a window then spans
+Rows are range-partitioned by (group, order), in as many parts as their number asks for, and written once with their part; a window then spans
 the rows of one group in one part, and what comes before is carried over by one row per group and part. So a
 class, stratum or key that holds a third of the table is spread over as many tasks as it has parts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,11 +16,15 @@ from pyspark.sql import functions as F
 from tidewatch.session import stored
 
 PART = "_part"
+#: Rows of a part in the mean, at most.
+PART_ROWS = 5_000_000
 
 
-def in_parts(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """`df` with its `_part`: parts follow each other in (by, order), as many as the session's shuffle partitions."""
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def in_parts(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], part_rows: int | None = None) -> DataFrame:
+    """`df` with its `_part`: parts follow each other in (by, order), as many as the session's shuffle partitions, or more where
+    these would hold over `part_rows` (PART_ROWS) rows each. So a part fits a task whatever the size of the table; the rows are
+    counted first, which reads no column that the count does not need."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / (part_rows or PART_ROWS)))
     return stored(df.repartitionByRange(parts, *by, *order).withColumn(PART, F.spark_partition_id()), "ranks")
 
 
