@@ -1,6 +1,7 @@
 """Streams against the batch operators on the same rows."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,46 @@ def test_signatures_agree_with_batch(spark, parts, tmp_path):
     assert got == want
 
 
+@pytest.fixture
+def only_batches_with_rows(spark):
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+def test_state_of_the_forms_at_once_ends(spark, only_batches_with_rows, tmp_path):
+    """A key that is idle for longer than it is kept leaves no row of state, and starts anew; one in time goes on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    schema = "key string, alert_id long, us long, simhash long, signature string"
+
+    def turns(form, columns, name, batches, keep, wait):
+        folder, held = tmp_path / f"{name}-in", []
+        for rows in batches:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+            stream = form(spark.readStream.schema(schema).parquet(str(folder)).select("key", "alert_id", "us", *columns), keep=keep)
+            query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"{name}-ck")).trigger(availableNow=True).start(str(tmp_path / f"{name}-out"))
+            assert query.awaitTermination(90)
+            held.append(query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+            time.sleep(wait)
+        return spark.read.parquet(str(tmp_path / f"{name}-out")), held
+
+    first, second = [("a", 1, 0, 0, "s"), ("b", 2, 0, 0, "s"), ("a", 3, 90_000_000, 0, None)], [("a", 4, 200_000_000, 0, None)]
+    kept, _ = turns(jobs.burst_stream, ["simhash"], "kept", [first, second], 600.0, 0)
+    assert {r.alert_id: r.burst_no for r in kept.collect()} == {1: 1, 2: 1, 3: 2, 4: 3}
+    ended, held = turns(jobs.burst_stream, ["simhash"], "ended", [first, second], 2.0, 4)
+    assert {r.alert_id: r.burst_no for r in ended.collect()} == {1: 1, 2: 1, 3: 2, 4: 1}
+    assert held[1] < held[0]
+    signs, _ = turns(jobs.signature_stream, ["signature"], "signs-kept", [first, second], 600.0, 0)
+    assert {r.alert_id: r.signature for r in signs.collect()} == {3: "s", 4: "s"}
+    signs, held = turns(jobs.signature_stream, ["signature"], "signs-ended", [first, second], 2.0, 4)
+    assert {r.alert_id: r.signature for r in signs.collect()} == {3: "s", 4: None}
+    assert held[1] == 0
+    with pytest.raises(ValueError):
+        jobs.kept_for(0)
+
+
 def test_repeats_and_counts(spark, parts, tmp_path):
     _, stream = parts
     assert run(jobs.without_repeats(stream.union(stream).select("alert_id", "t"), "alert_id", "t", "40 days"), tmp_path, "once").count() == alerts(spark, SF).count()

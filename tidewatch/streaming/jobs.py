@@ -5,7 +5,7 @@ Each is a DataFrame -> DataFrame transformation of a stream with keyed state. Tw
             has passed them and are then taken in order of time, so that a result equals the batch operator's whatever the
             order of arrival within the delay; what a key holds ends by event-time timers, and idle keys hold nothing
   at once   (`burst_stream`, `signature_stream`): a row is answered in the batch that brings it, in order of arrival; a key's
-            one row of state stays
+            one row of state stays, or ends where the caller names for how long an idle key is kept
 Rows behind the watermark are dropped by Spark. `land_split` keeps them: it deals a stream out into rows on time and late
 ones before any state is involved, and `reconciled` replaces what they touch by the batch operator's results.
 """
@@ -60,14 +60,14 @@ BURST_OUT = "key string, alert_id long, us long, burst_no long, burst_count long
 
 
 class BurstProcessor(StatefulProcessor):
-    """A key's burst: last time, last SimHash, number and count. The number goes on for ever, and so does this row."""
+    """A key's burst: last time, last SimHash, number and count. The number goes on as long as this row is kept."""
 
-    def __init__(self, idle_us: int, distance: int):
-        self.idle_us, self.distance = idle_us, distance
+    def __init__(self, idle_us: int, distance: int, keep_ms: int | None = None):
+        self.idle_us, self.distance, self.keep_ms = idle_us, distance, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("burst", "us long, simhash long, burst_no long, n long")
+        self.state = handle.getValueState("burst", "us long, simhash long, burst_no long, n long", ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["us", "alert_id"], kind="stable")
@@ -90,10 +90,26 @@ class BurstProcessor(StatefulProcessor):
         pass
 
 
-def burst_stream(stream: DataFrame, idle: float = 60.0, distance: int = 3) -> DataFrame:
+def kept_for(keep: float | None) -> tuple[int | None, str]:
+    """(milliseconds, time mode) of state that ends `keep` seconds of the cluster's clock after its last update; without `keep` it stays.
+
+    Spark runs batches without rows to let such state end, so a query with the trigger availableNow does not finish unless
+    spark.sql.streaming.noDataMicroBatches.enabled is false; state then ends with the next batch that has rows."""
+    if keep is None:
+        return None, "none"
+    if keep <= 0:
+        raise ValueError("state must be kept for more than 0 seconds")
+    return max(1, round(keep * 1000)), "processingTime"
+
+
+def burst_stream(stream: DataFrame, idle: float = 60.0, distance: int = 3, keep: float | None = None) -> DataFrame:
     """Burst numbers and counts of (key, alert_id, us, simhash) rows, at once. Rows of one batch are taken in order of
-    time; a row that is late for its key counts as arriving now. Where keys come and go, use `settled_bursts`."""
-    return stream.groupBy("key").transformWithStateInPandas(BurstProcessor(int(idle * 1_000_000), distance), outputStructType=BURST_OUT, outputMode="append", timeMode="none")
+    time; a row that is late for its key counts as arriving now.
+
+    With `keep`, a key that brings no row for so many seconds of the cluster's clock is forgotten, and its numbers start at 1 again
+    when it comes back; so it should be longer than `idle`, and than the stream may lag. `settled_bursts` goes by event time."""
+    keep_ms, mode = kept_for(keep)
+    return stream.groupBy("key").transformWithStateInPandas(BurstProcessor(int(idle * 1_000_000), distance, keep_ms), outputStructType=BURST_OUT, outputMode="append", timeMode=mode)
 
 
 CLUSTER_OUT = "key string, anchor_us long, size long, alert_ids string"
@@ -156,23 +172,26 @@ SIGNATURE_OUT = "key string, alert_id long, signature string"
 
 
 class SignatureProcessor(StatefulProcessor):
-    """A key's latest signature, for the flows that follow it; it stays."""
+    """A key's latest signature, for the flows that follow it; only a sign renews it."""
+
+    def __init__(self, keep_ms: int | None = None):
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("latest", "us long, signature string")
+        self.state = handle.getValueState("latest", "us long, signature string", ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows))
         frame["late"] = frame.signature.isna().astype(int)
         frame = frame.sort_values(["us", "late", "alert_id"], kind="stable")
-        held = self.state.get() if self.state.exists() else None
+        held, signed = self.state.get() if self.state.exists() else None, False
         out = []
         for row in frame.itertuples():
             if row.late:
                 out.append((key[0], int(row.alert_id), held[1] if held and held[0] <= row.us else None))
             elif held is None or row.us >= held[0]:
-                held = (int(row.us), row.signature)
-        if held:
+                held, signed = (int(row.us), row.signature), True
+        if signed:
             self.state.update(held)
         yield pd.DataFrame(out, columns=["key", "alert_id", "signature"])
 
@@ -180,10 +199,12 @@ class SignatureProcessor(StatefulProcessor):
         pass
 
 
-def signature_stream(stream: DataFrame) -> DataFrame:
+def signature_stream(stream: DataFrame, keep: float | None = None) -> DataFrame:
     """As-of signatures over a union of sign rows (with a signature) and flow rows (a null one) keyed by `key`, at once: a
-    sign that arrives after its flow comes too late for it. `settled_signatures` waits, and forgets old signs."""
-    return stream.groupBy("key").transformWithStateInPandas(SignatureProcessor(), outputStructType=SIGNATURE_OUT, outputMode="append", timeMode="none")
+    sign that arrives after its flow comes too late for it. With `keep`, a sign is forgotten so many seconds of the cluster's
+    clock after it was taken, and later flows get null. `settled_signatures` waits, and forgets by event time."""
+    keep_ms, mode = kept_for(keep)
+    return stream.groupBy("key").transformWithStateInPandas(SignatureProcessor(keep_ms), outputStructType=SIGNATURE_OUT, outputMode="append", timeMode=mode)
 
 
 # ---- settled forms: in order of time, once the watermark has passed
