@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidewatch.operators import fitting, scoring
@@ -57,6 +58,16 @@ def test_a_small_forest_learns(spark):
     assert found.balanced_accuracy > 0.8
 
 
+def test_a_forest_scores_in_a_session_that_has_observed_a_query(spark):
+    """A session with an observation cannot be serialized, so a model sent to tasks must not hold it."""
+    df = spark.range(400).select("id", (F.col("id") % 7).alias("a"), (F.col("id") % 5).alias("b"), (F.col("id") % 7 > 3).cast("int").alias("label"))
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"n": 400}
+    scored = scoring.score_and_decide(df, scoring.fit_forest(df, ["a", "b"], trees=3, depth=3))
+    assert {(r.label, r.verdict): r["count"] for r in scored.groupBy("label", "verdict").count().collect()} == {(0, "Benign"): 229, (1, "Attack"): 171}
+
+
 def test_network_slopes_and_scores(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((300, 6)) @ rng.standard_normal((6, 6)) * 0.3
