@@ -398,6 +398,21 @@ def test_toxicity_learns(spark):
     assert toxicity.score_toxicity(frame, None).agg(F.max("score")).first()[0] == 0
 
 
+def test_toxicity_learns_from_every_labelled_document(spark):
+    """A toxic word in the last 400 of 2,400 toxic texts, by the order of the hashed ids, is learnt; partitions change nothing."""
+    ids = spark.range(8000).select("id", F.xxhash64(F.lit(29), "id").alias("h")).orderBy("h").toPandas().id.tolist()
+    toxic = [i for i in ids if i % 10 < 3]
+    word = {i: "blorg" for i in toxic[:2000]} | {i: "zonk" for i in toxic[2000:]}
+    rows = [(i, f"v{i % 61} v{i % 53} {word.get(i, 'plain')} v{i % 47}", "s") for i in ids]
+    asked = [(9000, "v1 v2 zonk v3", "s"), (9001, "v1 v2 blorg v3", "s"), (9002, "v1 v2 plain v3", "s")]
+    labels = spark.createDataFrame([(i, int(i in word)) for i in ids], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs(spark, rows), labels)
+    scored = {r.doc_id: r.score for r in toxicity.score_toxicity(docs(spark, asked), model).collect()}
+    assert scored[9000] >= toxicity.CUT and scored[9001] >= toxicity.CUT > scored[9002]
+    again = toxicity.fit_toxicity(docs(spark, rows[::-1]).repartition(3), labels.repartition(5))
+    assert (model.cuts == again.cuts).all() and all((a == b).all() for a, b in zip(model.tables, again.tables))
+
+
 # ---- 7
 
 
