@@ -132,7 +132,7 @@ class Model:
     @cached_property
     def tables(self) -> list[np.ndarray]:
         """Response of every filter row to every embedding; not sent, as it is four times the embeddings."""
-        return [(t @ self.flat()).astype(np.float32) for t in self.embed]
+        return [t @ self.flat().astype(np.float32) for t in self.embed]
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "tables"}
@@ -314,6 +314,7 @@ def _averaged(train: DataFrame, model: Model, learners: int, weights: tuple[floa
         return pa.table([pa.array(side), pa.array(rows), *map(pa.array, values.T)], ["side", "row", *names])
 
     dealt = train.select("_id", "h", "y", "text", F.pmod(F.xxhash64(F.lit(37), "_id"), F.lit(learners)).alias("learner"))
+    dealt = dealt.repartition(4 * learners, "learner")  # few learners share a task, however many there are
     lines = dealt.groupBy("learner").applyInArrow(learn, "side int, row int, " + ", ".join(f"{n} long" for n in names))
     means = lines.groupBy("side", "row").agg(*[(F.sum(n) / F.count(F.lit(1)) / FIXED).cast("float").alias(n) for n in names]).toArrow()
     side, rows = means.column("side").to_numpy(), means.column("row").to_numpy()
