@@ -36,6 +36,7 @@ from tidewatch.llm.common import small_batches, stored
 BITS, SIZE, WIDTHS, FILTERS = 20, 12, (1, 2, 3), 8
 MIN_DOCUMENTS, EPOCHS, BATCH, CUT = 4, 3, 32, 0.7
 LEARNER, GRID, FIXED = 4096, 1 << 16, 2.0**32
+BROADCAST = 500_000  # labelled ids that are broadcast to the documents; more are joined by a shuffle
 CHUNK = 50_000
 
 _rng = np.random.default_rng(7)
@@ -314,7 +315,7 @@ def _averaged(train: DataFrame, model: Model, learners: int, weights: tuple[floa
         return pa.table([pa.array(side), pa.array(rows), *map(pa.array, values.T)], ["side", "row", *names])
 
     dealt = train.select("_id", "h", "y", "text", F.pmod(F.xxhash64(F.lit(37), "_id"), F.lit(learners)).alias("learner"))
-    dealt = dealt.repartition(4 * learners, "learner")  # few learners share a task, however many there are
+    dealt = dealt.repartitionByRange(4 * learners, "learner")  # each learner is a range of its own
     lines = dealt.groupBy("learner").applyInArrow(learn, "side int, row int, " + ", ".join(f"{n} long" for n in names))
     means = lines.groupBy("side", "row").agg(*[(F.sum(n) / F.count(F.lit(1)) / FIXED).cast("float").alias(n) for n in names]).toArrow()
     side, rows = means.column("side").to_numpy(), means.column("row").to_numpy()
@@ -351,9 +352,8 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, positives: int | None
     """
     marked = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("y"))
     marked = marked.where("y in (0, 1)").select(F.col(doc_id).alias("_id"), F.col("y").cast("int").alias("y"), F.xxhash64(F.lit(29), F.col(doc_id)).alias("h"))
-    share = [1.0, 1.0]
+    share, totals = [1.0, 1.0], {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if positives is not None or negatives is not None:
-        totals = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
         parts = []
         for y, most in enumerate((negatives, positives)):
             few = marked.where(f"y = {y}")
@@ -363,7 +363,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, positives: int | None
         marked = parts[0].union(parts[1])
     spark = documents.sparkSession
     small_batches(spark)
-    named = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(marked, "_id")
+    named = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(marked) if sum(totals.values()) <= BROADCAST else marked, "_id")
     named = named.groupBy("_id").agg(F.first("h").alias("h"), F.first("y").alias("y"), F.max("text").alias("text"))  # one text an id, however often it is repeated
     named = stored(named.withColumn("held", F.pmod(F.xxhash64(F.lit(31), "_id"), F.lit(5)) == 0), "toxicity-labelled")
     sizes = {(r["held"], r["y"]): r["n"] for r in named.groupBy("held", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
