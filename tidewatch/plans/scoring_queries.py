@@ -318,7 +318,7 @@ def m18_holdout_report(spark, sf_dir):
     inspected, digest, unknown = map(F.expr, _PROTOCOL)
     total = rows.count()
     samples = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
-    reasons = scoring.ineligible_reasons(samples, 200, digest, inspected, F.lit(False), ~unknown, F.lit(True), least_samples=F.lit(14950) * F.lit(total) / F.lit(60000.0))
+    reasons = scoring.ineligible_reasons(samples, 200, digest, inspected, F.lit(False), ~unknown, F.lit(True), least_samples=F.lit(14950 * total / 60000))
     return report.withColumn("reasons", F.array_join(reasons, ",")).select("file", "tp", "fp", "tn", "fn", "precision", "recall", "precision_low", "precision_high", "recall_low", "recall_high", "reasons")
 
 
