@@ -158,12 +158,12 @@ def is_local(address: Column) -> Column:
 
 def is_public_v4(address: Column) -> Column:
     """A plainly written, globally routable unicast address: fit for a lookup outside."""
-    number = ipv4_long(address)
-    special = _in(
+    # A one-element transform binds the number, so that it is read once an address.
+    special = F.transform(F.array(ipv4_long(address)), lambda number: _in(
         number, "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
         "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
-    )
-    return F.coalesce(number.isNotNull() & ~special, F.lit(False))
+    ))[0]
+    return F.coalesce(~special, F.lit(False))  # null for what is no address
 
 
 def is_noise_v4(src: Column, dst: Column, port: Column, infrastructure: Sequence[str] = ()) -> Column:
