@@ -158,9 +158,10 @@ def queue_page(flows: DataFrame, score: str, row_id: str, size: int, *tests: Col
     return flows.orderBy(F.desc(score), row_id).limit(size)
 
 
-def technique_of(title: Column, scenario: Column, nearest: Column, port: Column, ports: dict[int, str]) -> Column:
-    """Title token, else scenario label, else nearest corpus hit, else the destination port's technique."""
-    token = F.upper(F.regexp_extract(F.coalesce(title, F.lit("")), r"(?i)\bT\d{4}(?:\.\d{3})?\b", 0))
+def technique_of(title: Column, scenario: Column, nearest: Column, port: Column, ports: dict[int, str], digits: str = "{4}") -> Column:
+    """Title token, else scenario label, else nearest corpus hit, else the destination port's technique. A token's number has
+    four digits, as the catalogue's ids have; `digits` is the quantifier for other catalogues."""
+    token = F.upper(F.regexp_extract(F.coalesce(title, F.lit("")), rf"(?i)\bT\d{digits}(?:\.\d{{3}})?\b", 0))
     by_port = F.lit(None).cast("string")
     for p, name in ports.items():
         by_port = F.when(port == p, name).otherwise(by_port)
