@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -123,9 +123,9 @@ class AnchorProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "us long, alert_id long")
+        self.rows = handle.getValueState("rows", "us array<long>, alert_ids array<long>")
 
-    def _closed(self, key, watermark_ms: int, rows: list[tuple[int, int]]) -> tuple[pd.DataFrame, list[tuple[int, int]]]:
+    def _closed(self, key, watermark_ms: int, rows: list[tuple[int, int]]) -> tuple[list[Row], list[tuple[int, int]]]:
         rows = sorted(rows)
         out, at = [], 0
         while at < len(rows):
@@ -134,28 +134,39 @@ class AnchorProcessor(StatefulProcessor):
                 end += 1
             if anchor + self.span_us >= watermark_ms * 1000:
                 break
-            out.append((key[0], anchor, end - at, ",".join(str(i) for _, i in rows[at:end])))
+            out.append(Row(key=key[0], anchor_us=anchor, size=end - at, alert_ids=",".join(str(i) for _, i in rows[at:end])))
             at = end
-        return pd.DataFrame(out, columns=["key", "anchor_us", "size", "alert_ids"]), rows[at:]
+        return out, rows[at:]
 
-    def _settle(self, key, timers, new: list[tuple[int, int]]) -> Iterator[pd.DataFrame]:
-        held = [(int(a), int(b)) for a, b in self.rows.get()] if self.rows.exists() else []
-        done, left = self._closed(key, timers.getCurrentWatermarkInMs(), held + new)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if left:
-            self.rows.put(left)
-            self.handle.registerTimer((left[0][0] + self.span_us) // 1000 + 1)
-        elif self.rows.exists():
-            self.rows.clear()
-        yield done
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows))
-        yield from self._settle(key, timerValues, list(zip(frame.us.astype(int), frame.alert_id.astype(int), strict=True)))
+    def _wakes(self, rows: list[tuple[int, int]]) -> int:
+        """The one timer of a key whose open rows, in order, are these."""
+        return (rows[0][0] + self.span_us) // 1000 + 1
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._settle(key, timerValues, [])
+    def _settle(self, key, timers, new: list[tuple[int, int]], woken: bool) -> Iterator[Row]:
+        """A key's calls of the state are most of a batch's time: its rows are one value, and its timer follows from them and is not
+        asked for; one that has woken the key is over."""
+        state = self.rows.get()
+        held = list(zip(*state, strict=True)) if state else []
+        done, left = self._closed(key, timers.getCurrentWatermarkInMs(), held + new)
+        if left != held:
+            if left:
+                self.rows.update(tuple(map(list, zip(*left, strict=True))))
+            else:
+                self.rows.clear()
+        was = self._wakes(held) if held and not woken else None
+        wakes = self._wakes(left) if left else None
+        if was != wakes:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            if wakes is not None:
+                self.handle.registerTimer(wakes)
+        yield from done
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        yield from self._settle(key, timerValues, [(row.us, row.alert_id) for row in rows], woken=False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._settle(key, timerValues, [], woken=True)
 
     def close(self) -> None:
         pass
@@ -165,7 +176,7 @@ def anchored_stream(stream: DataFrame, seconds: float, t: str = "t", delay: str
     """Closed anchored clusters of (key, alert_id, us) rows with an event-time column. A cluster is closed, and its state ends,
     once the watermark has passed its anchor by the window. Rows behind the watermark are dropped here (see `land_split`)."""
     marked = stream.withWatermark(t, delay)
-    return marked.groupBy("key").transformWithStateInPandas(AnchorProcessor(int(seconds * 1_000_000)), outputStructType=CLUSTER_OUT, outputMode="append", timeMode="eventtime")
+    return marked.groupBy("key").transformWithState(AnchorProcessor(int(seconds * 1_000_000)), outputStructType=CLUSTER_OUT, outputMode="append", timeMode="eventtime")
 
 
 SIGNATURE_OUT = "key string, alert_id long, signature string"
